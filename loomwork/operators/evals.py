@@ -14,12 +14,6 @@ from loomwork.operators.running import null_safe_join, top_rows, with_ordinal
 FEWSHOT_SEED = 1234
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, on: str | list[str], max_rows: int = 2_000_000, how: str = "inner") -> DataFrame:
-    """Join a lookup table, broadcast only after its row count was checked."""
-    small = lookup.limit(max_rows + 1).count() <= max_rows
-    return rows.join(F.broadcast(lookup) if small else lookup, on, how)
-
-
 # --- bits per byte ---------------------------------------------------------
 
 
@@ -29,7 +23,8 @@ def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, by: Sequence[str] =
     Targets below zero are ignored, as are tokens of zero bytes.
     """
     scored = losses.filter(F.col("target") >= 0).withColumnRenamed("target", "token_id")
-    joined = lookup_join(scored, token_bytes, "token_id")
+    # No hint: a stored vocabulary is broadcast by its file size, a large one is not.
+    joined = scored.join(token_bytes, "token_id")
     sums = joined.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("n_bytes") > 0, F.col("loss"))), F.lit(0.0)).alias("nats"),
         F.coalesce(F.sum("n_bytes"), F.lit(0)).cast("bigint").alias("n_bytes"),
@@ -186,7 +181,7 @@ def task_scores(outcomes: DataFrame, baselines: DataFrame, task: str = "task", p
     """(task, accuracy, centred); baselines are (task, baseline)."""
     accuracy = outcomes.groupBy(task).agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
     base = F.col("baseline") * 0.01 if percent else F.col("baseline")
-    return lookup_join(accuracy, baselines, task).select(
+    return accuracy.join(baselines, task).select(
         task, "accuracy", centred(F.col("accuracy"), base).alias("centred")
     )
 

@@ -10,7 +10,7 @@ from loomwork.plans import chats
 from loomwork.plans.registry import query, table
 from loomwork.plans.sqltext import h60, pieces, unit
 from loomwork.plans.taskdata import _ANSWERS_SQL, four_choices, worked_answers
-from loomwork.session import spread
+from loomwork.session import spread, stored
 
 # --- bits per byte: token ids are pre-tokens hashed into a vocabulary of 32,768.
 
@@ -40,7 +40,7 @@ def _losses(spark, sf_dir):
         F.when(skip, -1).otherwise(F.col("token_id")).alias("target"),
         (unit_hash(F.lit("loss"), "doc_id", "pos") * 4).alias("loss"),
     )
-    return losses, token_bytes
+    return losses, stored(token_bytes, "token-bytes")
 
 
 @query(

@@ -10,7 +10,7 @@ from loomwork.operators.running import with_ordinal
 from loomwork.plans import chats
 from loomwork.plans.registry import query, table
 from loomwork.plans.sqltext import h60, pieces
-from loomwork.session import cut_lineage, spread
+from loomwork.session import spread, stored
 
 _STREAM_SQL = f"""
     WITH d AS (SELECT doc_id, {pieces('text')} AS p FROM documents),
@@ -115,13 +115,13 @@ def _encoded(spark, sf_dir, merges: int = 48):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     vocabulary = bpe.train(docs, bpe.BYTE_IDS + merges + len(bpe.SPECIAL_TOKENS))
     tokens = encode.tokenize(docs, vocabulary, prepend=vocabulary.bos()).drop("text")
-    return cut_lineage(packing.with_pack_group(cut_lineage(tokens), docs_per_group=2048)), vocabulary
+    return packing.with_pack_group(stored(tokens, "tokens"), docs_per_group=2048), vocabulary
 
 
 @query("pack_crop")
 def pack_crop(spark, sf_dir):
     tokens, _ = _encoded(spark, sf_dir)
-    placements = cut_lineage(packing.plan(tokens, CAPACITY, crop=True, buffer_size=1000))
+    placements = stored(packing.plan(tokens, CAPACITY, crop=True, buffer_size=1000))
     whole = packing.quality(placements, CAPACITY).select(F.lit("(all)").alias("lang"), "*")
     by_lang = placements.join(tokens.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
         F.count_distinct("pack_group", "row_in_group").alias("n_rows"),
@@ -136,7 +136,7 @@ def pack_crop(spark, sf_dir):
 @query("pack_crop_rows")
 def pack_crop_rows(spark, sf_dir):
     tokens, _ = _encoded(spark, sf_dir)
-    placements = cut_lineage(packing.plan(tokens, CAPACITY, crop=True, buffer_size=1000))
+    placements = stored(packing.plan(tokens, CAPACITY, crop=True, buffer_size=1000))
     rows = packing.fill_rows(tokens, placements, {"tokens": None}, CAPACITY)
     numbered = packing.number_rows(placements).select("pack_group", "row_in_group", "n_docs", "row_id")
     inputs, targets = chunking.shift(F.col("tokens"), CAPACITY - 1)
@@ -161,7 +161,7 @@ def pack_crop_rows(spark, sf_dir):
 def pack_crop_coverage(spark, sf_dir):
     docs = _pieces(spark, sf_dir).select("doc_id", (F.size("tokens") + 1).alias("n_tokens"))
     grouped = packing.with_pack_group(docs, docs_per_group=2048)
-    placements = cut_lineage(packing.plan(grouped, CAPACITY, crop=True, buffer_size=1000))
+    placements = stored(packing.plan(grouped, CAPACITY, crop=True, buffer_size=1000))
     fits = placements.groupBy("doc_id", "n_tokens").agg(
         F.count(F.lit(1)).alias("n_placements"),
         F.bool_and((F.col("start_at") + F.col("take") <= CAPACITY) & (F.col("take") >= 1)).alias(
@@ -174,9 +174,9 @@ def pack_crop_coverage(spark, sf_dir):
 def _padded(spark, sf_dir):
     turns = chats.turns_of(spark, sf_dir)
     rendered = render.render(turns, chats.MARKERS, 1000 + 1).withColumnRenamed("conv_id", "doc_id")
-    sized = cut_lineage(rendered.withColumn("n_tokens", F.size("tokens")))
+    sized = stored(rendered.withColumn("n_tokens", F.size("tokens")), "rendered")
     tokens = packing.with_pack_group(sized, docs_per_group=2048)
-    placements = cut_lineage(packing.plan(tokens, 1001, crop=False, buffer_size=100))
+    placements = stored(packing.plan(tokens, 1001, crop=False, buffer_size=100))
     return tokens, placements
 
 
@@ -201,7 +201,7 @@ def pack_pad_quality(spark, sf_dir):
 def pack_resume(spark, sf_dir):
     """Loader state per step, and what each step's resume would still read."""
     tokens, placements = _padded(spark, sf_dir)
-    numbered = cut_lineage(packing.number_rows(placements))
+    numbered = stored(packing.number_rows(placements), "rows")
     state = packing.steps(numbered, 4, tokens.count())
     after = packing.resume(numbered, 4, 1).agg(F.count(F.lit(1)).alias("rows_after_step_1"))
     return state.withColumn("rows_after_step_1", F.lit(after.scalar()))

@@ -65,6 +65,17 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df, label: str = "stage"):
+    """Write to the shared folder as Parquet and read back.
+
+    For intermediate tables used more than once: readers prune columns, and the
+    files' size lets Catalyst choose a broadcast only below its own threshold.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def default_blocks(spark: SparkSession) -> int:
     """Number of value ranges for distributed running totals.
 
