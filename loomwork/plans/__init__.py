@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("corpus", "tokens", "chats", "taskdata", "packs", "evals")
+_MODULES = ("corpus", "tokens", "chats", "taskdata", "packs", "evals", "logs", "storage", "streams")
 
 for _name in _MODULES:
     importlib.import_module(f"{__name__}.{_name}")
