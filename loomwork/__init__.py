@@ -1 +1,9 @@
 """Corpus preparation and evaluation analytics as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so a cluster needs
+# no installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -49,3 +49,12 @@ def byte_text(text: Column) -> Column:
 def adjacent_pairs(symbols: Column) -> Column:
     """Every two neighbouring characters, overlapping."""
     return F.regexp_extract_all(symbols, F.lit("(?s)(?=(..))"), F.lit(1))
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once.
+
+    Inside higher-order functions Spark repeats an expression at every mention; a
+    lambda variable is the way to hold its result.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from loomwork.functions.text import is_blank, strip
+from loomwork.functions.text import bind, is_blank, strip
 from loomwork.operators.chatcheck import PREPARED, ROLES, ChatRules
 from loomwork.schemas import MESSAGES
 
@@ -110,22 +110,27 @@ def instruction_record(messages: Column) -> Column:
     clean = F.transform(
         messages, lambda m, i: F.struct(m["role"].alias("role"), strip(m["content"]).alias("content"), i.alias("i"))
     )
-    system = F.filter(clean, lambda m: m["role"] == "system")
-    dialogue = F.filter(clean, lambda m: m["role"] != "system")
-    first_user = F.get(F.filter(dialogue, lambda m: m["role"] == "user"), F.lit(0))
-    middle = F.filter(dialogue, lambda m: (m["i"] != first_user["i"]) & (m["i"] != F.size(messages) - 1))
-    lines = F.transform(
-        middle,
-        lambda m: F.concat(
-            F.when(m["role"] == "user", "User: ").otherwise("Assistant: "), m["content"]
-        ),
-    )
-    opening = F.concat(F.transform(system, lambda m: m["content"]), F.array(first_user["content"]))
-    return F.struct(
-        F.array_join(opening, "\n\n").alias("instruction"),
-        F.array_join(lines, "\n\n").alias("input"),
-        F.element_at(clean, -1)["content"].alias("output"),
-    )
+
+    def build(turns: Column) -> Column:
+        system = F.filter(turns, lambda m: m["role"] == "system")
+        opener = F.get(F.filter(turns, lambda m: m["role"] == "user"), F.lit(0))
+        return bind(opener, lambda first: record(turns, system, first))
+
+    def record(turns: Column, system: Column, first: Column) -> Column:
+        middle = F.filter(
+            turns,
+            lambda m: (m["role"] != "system") & (m["i"] != first["i"]) & (m["i"] != F.size(turns) - 1),
+        )
+        speaker = lambda m: F.when(m["role"] == "user", "User: ").otherwise("Assistant: ")
+        lines = F.transform(middle, lambda m: F.concat(speaker(m), m["content"]))
+        opening = F.concat(F.transform(system, lambda m: m["content"]), F.array(first["content"]))
+        return F.struct(
+            F.array_join(opening, "\n\n").alias("instruction"),
+            F.array_join(lines, "\n\n").alias("input"),
+            F.element_at(turns, -1)["content"].alias("output"),
+        )
+
+    return bind(clean, build)
 
 
 @F.pandas_udf(T.StringType())
@@ -145,17 +150,17 @@ def _literal_to_json(texts: pd.Series) -> pd.Series:
 def structured_fields(rows: DataFrame, column: str, field: str, out: str) -> DataFrame:
     """Append ``out``: one field of a dict given as JSON or Python-literal text.
 
-    JSON is read by the built-in; only rows it cannot read go through Python.
+    JSON is read by the built-in; only texts it finds no field in reach Python.
     """
     text = strip(F.col(column))
-    is_json = F.try_parse_json(text).isNotNull() & text.startswith("{")
-    direct = F.when(is_json, F.get_json_object(text, f"$.{field}"))
-    literal = F.when(~F.coalesce(is_json, F.lit(False)) & text.startswith("{"), text)
+    is_dict = text.startswith("{")
     return (
-        rows.withColumn("__literal", literal)
-        .withColumn("__json", F.when(F.col("__literal").isNotNull(), _literal_to_json("__literal")))
-        .withColumn(out, strip(F.coalesce(direct, F.get_json_object("__json", f"$.{field}"), F.lit(""))))
-        .drop("__literal", "__json")
+        rows.withColumn("__direct", F.when(is_dict, F.get_json_object(text, f"$.{field}")))
+        .withColumn("__json", _literal_to_json(F.when(is_dict & F.col("__direct").isNull(), text)))
+        .withColumn(
+            out, strip(F.coalesce("__direct", F.get_json_object("__json", f"$.{field}"), F.lit("")))
+        )
+        .drop("__direct", "__json")
     )
 
 

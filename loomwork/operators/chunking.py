@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwork.operators.running import null_safe_join, running
+from loomwork.session import stored
 
 
 def stream_offsets(docs: DataFrame, key: str, length: Column, by: Sequence[str] = ()) -> DataFrame:
     """(by, key, n_tokens, start): where each document begins in the joined stream."""
-    narrow = docs.select(*by, key, length.cast("bigint").alias("n_tokens"))
+    narrow = stored(docs.select(*by, key, length.cast("bigint").alias("n_tokens")), "lengths")
     return running(narrow, key, {"start": ("sum", F.col("n_tokens"))}, by, inclusive=False)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwork.functions.text import hash60, strip
+from loomwork.functions.text import bind, hash60, strip
 from loomwork.operators.running import null_safe_join, top_rows, with_ordinal
 
 # Fixed value: first part of the seed of few-shot draws.
@@ -98,14 +98,20 @@ def language_prompts(context: Column, continuation: Column, delimiter: str, shot
 def common_length(sequences: Column, from_end: bool = False) -> Column:
     """Length of the prefix (or suffix) that all token arrays of a row share."""
     shortest = F.array_min(F.transform(sequences, lambda s: F.size(s)))
-    first = F.get(sequences, F.lit(0))
 
-    def same_at(i: Column) -> Column:
-        at = -i if from_end else i
-        return F.forall(sequences, lambda s: F.try_element_at(s, at) == F.try_element_at(first, at))
+    def first_miss(first: Column) -> Column:
+        def same_at(i: Column) -> Column:
+            at = -i if from_end else i
+            return F.forall(sequences, lambda s: F.try_element_at(s, at) == F.try_element_at(first, at))
 
-    positions = F.when(shortest > 0, F.sequence(F.lit(1), shortest)).otherwise(F.array().cast("array<int>"))
-    miss = F.array_position(F.transform(positions, same_at), False)
+        positions = F.sequence(F.lit(1), F.size(first))
+        return F.array_position(F.transform(positions, same_at), False)
+
+    # Only positions inside the shortest array can match in all of them.
+    head = F.slice(F.get(sequences, F.lit(0)), F.lit(1), shortest)
+    if from_end:
+        head = F.slice(F.get(sequences, F.lit(0)), -shortest, shortest)
+    miss = F.when(shortest > 0, bind(head, first_miss)).otherwise(F.lit(0))
     return F.when(miss > 0, miss - 1).otherwise(shortest).cast("int")
 
 
@@ -123,11 +129,10 @@ def spans(tokens: Column, kind: str) -> Column:
 
     fine = F.lit(None).cast("string")
     if kind == "multiple_choice":
-        prefix = common_length(tokens)
-        return F.transform(tokens, lambda t: span(t, prefix, fine))
+        return bind(common_length(tokens), lambda n: F.transform(tokens, lambda t: span(t, n, fine)))
     if kind == "schema":
         suffix = common_length(tokens, from_end=True)
-        return F.transform(tokens, lambda t: span(t, F.size(t) - suffix, fine))
+        return bind(suffix, lambda n: F.transform(tokens, lambda t: span(t, F.size(t) - n, fine)))
     if kind == "language_modelling":
         without, whole = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
         start = F.size(without)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomwork.functions.text import bind
 from loomwork.operators.chunking import pad_to_longest
 from loomwork.operators.render import loss_targets
 from loomwork.operators.running import null_safe_join
@@ -76,9 +77,13 @@ def stop_at(tokens: Column, mask: Column, prefix: Column | int, terminals: Seque
     """{tokens, mask}: a sample up to its first terminal token after the prompt."""
     prefix = F.lit(prefix) if isinstance(prefix, int) else prefix
     body = F.slice(tokens, prefix + 1, F.greatest(F.size(tokens) - prefix, F.lit(0)))
-    hits = [F.nullif(F.array_position(body, t), F.lit(0)) for t in terminals]
-    first = F.least(*hits) if len(hits) > 1 else hits[0]
-    keep = F.when(first.isNull(), F.size(tokens)).otherwise(prefix + first - 1).cast("int")
-    return F.struct(
-        F.slice(tokens, F.lit(1), keep).alias("tokens"), F.slice(mask, F.lit(1), keep).alias("mask")
-    )
+    stop = F.array(*[F.lit(t) for t in terminals])
+    first = F.array_position(F.transform(body, lambda t: F.array_contains(stop, t)), True)
+
+    def cut(hit: Column) -> Column:
+        keep = F.when(hit == 0, F.size(tokens)).otherwise(prefix + hit - 1).cast("int")
+        return F.struct(
+            F.slice(tokens, F.lit(1), keep).alias("tokens"), F.slice(mask, F.lit(1), keep).alias("mask")
+        )
+
+    return bind(first, cut)

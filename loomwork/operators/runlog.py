@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomwork.operators.running import null_safe_join, running, with_ordinal
+from loomwork.session import stored
 
 # --- log lines -------------------------------------------------------------
 
@@ -97,7 +98,7 @@ def exponential_average(
     a block it is a weighted running sum, and a block adds its carry, which is the
     same recurrence one level up with ``beta ** block``. No run is held in one task.
     """
-    steps = with_ordinal(rows, key, "step", by=[run])
+    steps = stored(with_ordinal(rows, key, "step", by=[run]), "steps")
     raw = _recurrence(steps, run, "step", value, beta)
     return raw.withColumn(
         out, (1 - beta) * F.col("__state") / (1 - F.pow(F.lit(beta), F.col("step") + 1))
@@ -144,14 +145,15 @@ def throughput(
     planned = steps.groupBy(run).agg(F.count(F.lit(1)).alias("planned"))
     counted = F.when(F.col("step") > 10, F.col(dt)).otherwise(0.0)
     timed = null_safe_join(running(steps, key, {"total_time": ("sum", counted)}, by=[run]), planned, [run])
-    flops = flops_per_token * batch_tokens / F.col(dt)
+    seconds = F.nullif(F.col(dt), F.lit(0.0))
+    flops = flops_per_token * batch_tokens / seconds
     after = F.col("step") - 10
     eta = F.when(after > 0, (F.col("planned") - F.col("step")) * F.col("total_time") / F.nullif(after, F.lit(0)))
     return timed.select(
         *rows.columns,
         "step",
         (100 * F.col("step") / F.col("planned")).alias("pct_done"),
-        F.floor(batch_tokens / F.col(dt)).alias("tok_per_sec"),
+        F.floor(batch_tokens / seconds).alias("tok_per_sec"),
         flops.alias("flops_per_sec"),
         (100 * flops / peak_flops).alias("mfu"),
         "total_time",

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomwork.session import default_blocks
+from loomwork.session import default_blocks, stored
 
 _KINDS = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
@@ -129,7 +129,7 @@ def take_until(
     key kept per group, and the wide rows are then filtered in place.
     """
     by = list(by)
-    narrow = df.select(*by, key, weight.cast("bigint").alias("__w"))
+    narrow = stored(df.select(*by, key, weight.cast("bigint").alias("__w")), "weights")
     before = running(narrow, key, {"__sum": ("sum", F.col("__w"))}, by, inclusive=not keep_crossing)
     budget = F.lit(budget) if isinstance(budget, int) else budget
     last = (

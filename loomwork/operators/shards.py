@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomwork.functions.text import strip
 from loomwork.operators.running import take_until, with_ordinal
+from loomwork.session import stored
 
 # The two separators placed between texts of one shard.
 END_OF_TEXT = "\n\n<|endoftext|>\n\n"
@@ -29,10 +30,10 @@ def text_shard_plan(
 ) -> DataFrame:
     """Append ``shard`` and ``row_in_shard`` to the texts that survive cleaning.
 
-    The plan is made on (key, length) and joined back, so texts move once.
+    The plan is made on a stored (key, length) table, so texts are read once for it.
     """
     clean = stripped(df, column) if strip_text else non_empty(df, column)
-    narrow = clean.select(key, F.length(column).cast("bigint").alias("n_chars"))
+    narrow = stored(clean.select(key, F.length(column).cast("bigint").alias("n_chars")), "lengths")
     placed = with_ordinal(narrow, key)
     return placed.select(
         key,

@@ -62,23 +62,23 @@ def worked_answer_parts(answer: Column) -> Column:
     def call_parts(call: Column) -> Column:
         inner = call.substr(F.lit(3), F.length(call) - 4)
         # Everything up to the last "=" is the expression.
-        expression = F.when(inner.contains("="), F.regexp_extract(inner, "(?s)^(.*)=", 1)).otherwise(inner)
-        result = F.when(inner.contains("="), F.substring_index(inner, "=", -1)).otherwise("")
-        return F.array(part("python", expression), part("python_output", result))
+        stated = F.substring_index(inner, "=", -1)
+        before = inner.substr(F.lit(1), F.length(inner) - F.length(stated) - 1)
+        has_result = inner.contains("=")
+        return F.array(
+            part("python", F.when(has_result, before).otherwise(inner)),
+            part("python_output", F.when(has_result, stated).otherwise("")),
+        )
 
-    woven = F.transform(
+    # There is one text more than calls; the last one meets a null.
+    woven = F.zip_with(
         texts,
-        lambda text, i: F.concat(
-            F.array(part("text", text)),
-            F.coalesce(call_parts(F.get(calls, i)), F.array()),
+        calls,
+        lambda text, call: F.when(call.isNull(), F.array(part("text", text))).otherwise(
+            F.concat(F.array(part("text", text)), call_parts(call))
         ),
     )
-    # A text past the last call has no call to follow it.
-    return F.flatten(
-        F.transform(
-            woven, lambda parts, i: F.when(i < F.size(calls), parts).otherwise(F.slice(parts, 1, 1))
-        )
-    ).cast(PARTS)
+    return F.flatten(woven).cast(PARTS)
 
 
 def final_answer(completion: Column) -> Column:

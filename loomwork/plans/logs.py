@@ -148,7 +148,7 @@ def running_min(spark, sf_dir):
              count(*) OVER (PARTITION BY user_id) AS planned FROM events),
     t AS (SELECT *, sum(CASE WHEN step > 10 THEN dt ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM s)
     SELECT user_id, event_id, step::BIGINT AS step, round(100 * step / planned, 6) AS pct_done,
-           floor(524288 / dt)::BIGINT AS tok_per_sec, round(100 * (6e9 * 524288 / dt) / 9.89e14, 6) AS mfu,
+           coalesce(floor(524288 / nullif(dt, 0))::BIGINT, -1) AS tok_per_sec, round(100 * (6e9 * 524288 / nullif(dt, 0)) / 9.89e14, 6) AS mfu,
            round(total, 6) AS total_time,
            CASE WHEN step > 10 THEN round((planned - step) * total / (step - 10), 6) END AS eta_sec
     FROM t
@@ -160,7 +160,7 @@ def throughput(spark, sf_dir):
     return out.select(
         "user_id", "event_id", "step", "tok_per_sec",
         *[F.round(c, 6).alias(c) for c in ("pct_done", "mfu", "total_time", "eta_sec")],
-    )
+    ).na.fill(-1, ["tok_per_sec"])
 
 
 @query(

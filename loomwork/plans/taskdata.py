@@ -8,6 +8,7 @@ from loomwork.functions.text import hash60
 from loomwork.operators import chatforms, synth, tasks
 from loomwork.plans.registry import query, table
 from loomwork.plans.sqltext import h60, strip as sql_strip
+from loomwork.session import spread
 
 
 def four_choices(text):
@@ -81,10 +82,13 @@ def completion_conversation(spark, sf_dir):
 
 def _worked_lines(spark, sf_dir):
     """One worked answer per order line; some state a wrong product."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber",
-        F.col("l_quantity").cast("int").alias("q"),
-        F.floor("l_extendedprice").cast("bigint").alias("p"),
+    lines = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_linenumber",
+            F.col("l_quantity").cast("int").alias("q"),
+            F.floor("l_extendedprice").cast("bigint").alias("p"),
+        ),
+        "l_orderkey",
     )
     off = F.when(hash60("l_orderkey", "l_linenumber") % 7 == 0, 1).otherwise(0)
     return lines.select(
@@ -252,7 +256,7 @@ _PROMPT_SQL = """
     """,
 )
 def code_extract(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     fenced = (
         F.when(
             F.col("doc_id") % 3 == 0,
@@ -282,7 +286,7 @@ def code_extract(spark, sf_dir):
     """,
 )
 def response_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     generation = (
         F.when(
             F.col("doc_id") % 3 == 0,
@@ -308,7 +312,7 @@ def response_text(spark, sf_dir):
     """,
 )
 def code_record(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     title = F.when(F.col("doc_id") % 7 == 0, "").otherwise(
         F.concat(F.lit("Title "), F.col("doc_id").cast("string"), F.lit(" it's"))
     )
