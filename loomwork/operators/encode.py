@@ -86,7 +86,7 @@ def decoded_bytes(raw: Column, true_bytes: bool = True) -> Column:
 
     A lone non-ASCII byte decodes to the replacement character (three bytes).
     """
-    return F.octet_length(raw) if true_bytes else F.octet_length(F.encode(F.decode(raw, "UTF-8"), "UTF-8"))
+    return F.octet_length(raw) if true_bytes else F.octet_length(F.make_valid_utf8(raw.cast("string")))
 
 
 def pad_vocabulary(tokens: DataFrame, size: int) -> DataFrame:

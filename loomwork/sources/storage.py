@@ -39,5 +39,8 @@ def write_json(spark: SparkSession, path: str, payload: dict) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    lines = spark.read.text(path, wholetext=True).first()
-    return json.loads(lines[0])
+    fs, target = _open(spark, path)
+    stream = fs.open(target)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return json.loads(text)
