@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the pre-token pattern that defines token boundaries.
-SPLIT_PATTERN = (
-    r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}"
-    r"| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
-)
+SPLIT_PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
 
-# The whitespace of str.strip(): Unicode White_Space plus the four separators.
-_SPACE = r"[\s\x1c-\x1f]"
-_LEADING = rf"(?U)^{_SPACE}++"
-# The lookbehind admits one start per run, so long inner runs stay linear.
-_TRAILING = rf"(?U)(?<!{_SPACE}){_SPACE}++\z"
+# The characters str.strip() removes: Unicode white space and the four separators.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, _LEADING, ""), _TRAILING, "")
+    """Looks at the ends only, so long texts cost no more than short ones."""
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
+    return strip(text) == ""
 
 
 def pretokens(text: Column) -> Column:
@@ -30,6 +29,9 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"((?U){SPLIT_PATTERN})"), F.lit(1))
 
 
+HASH_BITS = 60
+
+
 def hash60(*parts: Column | str) -> Column:
     """Non-negative 60-bit hash of the parts, equal in every engine with md5."""
     payload = F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p for p in parts])
@@ -38,7 +40,7 @@ def hash60(*parts: Column | str) -> Column:
 
 def unit_hash(*parts: Column | str) -> Column:
     """The same hash scaled to [0, 1)."""
-    return hash60(*parts) / F.lit(float(1 << 60))
+    return hash60(*parts) / F.lit(float(1 << HASH_BITS))
 
 
 def byte_text(text: Column) -> Column:

@@ -142,7 +142,7 @@ def train(
     vocab_size: int,
     column: str = "text",
     lookahead: int = 128,
-    rounds_per_checkpoint: int = 8,
+    rounds_per_checkpoint: int = 4,
 ) -> Vocabulary:
     """Learn merges until bytes + merges + specials reach ``vocab_size``.
 
@@ -176,7 +176,8 @@ def train(
         state = state.select(merged.alias("symbols"), "n")
         rounds += 1
         if rounds % rounds_per_checkpoint == 0:
-            state = cut_lineage(state)
+            # A pre-token merged into one symbol has no pairs left to count.
+            state = cut_lineage(state.filter(F.length("symbols") > 1))
     return Vocabulary(tuple(merges))
 
 

@@ -92,7 +92,7 @@ def decoded_bytes(raw: Column, true_bytes: bool = True) -> Column:
 def pad_vocabulary(tokens: DataFrame, size: int) -> DataFrame:
     """(token_id, n_bytes) for 0..size-1, zero where the vocabulary has no token."""
     ids = tokens.sparkSession.range(size).select(F.col("id").cast("int").alias("token_id"))
-    return ids.join(F.broadcast(tokens.select("token_id", "n_bytes")), "token_id", "left").select(
+    return ids.join(tokens.select("token_id", "n_bytes"), "token_id", "left").select(
         "token_id", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes")
     )
 

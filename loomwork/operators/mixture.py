@@ -6,10 +6,11 @@ import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loomwork.functions.text import hash60
-from loomwork.operators.running import with_ordinal
+from loomwork.operators.running import hash_block, with_ordinal
+from loomwork.session import stored
 
 
 @dataclass(frozen=True)
@@ -48,26 +49,18 @@ def index_map(recipe: Sequence[Ingredient]) -> DataFrame:
 
 def mixture(recipe: Sequence[Ingredient], seed: int = 42) -> DataFrame:
     """Union of all copies in one seeded global order (``position``)."""
-    rows = index_map(recipe)
     key = hash60(F.lit(str(seed)), F.col("task_idx"), F.col("copy"), F.col("local_idx"))
-    return with_ordinal(rows.withColumn("order_key", key), "order_key", "position")
+    rows = stored(index_map(recipe).withColumn("order_key", key), "mixture")
+    return with_ordinal(rows, "order_key", "position", block=hash_block(rows.sparkSession, "order_key"))
 
 
 def curriculum(recipe: Sequence[Ingredient]) -> DataFrame:
     """Tasks one after another; ``position`` = rows of earlier tasks + local index."""
-    rows = index_map(recipe)
-    sizes = rows.groupBy("task_idx", "copy").count()
-    earlier = sizes.alias("e")
-    # One row per recipe line, so the ordered self-join stays recipe-sized.
-    offsets = (
-        sizes.alias("s")
-        .join(
-            earlier,
-            F.struct("e.task_idx", "e.copy") < F.struct("s.task_idx", "s.copy"),
-            "left",
-        )
-        .groupBy(F.col("s.task_idx").alias("task_idx"), F.col("s.copy").alias("copy"))
-        .agg(F.coalesce(F.sum("e.count"), F.lit(0)).alias("offset"))
+    rows = stored(index_map(recipe), "curriculum")
+    # One row per copy of a recipe line: the window below and the broadcast are recipe-sized.
+    earlier = Window.orderBy("task_idx", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("task_idx", "copy").count().select(
+        "task_idx", "copy", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("offset")
     )
     return (
         rows.join(F.broadcast(offsets), ["task_idx", "copy"])

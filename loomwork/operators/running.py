@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomwork.functions.text import HASH_BITS
 from loomwork.session import default_blocks, stored
 
 _KINDS = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
@@ -41,6 +42,12 @@ def add_range_block(df: DataFrame, key: str, name: str = "__blk", blocks: int |
     return located.withColumn(name, F.col(name).cast("int")).drop(f"{name}_key")
 
 
+def hash_block(spark, key: str) -> Column:
+    """Block of a uniform 60-bit hash: its leading bits, with no pass over the data."""
+    bits = max(3, (default_blocks(spark) - 1).bit_length())
+    return F.shiftright(F.col(key), HASH_BITS - bits)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that keeps null keys; the key columns come from the left."""
     renamed = right

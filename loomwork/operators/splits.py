@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.text import hash60, unit_hash
-from loomwork.operators.running import null_safe_join, top_rows, with_ordinal
+from loomwork.operators.running import hash_block, null_safe_join, top_rows, with_ordinal
 
 # Fixed value: seed of the ratio split.
 RATIO_SPLIT_SEED = 2357
@@ -70,7 +70,7 @@ def strided_view(
 def hash_order(df: DataFrame, *parts: str, seed: int = 42) -> DataFrame:
     """Append ``order_key`` (seeded hash) and ``position`` in that order."""
     keyed = df.withColumn("order_key", hash60(F.lit(str(seed)), *parts))
-    return with_ordinal(keyed, "order_key", "position")
+    return with_ordinal(keyed, "order_key", "position", block=hash_block(df.sparkSession, "order_key"))
 
 
 def cap_after_shuffle(

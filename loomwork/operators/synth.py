@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwork.functions.text import hash60
-from loomwork.operators.running import with_ordinal
+from loomwork.operators.running import hash_block, with_ordinal
 
 # Seed offset of the test split, alphabet, quotes, question wordings.
 TEST_SEED_OFFSET = 10_000_000
@@ -80,7 +80,8 @@ def pick_words(indices: DataFrame, words: DataFrame, split: str = "train") -> Da
 
     Words are numbered in hash order; the choice is then an equi-join.
     """
-    numbered = with_ordinal(words.withColumn("__h", hash60("word")), "__h", "__slot").drop("__h")
+    hashed = words.withColumn("__h", hash60("word"))
+    numbered = with_ordinal(hashed, "__h", "__slot", block=hash_block(words.sparkSession, "__h")).drop("__h")
     n_words = words.count()
     seeded = indices.withColumn(
         "seed", F.col("index") + F.lit(TEST_SEED_OFFSET if split == "test" else 0)

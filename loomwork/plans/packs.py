@@ -107,7 +107,7 @@ def pad_group(spark, sf_dir):
 CAPACITY = 256 + 1
 
 
-def _encoded(spark, sf_dir, merges: int = 48):
+def _encoded(spark, sf_dir, merges: int = 24):
     """Documents as byte-pair tokens with their pack group, stored once.
 
     The table is read by the planner (lengths) and by the row filler (tokens).

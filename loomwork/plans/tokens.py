@@ -46,16 +46,13 @@ def pair_counts_first_merge(spark, sf_dir):
     return pairs.withColumn("is_first_merge", F.col("pair") == best)
 
 
-_MERGES = 48
-
-
-def _vocabulary(spark, docs):
-    return bpe.train(docs, bpe.BYTE_IDS + _MERGES + len(bpe.SPECIAL_TOKENS))
+def _vocabulary(docs, merges):
+    return bpe.train(docs, bpe.BYTE_IDS + merges + len(bpe.SPECIAL_TOKENS))
 
 
 @query("bpe_train_k")
 def bpe_train_k(spark, sf_dir):
-    vocabulary = _vocabulary(spark, _documents(spark, sf_dir, "doc_id", "text"))
+    vocabulary = _vocabulary(_documents(spark, sf_dir, "doc_id", "text"), 48)
     texts = vocabulary.token_bytes()
     rows = [
         (rank, m.left, m.right, m.token, m.count, texts[m.token].hex())
@@ -76,7 +73,7 @@ def bpe_train_k(spark, sf_dir):
 )
 def encode_roundtrip(spark, sf_dir):
     docs = _documents(spark, sf_dir, "doc_id", "text")
-    vocabulary = _vocabulary(spark, docs)
+    vocabulary = _vocabulary(docs, 24)
     bos = vocabulary.bos()
     tokenized = encode.tokenize(docs, vocabulary, prepend=bos)
     decode = encode.decoder_function(spark, vocabulary)

@@ -45,8 +45,7 @@ def read_corpus(spark: SparkSession, dataset: str, candidates: Sequence[str], fa
         [(name.rsplit("/", 1)[1], i) for i, name in enumerate(files)], "file_name string, shard int"
     )
     located = frame.withColumn("file_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    # One row per file name, so the lookup side is as small as the listing.
-    return located.join(F.broadcast(shards), "file_name").withColumnRenamed(column, "text")
+    return located.join(shards, "file_name").withColumnRenamed(column, "text")
 
 
 def text_rows(df: DataFrame, column: str = "text") -> DataFrame:
