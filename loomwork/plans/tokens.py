@@ -46,21 +46,41 @@ def pair_counts_first_merge(spark, sf_dir):
     return pairs.withColumn("is_first_merge", F.col("pair") == best)
 
 
-def _vocabulary(docs, merges):
+def _vocabulary(docs, merges: int) -> bpe.Vocabulary:
     return bpe.train(docs, bpe.BYTE_IDS + merges + len(bpe.SPECIAL_TOKENS))
 
 
-@query("bpe_train_k")
+def _training_sql(merges: int) -> str:
+    """Greedy training, one merge per step, over distinct pre-tokens held as byte characters."""
+    ctes = [
+        f"""p AS (SELECT piece, count(*) AS n
+                  FROM (SELECT unnest({pieces('text')}) AS piece FROM documents) GROUP BY piece)""",
+        """s0 AS MATERIALIZED (
+             SELECT array_to_string(list_transform(range(0, octet_length(encode(piece))),
+                    lambda i: chr(('0x' || substr(hex(encode(piece)), (2 * i + 1)::INT, 2))::INT)), '') AS s, n FROM p)""",
+    ]
+    for i in range(merges):
+        ctes.append(f"""
+        t{i} AS MATERIALIZED (
+          SELECT pair, sum(n)::BIGINT AS n
+          FROM (SELECT unnest(list_transform(range(1, length(s)), lambda i: substr(s, i::INT, 2))) AS pair, n FROM s{i})
+          GROUP BY pair ORDER BY n DESC, unicode(substr(pair, 1, 1)), unicode(substr(pair, 2, 1)) LIMIT 1),
+        s{i + 1} AS MATERIALIZED (
+          SELECT replace(s, (SELECT pair FROM t{i}), chr({256 + i})) AS s, n FROM s{i} WHERE length(s) > 1)""")
+    found = " UNION ALL ".join(f"SELECT {i} AS rank, pair, n FROM t{i}" for i in range(merges))
+    return f"""
+    WITH {", ".join(ctes)}, m AS ({found})
+    SELECT rank::INTEGER AS rank, unicode(substr(pair, 1, 1))::INTEGER AS left_id,
+           unicode(substr(pair, 2, 1))::INTEGER AS right_id, (256 + rank)::INTEGER AS token_id, n
+    FROM m
+    """
+
+
+@query("bpe_train_k", _training_sql(48))
 def bpe_train_k(spark, sf_dir):
     vocabulary = _vocabulary(_documents(spark, sf_dir, "doc_id", "text"), 48)
-    texts = vocabulary.token_bytes()
-    rows = [
-        (rank, m.left, m.right, m.token, m.count, texts[m.token].hex())
-        for rank, m in enumerate(vocabulary.merges)
-    ]
-    return spark.createDataFrame(
-        rows, "rank int, left_id int, right_id int, token_id int, n bigint, hex string"
-    )
+    rows = [(rank, m.left, m.right, m.token, m.count) for rank, m in enumerate(vocabulary.merges)]
+    return spark.createDataFrame(rows, "rank int, left_id int, right_id int, token_id int, n bigint")
 
 
 @query(
