@@ -99,13 +99,13 @@ def exponential_average(
     same recurrence one level up with ``beta ** block``. No run is held in one task.
     """
     steps = stored(with_ordinal(rows, key, "step", by=[run]), "steps")
-    raw = _recurrence(steps, run, "step", value, beta)
+    raw = decayed_sum(steps, run, "step", value, beta)
     return raw.withColumn(
         out, (1 - beta) * F.col("__state") / (1 - F.pow(F.lit(beta), F.col("step") + 1))
     ).drop("__state")
 
 
-def _recurrence(rows: DataFrame, run: str, step: str, value: str, beta: float) -> DataFrame:
+def decayed_sum(rows: DataFrame, run: str, step: str, value: str, beta: float) -> DataFrame:
     """Append ``__state``: sum of beta**(t-i) * value_i over i <= t, steps dense from 0."""
     # exp(600) still fits a double, so the weights inside a block cannot overflow.
     size = max(1, min(256, int(600 / -math.log(beta))))
@@ -123,7 +123,7 @@ def _recurrence(rows: DataFrame, run: str, step: str, value: str, beta: float) -
         # Older blocks are below double precision.
         carried = ends.withColumn("__state", F.col("__end"))
     else:
-        carried = _recurrence(ends, run, "__step", "__end", outer)
+        carried = decayed_sum(ends, run, "__step", "__end", outer)
     carry = carried.select(F.col(run), (F.col("__step") + 1).alias("__b"), F.col("__state").alias("__carry"))
     joined = staged.join(carry, [run, "__b"], "left")
     state = F.col("__local") + F.pow(F.lit(beta), F.col("__i") + 1) * F.coalesce("__carry", F.lit(0.0))

@@ -74,8 +74,9 @@ def stream_ema(spark, sf_dir):
     for part in (F.col("key") < low, F.col("key").between(low, high), F.col("key") > high):
         points.filter(part).coalesce(1).write.mode("append").parquet(landed)
     out = scratch_path(spark, "series-out")
-    jobs.follow_series(jobs.source(spark, landed, points.schema, 1), out, scratch_path(spark, "series-progress"))
-    return spark.read.parquet(out).withColumn("ema", F.round("ema", 6))
+    stream = jobs.source(spark, landed, points.schema, 1)
+    jobs.follow_series(stream, out, scratch_path(spark, "series-state"), scratch_path(spark, "series-progress"))
+    return spark.read.parquet(out).select("run", "key", "step", F.round("ema", 6).alias("ema"), "best")
 
 
 @query(

@@ -6,20 +6,22 @@ not read again, and a restarted job goes on where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomwork.functions.text import strip
-from loomwork.operators import chatforms, splits
+from loomwork.operators import chatforms, runlog, splits
+from loomwork.operators.running import running, with_ordinal
+from loomwork.session import stored
+from loomwork.sources import storage
 
 # Fixed value: the scheduler's line about a job that hit its time limit.
 TIME_LIMIT = r"slurmstepd: error: \*\*\* JOB ([0-9]+) ON .* DUE TO TIME LIMIT \*\*\*"
 
 
+_CARRY = "run bigint, seen bigint, total double, best double"
+
+
 def _finish(stream: DataFrame, out: str, checkpoint: str, partition_by: tuple[str, ...] = ()) -> None:
     writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
     if partition_by:
@@ -51,37 +53,52 @@ def prepare_chats(rows: DataFrame, out: str, checkpoint: str, ratio: float) -> N
     _finish(named, out, checkpoint, ("split",))
 
 
-_SERIES = "run bigint, key bigint, step bigint, ema double, best double"
-_STATE = "seen bigint, average double, best double"
-
-
-def follow_series(points: DataFrame, out: str, checkpoint: str, beta: float = 0.9) -> None:
+def follow_series(points: DataFrame, out: str, state: str, checkpoint: str, beta: float = 0.9) -> None:
     """Debiased exponential average and running minimum per run, carried across batches.
 
-    ``points`` has (run, key, value); files must arrive in key order. State is
-    three numbers per run; a batch's rows of one run are ordered by key.
+    ``points`` has (run, key, value); files must arrive in key order. A batch is
+    worked out as a batch job (block-wise, so a hot run is spread over tasks) and
+    joined to what the run carried over: three numbers per run, one snapshot per
+    batch. Both outputs are written under the batch number, so a batch that is
+    repeated after a failure replaces itself.
     """
 
-    def advance(run: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, average, best = state.get if state.exists else (0, 0.0, float("inf"))
-        batch = pd.concat(list(frames)).sort_values("key")
-        steps, averages, minima = [], [], []
-        for value in batch["value"]:
-            average = beta * average + (1 - beta) * value
-            best = min(best, value)
-            steps.append(seen)
-            seen += 1
-            averages.append(average / (1 - beta**seen))
-            minima.append(best)
-        state.update((seen, average, best))
-        yield pd.DataFrame(
-            {"run": run[0], "key": batch["key"], "step": steps, "ema": averages, "best": minima}
+    def advance(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = f"{state}/{number - 1}"
+        if storage.exists(spark, before):
+            carried = spark.read.schema(_CARRY).parquet(before)
+        else:
+            carried = spark.createDataFrame([], _CARRY)
+        steps = stored(with_ordinal(batch, "key", "i", by=["run"]), "series")
+        local = runlog.decayed_sum(steps, "run", "i", "value", beta)
+        local = running(local, "key", {"low": ("min", F.col("value"))}, by=["run"])
+        seen = F.coalesce("seen", F.lit(0)).cast("bigint")
+        total = F.col("__state") + F.pow(F.lit(beta), F.col("i") + 1) * F.coalesce("total", F.lit(0.0))
+        rows = stored(
+            local.join(carried, "run", "left").select(
+                "run",
+                "key",
+                (seen + F.col("i")).alias("step"),
+                total.alias("total"),
+                F.least("low", "best").alias("best"),
+            ),
+            "series-rows",
+        )
+        ema = (1 - beta) * F.col("total") / (1 - F.pow(F.lit(beta), F.col("step") + 1))
+        rows.select("run", "key", "step", ema.alias("ema"), "best").write.mode("overwrite").parquet(
+            f"{out}/batch={number}"
         )
+        ends = rows.groupBy("run").agg(
+            (F.max("step") + 1).alias("seen"),
+            F.max_by("total", "step").alias("total"),
+            F.min("best").alias("best"),
+        )
+        idle = carried.join(ends.select("run"), "run", "left_anti")
+        ends.unionByName(idle).write.mode("overwrite").parquet(f"{state}/{number}")
 
-    series = points.groupBy("run").applyInPandasWithState(
-        advance, _SERIES, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
-    _finish(series, out, checkpoint)
+    writer = points.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def time_limited_jobs(lines: DataFrame, out: str, checkpoint: str) -> None:
