@@ -25,6 +25,21 @@ class Ingredient:
     stop: int | None = None
 
 
+# How often each source of the chat mixture is repeated and where it stops.
+TRAIN_REPEATS = {"smoltalk": 1, "identity": 2, "mmlu": 3, "gsm8k": 4, "spelling": 1, "letter_counting": 1}
+VAL_STOPS = {"smoltalk": None, "mmlu": 5_200, "gsm8k": 420}
+
+
+def chat_recipe(
+    sources: dict[str, tuple[DataFrame, str]], split: str, repeats: dict[str, int] | None = None
+) -> list[Ingredient]:
+    """The standard chat mixture of a split from (rows, key) per source name."""
+    if split == "train":
+        times = {**TRAIN_REPEATS, **(repeats or {})}
+        return [Ingredient(name, *sources[name], repeats=n) for name, n in times.items()]
+    return [Ingredient(name, *sources[name], stop=stop) for name, stop in VAL_STOPS.items()]
+
+
 def _indexed(task_idx: int, item: Ingredient) -> DataFrame:
     local = with_ordinal(item.rows.select(item.key), item.key, "local_idx")
     keep = F.col("local_idx") >= item.start

@@ -65,6 +65,12 @@ def contiguous_shards(df: DataFrame, key: str, rows_per_shard: int = 500_000) ->
     return with_ordinal(df, key).withColumn("shard", shard.cast("bigint")).drop("ordinal")
 
 
+def write_contiguous(df: DataFrame, key: str, path: str, rows_per_shard: int = 500_000) -> None:
+    """Contiguous shards as Parquet, one folder each."""
+    placed = contiguous_shards(df, key, rows_per_shard)
+    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+
+
 def pending(inputs: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inputs not yet recorded as finished."""
     return inputs.join(done, list(on), "left_anti")

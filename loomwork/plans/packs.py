@@ -33,7 +33,7 @@ def _blocks_sql(size: int) -> str:
     """
 
 
-def _block_digest(blocks):
+def block_digest(blocks):
     return blocks.select(
         "block_id",
         F.size("tokens").cast("bigint").alias("n"),
@@ -43,12 +43,12 @@ def _block_digest(blocks):
 
 @query("chunk_fixed", _blocks_sql(512))
 def chunk_fixed(spark, sf_dir):
-    return _block_digest(chunking.fixed_blocks(_pieces(spark, sf_dir), "doc_id", 512))
+    return block_digest(chunking.fixed_blocks(_pieces(spark, sf_dir), "doc_id", 512))
 
 
 @query("block_fixed", _blocks_sql(129))
 def block_fixed(spark, sf_dir):
-    return _block_digest(chunking.fixed_blocks(_pieces(spark, sf_dir), "doc_id", 128 + 1))
+    return block_digest(chunking.fixed_blocks(_pieces(spark, sf_dir), "doc_id", 128 + 1))
 
 
 @query(

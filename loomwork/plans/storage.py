@@ -60,6 +60,24 @@ def io_message_arrays(spark, sf_dir):
     )
 
 
+@query(
+    "io_contiguous",
+    """
+    WITH n AS (SELECT count(*) AS total, greatest(1, count(*) // 90) AS k FROM documents),
+    r AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)
+    SELECT doc_id, md5(text) AS text_md5,
+           (CASE WHEN rn < (total % k) * (total // k + 1) THEN rn // (total // k + 1)
+            ELSE (total % k) + (rn - (total % k) * (total // k + 1)) // (total // k) END)::BIGINT AS shard
+    FROM r, n
+    """,
+)
+def io_contiguous(spark, sf_dir):
+    path = scratch_path(spark, "contiguous")
+    shards.write_contiguous(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", path, 90)
+    back = spark.read.parquet(path)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), F.col("shard").cast("bigint").alias("shard"))
+
+
 @query(
     "io_records",
     """

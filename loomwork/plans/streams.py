@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.plans import chats
+from loomwork.functions.text import pretokens
+from loomwork.plans import chats, packs
 from loomwork.plans.registry import query, table
 from loomwork.plans.sqltext import strip as sql_strip, unit
 from loomwork.session import scratch_path
@@ -34,6 +35,17 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(out).select("doc_id", F.md5("text").alias("text_md5"))
 
 
+@query("stream_blocks", packs._blocks_sql(129))
+def stream_blocks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    landed = _landed(docs, "blocks-in")
+    out, checkpoint = scratch_path(spark, "blocks-out"), scratch_path(spark, "blocks-progress")
+    for _ in range(2):
+        stream = jobs.source(spark, landed, docs.schema)
+        jobs.block_texts(stream, "doc_id", pretokens, 129, out, checkpoint)
+    return packs.block_digest(spark.read.parquet(out))
+
+
 @query(
     "stream_chat_split",
     chats._COERCED_SQL

@@ -6,11 +6,14 @@ not read again, and a restarted job goes on where it stopped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.text import strip
 from loomwork.operators import chatforms, runlog, splits
+from loomwork.operators.chunking import fixed_blocks
 from loomwork.operators.running import running, with_ordinal
 from loomwork.session import stored
 from loomwork.sources import storage
@@ -41,6 +44,23 @@ def ingest_texts(texts: DataFrame, out: str, checkpoint: str, column: str = "tex
     _finish(clean.filter(F.col(column).isNotNull() & (F.col(column) != "")), out, checkpoint)
 
 
+def block_texts(
+    texts: DataFrame, key: str, encode: Callable[[Column], Column], size: int, out: str, checkpoint: str
+) -> None:
+    """Tokenize arriving texts and append blocks of ``size`` tokens, one stream per batch.
+
+    Files already in the checkpoint are not read again; a repeated batch replaces
+    its own output.
+    """
+
+    def advance(batch: DataFrame, number: int) -> None:
+        tokens = stored(batch.select(key, encode(F.col("text")).alias("tokens")), "batch-tokens")
+        fixed_blocks(tokens, key, size).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = texts.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def prepare_chats(rows: DataFrame, out: str, checkpoint: str, ratio: float) -> None:
     """Coerce, validate and split chat rows; rejects keep their reason."""
     coerced = chatforms.coerce_messages(rows)

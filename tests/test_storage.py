@@ -192,3 +192,19 @@ def test_wall_clock_ignores_rl(spark):
     ]
     row = runlog.wall_clock(spark.createDataFrame(rows, "section string, stamp string")).first()
     assert (row["hours"], row["minutes"]) == (2, 30)
+
+
+def test_chat_recipe(spark):
+    from loomwork.operators import mixture
+
+    def ids(n):
+        return spark.range(n), "id"
+
+    train = {"smoltalk": ids(9), "identity": ids(4), "mmlu": ids(3), "gsm8k": ids(2), "spelling": ids(2), "letter_counting": ids(1)}
+    mixed = mixture.mixture(mixture.chat_recipe(train, "train", {"gsm8k": 5})).collect()
+    assert len(mixed) == 9 + 2 * 4 + 3 * 3 + 5 * 2 + 2 + 1
+    assert sorted(r["position"] for r in mixed) == list(range(len(mixed)))
+    assert [r["task"] for r in sorted(mixed, key=lambda r: r["position"])] != sorted(r["task"] for r in mixed)
+    val = {"smoltalk": ids(5), "mmlu": ids(5_300), "gsm8k": ids(500)}
+    counts = {r["task"]: r["n_rows"] for r in mixture.composition(mixture.index_map(mixture.chat_recipe(val, "val"))).collect()}
+    assert counts == {"smoltalk": 5, "mmlu": 5_200, "gsm8k": 420, "(all)": 5_625}
