@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwork.functions.text import is_blank
+from loomwork.operators.running import top_rows
 
 
 @dataclass(frozen=True)
@@ -33,47 +34,68 @@ STRICT = ChatRules(
 ROLES = ("system", "user", "assistant")
 
 
-def _expected(offset: Column) -> Column:
-    return F.when(F.pmod(offset, F.lit(2)) == 0, "user").otherwise("assistant")
+# Roles and faults travel through the aggregates as numbers: a (turn, code) pair packs
+# into one long, and the aggregate then needs no sort.
+_OTHER = 15
+_FAULTS = ("unsupported_role", "content_not_string", "content_empty", "message_too_long", "empty_content")
+
+
+def _code(value: Column, names: tuple[str, ...]) -> Column:
+    code = F.lit(_OTHER)
+    for i, name in enumerate(names):
+        code = F.when(value == name, i).otherwise(code)
+    return code
+
+
+def _pack(turn: Column, code: Column) -> Column:
+    return turn.cast("bigint") * 16 + code
+
+
+def _unpack(packed: Column, names: tuple[str, ...]) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in names]), (packed % 16).cast("int"))
 
 
 def judge(turns: DataFrame, rules: ChatRules = PREPARED, conv: str = "conv_id") -> DataFrame:
     """(conv, n_messages, reject_reason); the reason is null when accepted."""
-    turn, role, text = F.col("turn"), F.col("role"), F.col("text")
-    fault = F.lit(None).cast("string")
+    turn, text = F.col("turn"), F.col("text")
+    role = _code(F.col("role"), ROLES)
+    fault = F.lit(None).cast("int")
     if rules.reject_blank:
-        fault = F.when(is_blank(text), "content_empty")
-    fault = F.when(text.isNull(), "content_not_string").otherwise(fault)
+        fault = F.when(is_blank(text), _FAULTS.index("content_empty"))
+    fault = F.when(text.isNull(), _FAULTS.index("content_not_string")).otherwise(fault)
     if rules.check_role_names:
-        known = F.coalesce(role.isin(*ROLES), F.lit(False))
-        fault = F.when(~known, "unsupported_role").otherwise(fault)
+        fault = F.when(role == _OTHER, _FAULTS.index("unsupported_role")).otherwise(fault)
+
+    system, user, assistant = (ROLES.index(r) for r in ("system", "user", "assistant"))
+
+    def expected(offset: Column) -> Column:
+        return F.when(F.pmod(offset, F.lit(2)) == 0, user).otherwise(assistant)
 
     facts = turns.groupBy(conv).agg(
         F.count(F.lit(1)).alias("n_messages"),
-        F.min(F.when(fault.isNotNull(), F.struct(turn, fault.alias("fault")))).alias("first_fault"),
-        F.min(F.struct(turn, role)).alias("head"),
+        F.min(_pack(turn, fault)).alias("first_fault"),
+        F.min(_pack(turn, role)).alias("head"),
         F.max(F.when(turn == 1, role)).alias("second"),
-        F.max(F.struct(turn, role)).alias("tail"),
-        F.count_if(~role.eqNullSafe(_expected(turn))).alias("off_plain"),
-        F.count_if((turn > 0) & ~role.eqNullSafe(_expected(turn - 1))).alias("off_system"),
+        F.max(_pack(turn, role)).alias("tail"),
+        F.count_if(role != expected(turn)).alias("off_plain"),
+        F.count_if((turn > 0) & (role != expected(turn - 1))).alias("off_system"),
     )
-    led = (F.col("head.role") == "system") if rules.allow_system else F.lit(False)
-    led = F.coalesce(led, F.lit(False))
+    head, tail = F.col("head") % 16, F.col("tail") % 16
+    led = (head == system) if rules.allow_system else F.lit(False)
     dialogue = F.col("n_messages") - led.cast("int")
-    opener = F.when(led, F.col("second")).otherwise(F.col("head.role"))
+    opener = F.when(led, F.col("second")).otherwise(head)
     off = F.when(led, F.col("off_system")).otherwise(F.col("off_plain"))
+    first_fault = _unpack(F.col("first_fault"), _FAULTS)
     reason = (
         F.when(F.col("n_messages") < rules.min_messages, "too_few_messages")
-        .when(F.col("first_fault").isNotNull() & F.lit(rules.check_role_names), F.col("first_fault.fault"))
+        .when(F.col("first_fault").isNotNull() & F.lit(rules.check_role_names), first_fault)
         .when(dialogue < rules.min_dialogue, F.when(led, "system_without_dialogue").otherwise("too_few_messages"))
     )
     if rules.assistant_last:
-        reason = reason.when(~opener.eqNullSafe("user"), "not_user_first").when(
-            ~F.col("tail.role").eqNullSafe("assistant"), "not_assistant_last"
+        reason = reason.when(~opener.eqNullSafe(F.lit(user)), "not_user_first").when(
+            tail != assistant, "not_assistant_last"
         )
-    reason = reason.when(off > 0, "roles_not_alternating").when(
-        F.col("first_fault").isNotNull(), F.col("first_fault.fault")
-    )
+    reason = reason.when(off > 0, "roles_not_alternating").when(F.col("first_fault").isNotNull(), first_fault)
     return facts.select(conv, "n_messages", reason.alias("reject_reason"))
 
 
@@ -82,8 +104,6 @@ def reject_report(judged: DataFrame, conv: str = "conv_id", examples: int = 5) -
     outcome = F.coalesce("reject_reason", F.lit("accepted"))
     named = judged.withColumn("outcome", outcome)
     counts = named.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_conversations"))
-    from loomwork.operators.running import top_rows
-
     first = (
         top_rows(named, ["outcome"], [F.col(conv)], examples)
         .groupBy("outcome")
@@ -108,14 +128,14 @@ class SizeLimits:
 def judge_size(turns: DataFrame, limits: SizeLimits = SizeLimits(), conv: str = "conv_id") -> DataFrame:
     """(conv, total_chars, size_issue); sampling fields are checked when present."""
     chars = F.length("text")
-    fault = F.when(F.coalesce(chars, F.lit(0)) == 0, "empty_content").when(
-        chars > limits.max_message_chars, "message_too_long"
+    fault = F.when(F.coalesce(chars, F.lit(0)) == 0, _FAULTS.index("empty_content")).when(
+        chars > limits.max_message_chars, _FAULTS.index("message_too_long")
     )
     roles = ["user", "assistant"] + (["system"] if limits.allow_system else [])
     aggregates = [
         F.count("role").alias("n_messages"),
         F.coalesce(F.sum(chars), F.lit(0)).alias("total_chars"),
-        F.min(F.when(fault.isNotNull(), F.struct("turn", fault.alias("fault")))).alias("first_fault"),
+        F.min(_pack(F.col("turn"), fault)).alias("first_fault"),
         F.count_if(~F.coalesce(F.col("role").isin(*roles), F.lit(False))).alias("bad_roles"),
     ]
     sampling = [f for f in ("temperature", "top_k", "max_tokens") if f in turns.columns]
@@ -124,7 +144,7 @@ def judge_size(turns: DataFrame, limits: SizeLimits = SizeLimits(), conv: str =
     issue = (
         F.when(F.col("n_messages") == 0, "no_messages")
         .when(F.col("n_messages") > limits.max_messages, "too_many_messages")
-        .when(F.col("first_fault").isNotNull(), F.col("first_fault.fault"))
+        .when(F.col("first_fault").isNotNull(), _unpack(F.col("first_fault"), _FAULTS))
         .when(F.col("total_chars") > limits.max_total_chars, "conversation_too_long")
         .when(F.col("bad_roles") > 0, "invalid_role")
     )
@@ -135,9 +155,11 @@ def judge_size(turns: DataFrame, limits: SizeLimits = SizeLimits(), conv: str =
 
 
 def completed(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Conversations whose last message is from the assistant."""
-    last = turns.groupBy(conv).agg(F.max(F.struct("turn", "role")).alias("tail"))
-    return last.filter(F.col("tail.role") == "assistant").select(conv, F.col("tail.turn").alias("last_turn"))
+    """(conv, last_turn) of conversations whose last message is from the assistant."""
+    last = turns.groupBy(conv).agg(F.max(_pack(F.col("turn"), _code(F.col("role"), ROLES))).alias("tail"))
+    return last.filter(F.col("tail") % 16 == ROLES.index("assistant")).select(
+        conv, F.shiftright("tail", 4).alias("last_turn")
+    )
 
 
 def parse_names(raw: str | list | None, supported: tuple[str, ...]) -> tuple[str, ...] | None:

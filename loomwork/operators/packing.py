@@ -4,8 +4,8 @@ The rule is sequential, so it runs inside pack groups. A group takes the place o
 one reading rank: rows belong to it by a hash of their id, it holds a bounded
 number of them, and groups are independent. Python sees (id, length) only and
 answers with placements; token arrays stay in the JVM and are joined to the
-placements. Both sides carry ``pack_group``, so with co-partitioning on a subset
-of keys allowed (session.RECOMMENDED) tokens are shuffled once.
+placements. Both sides carry ``pack_group``, so where the session lets a join use
+partitioning on some of its keys (session.RECOMMENDED), tokens are shuffled once.
 """
 
 from __future__ import annotations
@@ -146,7 +146,11 @@ def fill_rows(tokens: DataFrame, placements: DataFrame, arrays: dict[str, int |
     names = list(arrays)
     # Only the first ``capacity`` elements of a sequence can ever be placed.
     wide = tokens.select("pack_group", "doc_id", *[F.slice(n, 1, capacity).alias(n) for n in names])
-    joined = placements.drop("n_tokens").join(wide, ["pack_group", "doc_id"])
+    spots = placements.drop("n_tokens")
+    if tokens.sparkSession.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false":
+        # Placed by group alone, both sides serve the join and the row assembly below.
+        spots, wide = spots.repartition("pack_group"), wide.repartition("pack_group")
+    joined = spots.join(wide, ["pack_group", "doc_id"])
     piece = F.struct("pos", *[F.slice(F.col(n), F.lit(1), F.col("take")).alias(n) for n in names])
     rows = joined.groupBy("pack_group", "row_in_group").agg(
         F.sum("take").cast("int").alias("content_len"), F.array_sort(F.collect_list(piece)).alias("pieces")

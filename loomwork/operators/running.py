@@ -10,7 +10,6 @@ an executor loss lands in the same place.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -49,14 +48,13 @@ def hash_block(spark, key: str) -> Column:
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that keeps null keys; the key columns come from the left."""
-    renamed = right
-    for name in on:
-        renamed = renamed.withColumnRenamed(name, f"__r_{name}")
-    condition = functools.reduce(
-        lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"__r_{name}")) for name in on]
-    )
-    return left.join(renamed, condition, how).drop(*[f"__r_{name}" for name in on])
+    """Equi-join that keeps null keys; the key columns come from the left.
+
+    Keys are compared as one struct, in which nulls are equal.
+    """
+    key = F.struct(*on)
+    keyed = right.withColumn("__key", key).drop(*on)
+    return left.withColumn("__key", key).join(keyed, "__key", how).drop("__key")
 
 
 def running(
@@ -79,22 +77,27 @@ def running(
     for name, (kind, value) in measures.items():
         staged = staged.withColumn(f"__v_{name}", F.lit(1) if kind == "count" else value)
 
-    group = [*by, "__blk"]
-    totals = staged.groupBy(*group).agg(
+    # One key column for aggregate, join and window, so rows are shuffled for it once.
+    staged = staged.withColumn("__key", F.struct(*by, "__blk"))
+    totals = staged.groupBy("__key").agg(
         *[_KINDS[kind](f"__v_{name}").alias(f"__t_{name}") for name, (kind, _) in measures.items()]
     )
-    earlier = Window.partitionBy(*by).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (
+        Window.partitionBy(*[F.col(f"__key.{c}") for c in by])
+        .orderBy("__key.__blk")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     carry = totals.select(
-        *group,
+        "__key",
         *[
             _KINDS[kind](f"__t_{name}").over(earlier).alias(f"__c_{name}")
             for name, (kind, _) in measures.items()
         ],
     )
-    inside = Window.partitionBy(*group).orderBy(key).rowsBetween(
+    inside = Window.partitionBy("__key").orderBy(key).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
-    out = null_safe_join(staged, carry, group)
+    out = staged.join(carry, "__key")
     for name, (kind, _) in measures.items():
         here = _KINDS[kind](f"__v_{name}").over(inside)
         before = F.col(f"__c_{name}")
@@ -107,7 +110,7 @@ def running(
             value = F.greatest(before, here)
         out = out.withColumn(name, value)
     return out.drop(
-        "__blk", *[f"__v_{n}" for n in measures], *[f"__c_{n}" for n in measures]
+        "__key", "__blk", *[f"__v_{n}" for n in measures], *[f"__c_{n}" for n in measures]
     )
 
 

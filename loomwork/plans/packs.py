@@ -90,7 +90,9 @@ def random_windows(spark, sf_dir):
     """,
 )
 def pad_group(spark, sf_dir):
-    rendered = render.render(chats.turns_of(spark, sf_dir), chats.MARKERS, 1000).select("conv_id", "tokens")
+    rendered = stored(
+        render.render(chats.turns_of(spark, sf_dir), chats.MARKERS, 1000).select("conv_id", "tokens"), "rendered"
+    )
     ids = with_ordinal(rendered.select("conv_id"), "conv_id").select(
         "conv_id", F.floor(F.col("ordinal") / 8).alias("batch")
     )
