@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import hash60, pretokens, unit_hash
-from loomwork.operators import evals, render, rollouts, splits, tasks
+from loomwork.operators import bpe, evals, render, rollouts, splits, tasks
 from loomwork.plans import chats
 from loomwork.plans.registry import query, table
 from loomwork.plans.sqltext import h60, pieces, unit
@@ -28,10 +28,12 @@ _LOSS_SQL = f"""
 
 def _losses(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    token_id = (hash60("piece") % _VOCAB).cast("int").alias("token_id")
     tokens = docs.select("doc_id", F.posexplode(pretokens(F.col("text"))).alias("pos", "piece"))
-    token_id = (hash60("piece") % _VOCAB).cast("int")
-    keyed = tokens.withColumn("token_id", token_id)
-    token_bytes = keyed.groupBy("token_id").agg(F.min(F.octet_length("piece")).alias("n_bytes")).select(
+    keyed = tokens.select("doc_id", "pos", token_id)
+    # Distinct pieces are found first, so each is hashed once for the byte table.
+    distinct = bpe.pretoken_counts(docs).select("piece", token_id)
+    token_bytes = distinct.groupBy("token_id").agg(F.min(F.octet_length("piece")).alias("n_bytes")).select(
         "token_id", F.when(F.col("token_id") < 9, 0).otherwise(F.col("n_bytes")).alias("n_bytes")
     )
     skip = hash60(F.lit("skip"), "doc_id", "pos") % 20 == 0
@@ -191,20 +193,18 @@ def _option_tokens(spark, sf_dir):
     """Code points of each option's prompt, a start token in front."""
     items = items_of(spark, sf_dir)
     start = F.array(F.lit(chats.MARKER_IDS["<|bos|>"]))
-    # Options share their opening: the question's first words, then each choice.
-    prompts = F.transform(
-        "choices", lambda c: F.concat(F.substring("query", 1, 40), F.lit(" "), c, F.lit(" ok"))
-    )
+    # Options share their opening, the question, and their ending.
+    prompts = F.transform("choices", lambda c: F.concat("query", F.lit(" "), c, F.lit(" ok")))
     return items.withColumn("tokens", F.transform(prompts, lambda p: F.concat(start, render.code_points(p))))
 
 
 _TOKENS_SQL = _ITEMS_SQL + """
     , seqs AS (
       SELECT item_id, task, gold, list_transform(choices, lambda c: list_prepend(1200000::BIGINT,
-             list_transform(list_filter(string_split(substr(query, 1, 40) || ' ' || c || ' ok', ''), lambda x: x <> ''),
+             list_transform(list_filter(string_split(query || ' ' || c || ' ok', ''), lambda x: x <> ''),
              lambda x: unicode(x)::BIGINT))) AS t FROM items),
     shared AS (
-      SELECT *, list_min(list_transform(t, lambda s: len(s))) AS m FROM seqs),
+      SELECT seqs.*, length(query) AS q_len, list_min(list_transform(t, lambda s: len(s))) AS m FROM seqs JOIN items USING (item_id)),
     com AS (
       SELECT *, coalesce(list_min(list_filter(range(1, m + 1), lambda i: len(list_distinct(list_transform(t, lambda s: s[i]))) > 1)) - 1, m) AS prefix,
              coalesce(list_min(list_filter(range(1, m + 1), lambda i: len(list_distinct(list_transform(t, lambda s: s[len(s) - i + 1]))) > 1)) - 1, m) AS suffix
@@ -237,16 +237,16 @@ def _spans(tokens, kind, source="tokens"):
     SELECT 'schema', item_id, o - 1, len(t[o]) - suffix, len(t[o]), NULL
     FROM com, (SELECT unnest(range(1, 5)) AS o) WHERE o <= len(t)
     UNION ALL
-    SELECT 'language_modelling', item_id, 0, 41 + 1, len(t[1]), NULL FROM com WHERE item_id % 2 = 0
+    SELECT 'language_modelling', item_id, 0, q_len + 1, len(t[1]), NULL FROM com WHERE item_id % 2 = 0
     UNION ALL
     SELECT 'language_modelling', item_id, 0, len(t[2]), len(t[1]), 'not_a_prefix' FROM com WHERE item_id % 2 = 1
     """,
 )
 def scoring_spans(spark, sf_dir):
     tokens = _option_tokens(spark, sf_dir)
-    # Even items give a true prefix (start token and 41 characters), odd ones another option.
+    # Even items give a true prefix (start token and question), odd ones another option.
     whole = F.get("tokens", F.lit(0))
-    without = F.when(F.col("item_id") % 2 == 0, F.slice(whole, 1, 42)).otherwise(F.get("tokens", F.lit(1)))
+    without = F.when(F.col("item_id") % 2 == 0, F.slice(whole, F.lit(1), F.length("query") + 1)).otherwise(F.get("tokens", F.lit(1)))
     tokens = tokens.withColumn("pair", F.array(without, whole))
     out = None
     for kind, source in (("multiple_choice", "tokens"), ("schema", "tokens"), ("language_modelling", "pair")):

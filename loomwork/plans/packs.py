@@ -106,7 +106,7 @@ def pad_group(spark, sf_dir):
     )
 
 
-CAPACITY = 256 + 1
+CAPACITY = 2048 + 1
 
 
 def _encoded(spark, sf_dir, merges: int = 24):
