@@ -50,7 +50,7 @@ def fewshot_draw(items: DataFrame, key: str, n_shots: int, task: str = "task") -
     distances ahead of its own, so drawing is an equi-join on (task, rank).
     """
     keyed = items.select(task, key, hash60(F.lit("shots"), key).alias("__h"))
-    ranked = with_ordinal(keyed, "__h", "rank", by=[task], block=hash_block(items.sparkSession, "__h"))
+    ranked = with_ordinal(keyed, "__h", "rank", by=[task], block=hash_block(items.sparkSession, "__h"), ties=[key])
     sizes = items.groupBy(task).agg(F.count(F.lit(1)).alias("n"))
     placed = null_safe_join(ranked, sizes, [task])
     enough = F.when(F.col("n") <= n_shots, F.raise_error(F.lit("fewer items than shots"))).otherwise(F.col("n"))

@@ -66,7 +66,10 @@ def mixture(recipe: Sequence[Ingredient], seed: int = 42) -> DataFrame:
     """Union of all copies in one seeded global order (``position``)."""
     key = hash60(F.lit(str(seed)), F.col("task_idx"), F.col("copy"), F.col("local_idx"))
     rows = stored(index_map(recipe).withColumn("order_key", key), "mixture")
-    return with_ordinal(rows, "order_key", "position", block=hash_block(rows.sparkSession, "order_key"))
+    block = hash_block(rows.sparkSession, "order_key")
+    return with_ordinal(
+        rows, "order_key", "position", block=block, ties=("task_idx", "copy", "local_idx")
+    )
 
 
 def curriculum(recipe: Sequence[Ingredient]) -> DataFrame:

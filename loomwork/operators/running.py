@@ -64,8 +64,11 @@ def running(
     by: Sequence[str] = (),
     block: Column | None = None,
     inclusive: bool = True,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Append running ``measures`` in order of the unique numeric ``key``.
+    """Append running ``measures`` in order of the numeric ``key``.
+
+    Where the key is not unique, as a hash may not be, ``ties`` settle the order.
 
     ``measures`` maps a new column to ``(kind, value)`` with kind sum, count, min
     or max. ``by`` restarts the totals per group. ``block`` may give a
@@ -94,7 +97,7 @@ def running(
             for name, (kind, _) in measures.items()
         ],
     )
-    inside = Window.partitionBy("__key").orderBy(key).rowsBetween(
+    inside = Window.partitionBy("__key").orderBy(key, *ties).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
     out = staged.join(carry, "__key")
@@ -115,10 +118,15 @@ def running(
 
 
 def with_ordinal(
-    df: DataFrame, key: str, name: str = "ordinal", by: Sequence[str] = (), block: Column | None = None
+    df: DataFrame,
+    key: str,
+    name: str = "ordinal",
+    by: Sequence[str] = (),
+    block: Column | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Zero-based position in order of ``key``, per ``by`` group."""
-    return running(df, key, {name: ("count", F.lit(1))}, by, block).withColumn(
+    return running(df, key, {name: ("count", F.lit(1))}, by, block, ties=ties).withColumn(
         name, (F.col(name) - 1).cast("bigint")
     )
 

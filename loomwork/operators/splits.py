@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.text import hash60, unit_hash
-from loomwork.operators.running import hash_block, null_safe_join, top_rows, with_ordinal
+from loomwork.operators.running import hash_block, null_safe_join, take_until, top_rows, with_ordinal
 
 # Fixed value: seed of the ratio split.
 RATIO_SPLIT_SEED = 2357
 
+# Row counts up to which Spark trims each group before the shuffle.
+_TRIMMED = 1000
+
 
 def last_shard_split(df: DataFrame, shard: str = "shard") -> DataFrame:
     """The highest shard is ``val``, all others ``train``."""
@@ -70,15 +73,19 @@ def strided_view(
 def hash_order(df: DataFrame, *parts: str, seed: int = 42) -> DataFrame:
     """Append ``order_key`` (seeded hash) and ``position`` in that order."""
     keyed = df.withColumn("order_key", hash60(F.lit(str(seed)), *parts))
-    return with_ordinal(keyed, "order_key", "position", block=hash_block(df.sparkSession, "order_key"))
+    block = hash_block(df.sparkSession, "order_key")
+    return with_ordinal(keyed, "order_key", "position", block=block, ties=parts)
 
 
 def cap_after_shuffle(
     df: DataFrame, by: Sequence[str], parts: Sequence[str], n: int, seed: int = 1337
 ) -> DataFrame:
     """Deterministic subsample: the first ``n`` of each group in seeded order."""
-    key = hash60(F.lit(str(seed)), *parts)
-    return top_rows(df.withColumn("order_key", key), by, [F.col("order_key")], n)
+    keyed = df.withColumn("order_key", hash60(F.lit(str(seed)), *parts))
+    if n <= _TRIMMED:
+        return top_rows(keyed, by, [F.col("order_key"), *[F.col(p) for p in parts]], n)
+    # Too many rows to trim per task: find each group's last key instead.
+    return take_until(keyed, "order_key", F.lit(1), n, by, keep_crossing=False)
 
 
 def preferred_split(

@@ -81,7 +81,8 @@ def pick_words(indices: DataFrame, words: DataFrame, split: str = "train") -> Da
     Words are numbered in hash order; the choice is then an equi-join.
     """
     hashed = words.withColumn("__h", hash60("word"))
-    numbered = with_ordinal(hashed, "__h", "__slot", block=hash_block(words.sparkSession, "__h")).drop("__h")
+    block = hash_block(words.sparkSession, "__h")
+    numbered = with_ordinal(hashed, "__h", "__slot", block=block, ties=["word"]).drop("__h")
     n_words = words.count()
     seeded = indices.withColumn(
         "seed", F.col("index") + F.lit(TEST_SEED_OFFSET if split == "test" else 0)

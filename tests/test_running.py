@@ -67,3 +67,16 @@ def test_take_until(spark, keep_crossing):
 def test_take_until_over_everything(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     assert R.take_until(df, "k", F.lit(1), 10, keep_crossing=False).count() == 10
+
+
+def test_caps_beyond_and_below_the_trim_limit_agree_with_order(spark):
+    from loomwork.operators import splits
+
+    df = spark.range(5000).select("id", (F.col("id") % 2).alias("g"))
+    order = {r["id"]: r["position"] for r in splits.hash_order(df, "id", seed=7).collect()}
+    assert sorted(order.values()) == list(range(5000))
+    for n in (100, 1500):
+        kept = splits.cap_after_shuffle(df, ["g"], ["id"], n, seed=7).collect()
+        for g in (0, 1):
+            want = sorted((i for i in order if i % 2 == g), key=order.get)[:n]
+            assert sorted(r["id"] for r in kept if r["g"] == g) == sorted(want)
