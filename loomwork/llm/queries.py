@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwork.llm import simhash, urlfilter
+from loomwork.llm import bestfit, simhash, tokenfiles, urlfilter
+from loomwork.llm.tokenids import TokenizerFile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +64,17 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.n = 1
 @query("op2_urlfilter", _URL_SQL)
 def op2(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages"), ["page_id"], "url", URL_RULES)
+
+
+def word_tokenizer() -> TokenizerFile:
+    return TokenizerFile(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_bestfit_packing")
+def op3(spark, sf_dir):
+    return bestfit.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query("op7_token_files")
+def op7(spark, sf_dir):
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), word_tokenizer())
