@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
 
 
 def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -34,9 +34,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All indices of the given ranges, one range after the other."""
     total = int(lengths.sum())
     if not total:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int32)
+    small = np.int32 if total < 1 << 31 and int(starts.max()) < 1 << 31 else np.int64
     ends = np.cumsum(lengths)
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+    out = np.repeat((starts - (ends - lengths)).astype(small), lengths)
+    out += np.arange(total, dtype=small)
+    return out
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:

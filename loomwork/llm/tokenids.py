@@ -75,8 +75,8 @@ class WordEncoder:
         encoded = lists.flatten().dictionary_encode()
         ids, lengths = self._words(encoded.dictionary.to_pylist())
         codes = encoded.indices.to_numpy(zero_copy_only=False)
-        starts = np.cumsum(lengths) - lengths
-        per_word = lengths[codes]
+        starts = (np.cumsum(lengths) - lengths).astype(np.int32)
+        per_word = lengths.astype(np.int32)[codes]
         flat = ids[ranges(starts[codes], per_word)]
         ends = np.concatenate([[0], np.cumsum(per_word)])
         texts_end = np.concatenate([[0], np.cumsum(counts)])
