@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwork.llm import bestfit, simhash, tokenfiles, urlfilter
+from loomwork.llm import bestfit, decontaminate, simhash, tokenfiles, urlfilter
 from loomwork.llm.tokenids import TokenizerFile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op3(spark, sf_dir):
 @query("op7_token_files")
 def op7(spark, sf_dir):
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query("op10_decontaminate")
+def op10(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
