@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwork.llm import bestfit, decontaminate, simhash, tokenfiles, urlfilter
+from loomwork.llm import bestfit, decontaminate, simhash, tokenfiles, toxicity, urlfilter
 from loomwork.llm.tokenids import TokenizerFile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op7(spark, sf_dir):
 @query("op10_decontaminate")
 def op10(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
