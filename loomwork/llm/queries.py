@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwork.llm import bestfit, decontaminate, simhash, tokenfiles, toxicity, urlfilter
+from loomwork.llm import bestfit, decontaminate, pii, simhash, tokenfiles, toxicity, urlfilter
 from loomwork.llm.tokenids import TokenizerFile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op10(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_pii")
+def op4(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
