@@ -266,3 +266,36 @@ def near_duplicates(
     least = by_root.groupBy("root").agg(F.min("__least").alias("component_id"))
     ids = by_root.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(ids, "fp").select(key, "fp", "component_id")
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``docs``, all columns, with one row per near-duplicate group: that of the smallest key.
+
+    Rows that share this key and fingerprint are one row in the result, the one of the
+    smallest text, then of the other columns. In a group without any key a null key
+    stays. Texts are joined with the decisions on (fingerprint, key), so that a group
+    that holds a third of all rows is spread over the tasks; repeated rows are reduced
+    before they are shuffled.
+    """
+    columns = docs.columns
+    schema = docs.select(*columns).schema.add("__fp", "long")
+
+    def run(batches):
+        for batch in batches:
+            values = [fingerprint(t.as_py()) for t in batch.column(columns.index(text))]
+            fp = pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*columns, "__fp"])
+
+    narrow = stored(fingerprints(docs, [key], text), "prints")
+    times = narrow.groupBy("fp", key).agg(F.count("*").alias("__times"))
+    nodes = stored(times.groupBy("fp").agg(F.min(F.struct(F.col(key).isNull(), F.col(key), "__times")).alias("first")), "nodes")
+    roots = stored(connected_components(links(nodes, radius)), "roots")
+    grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("first.col1"), F.col(f"first.{key}"), "fp", "first.__times")).alias("b"))
+    stays = best.select(F.col("b.fp").alias("__at"), F.col(f"b.{key}").alias("__least"), F.col("b.__times").alias("__times"))
+    printed = docs.mapInArrow(run, schema)
+    kept = printed.join(stays, (F.col("__fp") == F.col("__at")) & F.col(key).eqNullSafe(F.col("__least")))
+    others = [c for c in columns if c not in (key, text)]
+    order = F.struct(text, F.to_json(F.struct(*others))) if others else F.struct(text)
+    repeated = kept.filter("__times > 1").groupBy("__fp", key).agg(F.min_by(F.struct(*columns), order).alias("__r"))
+    return kept.filter("__times = 1").select(*columns).unionAll(repeated.select("__r.*"))
