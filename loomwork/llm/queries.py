@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwork.llm import bestfit, decontaminate, pii, simhash, tokenfiles, toxicity, urlfilter
+from loomwork.llm import bestfit, decontaminate, fingerprints, pii, simhash, tokenfiles, toxicity, urlfilter
 from loomwork.llm.tokenids import TokenizerFile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op5(spark, sf_dir):
 @query("op4_pii")
 def op4(spark, sf_dir):
     return pii.detect(table(spark, sf_dir, "documents"))
+
+
+@query("op9_fingerprints")
+def op9(spark, sf_dir):
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")).drop("vector", "edited_vector")
