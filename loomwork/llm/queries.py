@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwork.llm import bestfit, decontaminate, fingerprints, langid, pii, simhash, tokenfiles, toxicity, urlfilter
+from loomwork.llm import bestfit, decontaminate, fingerprints, langid, maxent, pii, simhash, tokenfiles, toxicity, urlfilter
 from loomwork.llm.tokenids import TokenizerFile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     pieces = langid.public_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return langid.predict(docs, langid.train(docs, pieces))
+
+
+@query("op8_maxent_lm")
+def op8(spark, sf_dir):
+    return maxent.score(table(spark, sf_dir, "documents"))
