@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwork.llm.arrowtext import text_slices
+from loomwork.llm.arrowtext import ranges, text_slices
 from loomwork.llm.decontaminate import word_symbols
 
 BITS = 18
@@ -91,16 +91,11 @@ class Model:
 class _Rows:
     """Sparse 0/1 rows."""
 
-    def __init__(self, rows: list[np.ndarray], column: np.ndarray):
-        kept = [column[r] for r in rows]
-        kept = [k[k >= 0] for k in kept]
-        self.sizes = np.array([len(k) for k in kept], dtype=np.int64)
-        self.index = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+    def __init__(self, index: np.ndarray, sizes: np.ndarray):
+        self.index, self.sizes = index, sizes
+        self.starts = np.cumsum(sizes) - sizes
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        from loomwork.llm.arrowtext import ranges
-
         return self.index[ranges(self.starts[rows], self.sizes[rows])], np.repeat(np.arange(len(rows)), self.sizes[rows])
 
 
@@ -145,9 +140,9 @@ def train(
     text: str = "text",
     label: str = "toxic",
     held_out: int = 5,
-    max_positive: int = 6_000,
-    max_unlabelled: int = 18_000,
-    max_chars: int = 100_000_000,
+    max_positive: int = 4_000,
+    max_unlabelled: int = 8_000,
+    max_chars: int = 40_000_000,
 ) -> Model:
     """Learns from rows outside the fold 0 of ``held_out`` only."""
     learn = fold(key, held_out) != 0
@@ -172,18 +167,24 @@ def train(
             yield pa.RecordBatch.from_arrays([part.column(0), rows], names=["p", "words"])
 
     sample = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key).select("__p", "__text")
-    found = sample.mapInArrow(run, "p boolean, words array<int>").toPandas()
-    rows = [np.asarray(w, dtype=np.int64) for w in found["words"]]
-    positive = [r for r, p in zip(rows, found["p"]) if p]
-    unlabelled = [r for r, p in zip(rows, found["p"]) if not p]
-    if not positive or not unlabelled:
+    found = sample.mapInArrow(run, "p boolean, words array<int>").toArrow()
+    is_positive = found.column("p").to_numpy()
+    lists = found.column("words").combine_chunks()
+    sizes, words = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    n_positive, n_unlabelled = int(is_positive.sum()), int((~is_positive).sum())
+    if not n_positive or not n_unlabelled:
         return Model(None, np.zeros(1))
-    in_p = np.bincount(np.concatenate(positive), minlength=1 << BITS)
-    expected = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS) * (len(positive) / len(unlabelled))
+    of_positive = np.repeat(is_positive, sizes)
+    in_p = np.bincount(words[of_positive], minlength=1 << BITS)
+    expected = np.bincount(words[~of_positive], minlength=1 << BITS) * (n_positive / n_unlabelled)
     useful = np.flatnonzero(np.abs(in_p - expected) >= MIN_DEPARTURE * np.sqrt(expected + 1))
-    column = np.full(1 << BITS, -1, dtype=np.int64)
-    column[useful] = np.arange(len(useful))
-    p_rows, u_rows = _Rows(positive, column), _Rows(unlabelled, column)
+    column = np.full(1 << BITS, -1, dtype=np.int32)
+    column[useful] = np.arange(len(useful), dtype=np.int32)
+    index, owner = column[words], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    index, owner = index[index >= 0], owner[index >= 0]
+    kept = np.bincount(owner, minlength=len(sizes))
+    p_rows = _Rows(index[is_positive[owner]], kept[is_positive])
+    u_rows = _Rows(index[~is_positive[owner]], kept[~is_positive])
     weights, intercepts = np.zeros((MEMBERS, 1 << BITS), dtype=np.float32), np.zeros(MEMBERS)
     for m in range(MEMBERS):
         weights[m, useful], intercepts[m] = train_member(p_rows, u_rows, len(useful), prior, m)
