@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomwork.llm.arrowtext import text_slices
-from loomwork.llm.tokenids import TokenizerFile, WordEncoder
+from loomwork.llm.tokenids import TokenizerFile, shared_encoder
 from loomwork.session import default_blocks, stored
 
 CAPACITY = 4096
@@ -218,7 +218,7 @@ def pieces(
     schema = f"`{key}` {type_of}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         for part, texts in text_slices(batches, "__text"):
             flat, counts = encoder.encode(texts)
             ends = np.cumsum(counts)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomwork.llm.arrowtext import text_slices
-from loomwork.llm.tokenids import TokenizerFile, WordEncoder
+from loomwork.llm.tokenids import TokenizerFile, shared_encoder
 from loomwork.session import scratch_path, stored
 from loomwork.sources.shardfiles import _filesystem
 
@@ -158,7 +158,7 @@ def write(docs: DataFrame, path: str, tokenizer: TokenizerFile, key: str = "doc_
     """
 
     def run(batches):
-        encoder, writer, out, name = WordEncoder(tokenizer), None, None, None
+        encoder, writer, out, name = shared_encoder(tokenizer), None, None, None
         end = np.array([end_id], dtype=np.uint32)
         for part, texts in text_slices(batches, "__text"):
             if writer is None:

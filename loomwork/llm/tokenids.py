@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +40,18 @@ class TokenizerFile:
     special: str = "<|endoftext|>"
 
 
+def shared_encoder(file: TokenizerFile) -> WordEncoder:
+    """This worker process's encoder for ``file``.
+
+    A worker outlives its tasks, so the words one task has encoded serve the next. What
+    is kept is bounded by ``KEPT_WORDS`` and does not depend on which tasks ran before.
+    """
+    kept = sys.modules.setdefault("_loomwork_encoders", types.ModuleType("_loomwork_encoders"))
+    if getattr(kept, "file", None) != (file.path, file.special):
+        kept.encoder, kept.file = WordEncoder(file), (file.path, file.special)
+    return kept.encoder
+
+
 class WordEncoder:
     def __init__(self, file: TokenizerFile):
         # Spark fills the cores with tasks; threads inside one would only add memory.
