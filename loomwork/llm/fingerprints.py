@@ -47,17 +47,20 @@ def paragraphs(text: Column) -> Column:
 
 
 def _sums(paragraph: Column) -> list[Column]:
-    """Aggregates over paragraph rows: count, equality lanes, packed sign lanes."""
+    """Aggregates over paragraph rows: count, equality lanes, packed sign lanes.
+
+    A null paragraph, the mark of a row without any, adds nothing.
+    """
     # The paragraph's own hash is shared; further hashes are of that long.
-    here = F.xxhash64(paragraph)
+    here = F.when(paragraph.isNotNull(), F.xxhash64(paragraph))
     out = [F.count(paragraph).alias("n")]
     for i in range(_WORDS):
-        h = F.xxhash64(paragraph, F.lit(i))
+        h = F.when(paragraph.isNotNull(), F.xxhash64(paragraph, F.lit(i)))
         out.append(F.sum(h.bitwiseAND(F.lit(_LANES - 1))).alias(f"e{2 * i}"))
         out.append(F.sum(F.shiftrightunsigned(h, 32)).alias(f"e{2 * i + 1}"))
     mask = F.lit((1 << 32) + 1)
     for k, b in _PAIRS:
-        h = F.xxhash64(here, F.lit(-1 - k))
+        h = F.when(here.isNotNull(), F.xxhash64(here, F.lit(-1 - k)))
         out.append(F.sum(F.shiftrightunsigned(h, b).bitwiseAND(mask)).alias(f"s{k}_{b}"))
     return out
 
