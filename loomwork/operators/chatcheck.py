@@ -79,15 +79,27 @@ def judge(turns: DataFrame, rules: ChatRules = PREPARED, conv: str = "conv_id")
         F.max(_pack(turn, role)).alias("tail"),
         F.count_if(role != expected(turn)).alias("off_plain"),
         F.count_if((turn > 0) & (role != expected(turn - 1))).alias("off_system"),
+        F.min(turn).alias("lowest"),
+        F.sum(turn.cast("decimal(38,0)")).alias("turns"),
+        F.sum((turn * turn).cast("decimal(38,0)")).alias("squares"),
     )
     head, tail = F.col("head") % 16, F.col("tail") % 16
     led = (head == system) if rules.allow_system else F.lit(False)
     dialogue = F.col("n_messages") - led.cast("int")
     opener = F.when(led, F.col("second")).otherwise(head)
     off = F.when(led, F.col("off_system")).otherwise(F.col("off_plain"))
+    # Turns 0 to n - 1 once each: parity then tells a message's place.
+    n = F.col("n_messages").cast("decimal(18,0)")
+    contiguous = F.coalesce(
+        (F.col("lowest") == 0)
+        & (F.col("turns") * 2 == n * (n - 1))
+        & (F.col("squares") * 6 == n * (n - 1) * (n * 2 - 1)),
+        F.lit(False),
+    )
     first_fault = _unpack(F.col("first_fault"), _FAULTS)
     reason = (
         F.when(F.col("n_messages") < rules.min_messages, "too_few_messages")
+        .when(~contiguous, "turns_not_contiguous")
         .when(F.col("first_fault").isNotNull() & F.lit(rules.check_role_names), first_fault)
         .when(dialogue < rules.min_dialogue, F.when(led, "system_without_dialogue").otherwise("too_few_messages"))
     )

@@ -29,8 +29,8 @@ def fixed_blocks(
     The last, shorter block of a stream is dropped unless ``keep_tail``. Offsets
     are found on lengths alone; a block then gathers at most ``size`` tokens.
     """
-    starts = stream_offsets(docs, key, F.size(tokens), by).select(key, "n_tokens", "start")
-    placed = docs.select(*by, key, tokens).join(starts, key).filter(F.col("n_tokens") > 0)
+    starts = stream_offsets(docs, key, F.size(tokens), by).select(*by, key, "n_tokens", "start")
+    placed = null_safe_join(docs.select(*by, key, tokens), starts, [*by, key]).filter(F.col("n_tokens") > 0)
     first = F.floor(F.col("start") / size)
     last = F.floor((F.col("start") + F.col("n_tokens") - 1) / size)
     cut = placed.withColumn("block_id", F.explode(F.sequence(first, last)))

@@ -12,6 +12,8 @@ from loomwork.operators.running import hash_block, null_safe_join, top_rows, wit
 
 # Fixed value: first part of the seed of few-shot draws.
 FEWSHOT_SEED = 1234
+# Primes above any number of items, so that a stride meets each distance once.
+STRIDES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857)
 
 
 # --- bits per byte ---------------------------------------------------------
@@ -24,7 +26,9 @@ def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, by: Sequence[str] =
     """
     scored = losses.filter(F.col("target") >= 0).withColumnRenamed("target", "token_id")
     # No hint: a stored vocabulary is broadcast by its file size, a large one is not.
-    joined = scored.join(token_bytes, "token_id")
+    joined = scored.join(token_bytes, "token_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no byte length for token "), F.col("token_id").cast("string")))
+    joined = joined.withColumn("n_bytes", F.when(F.col("n_bytes").isNull(), missing.cast("bigint")).otherwise(F.col("n_bytes")))
     sums = joined.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("n_bytes") > 0, F.col("loss"))), F.lit(0.0)).alias("nats"),
         F.coalesce(F.sum("n_bytes"), F.lit(0)).cast("bigint").alias("n_bytes"),
@@ -47,18 +51,23 @@ def fewshot_draw(items: DataFrame, key: str, n_shots: int, task: str = "task") -
     """(task, key, shot_no, shot_key): distinct others per item, never itself.
 
     Items are ranked in hash order and each draws the ranks at seeded, distinct
-    distances ahead of its own, so drawing is an equi-join on (task, rank).
+    distances ahead of its own, a seeded stride apart, so drawing is an equi-join on
+    (task, rank). Without shots the table is empty.
     """
+    if n_shots < 1:
+        return items.select(task, key, F.lit(0).cast("bigint").alias("shot_no"), F.col(key).alias("shot_key")).limit(0)
     keyed = items.select(task, key, hash60(F.lit("shots"), key).alias("__h"))
     ranked = with_ordinal(keyed, "__h", "rank", by=[task], block=hash_block(items.sparkSession, "__h"), ties=[key])
     sizes = items.groupBy(task).agg(F.count(F.lit(1)).alias("n"))
     placed = null_safe_join(ranked, sizes, [task])
     enough = F.when(F.col("n") <= n_shots, F.raise_error(F.lit("fewer items than shots"))).otherwise(F.col("n"))
-    seed = hash60((F.col("rank") + FEWSHOT_SEED).cast("string"))
+    number = (F.col("rank") + FEWSHOT_SEED).cast("string")
+    seed = hash60(number)
+    stride = F.get(F.array(*[F.lit(s) for s in STRIDES]), F.pmod(hash60(F.lit("stride"), number), F.lit(len(STRIDES))).cast("int"))
     draws = placed.withColumn("n", enough).select(
-        task, key, "rank", "n", seed.alias("seed"), F.explode(F.sequence(F.lit(1), F.lit(n_shots))).alias("shot_no")
+        task, key, "rank", "n", seed.alias("seed"), stride.alias("stride"), F.explode(F.sequence(F.lit(1), F.lit(n_shots))).alias("shot_no")
     )
-    distance = 1 + F.pmod(F.col("seed") + F.col("shot_no"), F.col("n") - 1)
+    distance = 1 + F.pmod(F.col("seed") + F.col("shot_no") * F.col("stride"), F.col("n") - 1)
     wanted = draws.withColumn("__rank", F.pmod(F.col("rank") + distance, F.col("n"))).drop("rank")
     others = ranked.select(F.col(task), F.col("rank").alias("__rank"), F.col(key).alias("shot_key"))
     return null_safe_join(wanted, others, [task, "__rank"]).select(
@@ -66,14 +75,23 @@ def fewshot_draw(items: DataFrame, key: str, n_shots: int, task: str = "task") -
     )
 
 
-def shot_texts(draws: DataFrame, shots: DataFrame, key: str) -> DataFrame:
-    """(key, shots): example texts of each item, each followed by a blank line."""
-    told = draws.join(shots.withColumnRenamed(key, "shot_key"), "shot_key")
+def shot_texts(draws: DataFrame, shots: DataFrame, key: str, task: str = "task") -> DataFrame:
+    """(task, key, shots): example texts of each item, each followed by a blank line.
+
+    Keys are those of a task: equal ones in two tasks are two items.
+    """
+    told = null_safe_join(draws, shots.withColumnRenamed(key, "shot_key"), [task, "shot_key"])
     ordered = F.array_sort(F.collect_list(F.struct("shot_no", "shot_text")))
     joined = F.array_join(
         F.transform(ordered, lambda s: F.concat(s["shot_text"], F.lit("\n\n"))), ""
     )
-    return told.groupBy(key).agg(joined.alias("shots"))
+    return told.groupBy(task, key).agg(joined.alias("shots"))
+
+
+def with_shots(items: DataFrame, draws: DataFrame, shot_text: Column, key: str, task: str = "task") -> DataFrame:
+    """``items`` with their ``shots``, an empty text where an item draws none."""
+    told = shot_texts(draws, items.select(task, key, shot_text.alias("shot_text")), key, task)
+    return null_safe_join(items, told, [task, key], "left").fillna("", ["shots"])
 
 
 def choice_prompts(query: Column, choices: Column, delimiter: str, shots: Column) -> Column:
@@ -186,9 +204,10 @@ def task_scores(outcomes: DataFrame, baselines: DataFrame, task: str = "task", p
     """(task, accuracy, centred); baselines are (task, baseline)."""
     accuracy = outcomes.groupBy(task).agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
     base = F.col("baseline") * 0.01 if percent else F.col("baseline")
-    return accuracy.join(baselines, task).select(
-        task, "accuracy", centred(F.col("accuracy"), base).alias("centred")
-    )
+    known = null_safe_join(accuracy, baselines, [task], "left")
+    missing = F.raise_error(F.concat(F.lit("no baseline for task "), F.coalesce(F.col(task).cast("string"), F.lit("null"))))
+    base = F.when(F.col("baseline").isNull(), missing.cast("double")).otherwise(base)
+    return known.select(task, "accuracy", centred(F.col("accuracy"), base).alias("centred"))
 
 
 def mean_centred(scores: DataFrame, required: Sequence[str] | None = None) -> DataFrame:

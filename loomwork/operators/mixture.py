@@ -57,8 +57,12 @@ def index_map(recipe: Sequence[Ingredient]) -> DataFrame:
     """One row per (task, copy, local index); texts are joined on later, by item."""
     parts = []
     for task_idx, item in enumerate(recipe):
+        if item.repeats < 1:  # left out, with its place in the recipe kept
+            continue
         copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(item.repeats).cast("bigint")))
         parts.append(_indexed(task_idx, item).withColumn("copy", copies))
+    if not parts:
+        raise ValueError("every line of the recipe is left out")
     return functools.reduce(DataFrame.unionByName, parts)
 
 

@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from loomwork.functions.text import hash60
 from loomwork.operators.running import running
 
 PLACEMENT = (
@@ -94,10 +95,15 @@ def place(
         refill()
 
 
-def with_pack_group(rows: DataFrame, key: str = "doc_id", docs_per_group: int = 8192) -> DataFrame:
-    """Append ``pack_group``: about ``docs_per_group`` rows each, by hash of the id."""
-    groups = max(1, -(-rows.count() // docs_per_group))
-    return rows.withColumn("pack_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+def with_pack_group(rows: DataFrame, n_groups: int, key: str = "doc_id") -> DataFrame:
+    """Append ``pack_group``, one of ``n_groups``, by hash of the id.
+
+    The number of groups stands for the number of reading ranks: it is chosen and kept
+    with the data, so that more rows never move a row to another group.
+    """
+    if n_groups < 1:
+        raise ValueError("need one group at least")
+    return rows.withColumn("pack_group", F.pmod(hash60(F.col(key).cast("string")), F.lit(n_groups)).cast("int"))
 
 
 def plan(

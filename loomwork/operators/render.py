@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomwork.operators.chatcheck import completed
 from loomwork.operators.running import running
 
-# Segment order: turn first, then part; a message holds fewer parts than this.
-_PARTS = 1 << 20
 # Turns per block of the running token count (bounds a window partition).
 _TURNS_PER_BLOCK = 1024
 
@@ -84,7 +82,7 @@ def _bos(codec: Codec) -> Column:
 
 
 def segments(turns: DataFrame, codec: Codec, conv: str = "conv_id", template: str | None = None) -> DataFrame:
-    """(conv, ord, tokens, mask) from folded turns."""
+    """(conv, turn, pos, tokens, mask) from folded turns."""
     template = template or choose_template(codec.specials)
     exploded = as_parts(turns).select(
         conv, "turn", "role", "opens",
@@ -125,7 +123,8 @@ def segments(turns: DataFrame, codec: Codec, conv: str = "conv_id", template: st
     pieces = [*filled(before), (F.col("__body"), body), *filled(after)]
     return exploded.select(
         conv,
-        (F.col("turn").cast("bigint") * _PARTS + F.col("pos")).alias("ord"),
+        F.col("turn").cast("bigint").alias("turn"),
+        "pos",
         F.concat(*[ids for ids, _ in pieces]).alias("tokens"),
         F.concat(*[F.array_repeat(m, F.size(ids)) for ids, m in pieces]).alias("mask"),
     )
@@ -138,13 +137,14 @@ def gather(parts: DataFrame, max_tokens: int, conv: str = "conv_id") -> DataFram
     )
     placed = running(
         cut,
-        "ord",
+        "turn",
         {"__offset": ("sum", F.size("tokens"))},
         by=[conv],
-        block=F.floor(F.col("ord") / (_PARTS * _TURNS_PER_BLOCK)),
+        block=F.floor(F.col("turn") / _TURNS_PER_BLOCK),
         inclusive=False,
+        ties=["pos"],
     ).filter(F.col("__offset") < max_tokens)
-    rows = F.array_sort(F.collect_list(F.struct("ord", "tokens", "mask")))
+    rows = F.array_sort(F.collect_list(F.struct("turn", "pos", "tokens", "mask")))
     return placed.groupBy(conv).agg(rows.alias("rows")).select(
         conv,
         F.slice(F.flatten("rows.tokens"), 1, max_tokens).alias("tokens"),

@@ -107,8 +107,8 @@ def exponential_average(
 
 def decayed_sum(rows: DataFrame, run: str, step: str, value: str, beta: float) -> DataFrame:
     """Append ``__state``: sum of beta**(t-i) * value_i over i <= t, steps dense from 0."""
-    # exp(600) still fits a double, so the weights inside a block cannot overflow.
-    size = max(1, min(256, int(600 / -math.log(beta))))
+    # Weights inside a block stay below e^40, so values up to 1e290 cannot overflow.
+    size = max(2, min(256, int(40 / -math.log(beta)))) if beta > 0 else 2
     staged = rows.withColumn("__b", F.floor(F.col(step) / size)).withColumn("__i", F.col(step) % size)
     inside = Window.partitionBy(run, "__b").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
     grown = F.pow(F.lit(1 / beta), F.col("__i")) * F.col(value)
@@ -119,12 +119,16 @@ def decayed_sum(rows: DataFrame, run: str, step: str, value: str, beta: float) -
         F.col(run), F.col("__b").alias("__step"), F.col("__local").alias("__end")
     )
     outer = beta**size
-    if outer < 1e-16:
-        # Older blocks are below double precision.
-        carried = ends.withColumn("__state", F.col("__end"))
+    if outer < 1e-3:
+        # A block reaches as far as its weight is a double above zero: a few dozen blocks.
+        reach = F.explode(F.sequence(F.lit(0), F.lit(int(745 / -math.log(max(outer, 1e-300))) + 1)))
+        told = ends.select(F.col(run), "__step", "__end", reach.alias("__d"))
+        carry = told.groupBy(run, (F.col("__step") + F.col("__d") + 1).alias("__b")).agg(
+            F.sum(F.col("__end") * F.pow(F.lit(outer), F.col("__d"))).alias("__carry")
+        )
     else:
         carried = decayed_sum(ends, run, "__step", "__end", outer)
-    carry = carried.select(F.col(run), (F.col("__step") + 1).alias("__b"), F.col("__state").alias("__carry"))
+        carry = carried.select(F.col(run), (F.col("__step") + 1).alias("__b"), F.col("__state").alias("__carry"))
     joined = staged.join(carry, [run, "__b"], "left")
     state = F.col("__local") + F.pow(F.lit(beta), F.col("__i") + 1) * F.coalesce("__carry", F.lit(0.0))
     return joined.withColumn("__state", state).drop("__b", "__i", "__local", "__carry")

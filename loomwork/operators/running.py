@@ -28,6 +28,8 @@ def add_range_block(df: DataFrame, key: str, name: str = "__blk", blocks: int |
     shuffle width. Finding a row's block is a binary search inside the JVM.
     """
     blocks = blocks or default_blocks(df.sparkSession)
+    if blocks == 1:
+        return df.withColumn(name, F.lit(0))
     cuts = df.select(F.col(key).cast("double").alias(key)).approxQuantile(
         key, [i / blocks for i in range(1, blocks)], 1.0 / (4 * blocks)
     )

@@ -68,7 +68,7 @@ def contiguous_shards(df: DataFrame, key: str, rows_per_shard: int = 500_000) ->
 def write_contiguous(df: DataFrame, key: str, path: str, rows_per_shard: int = 500_000) -> None:
     """Contiguous shards as Parquet, one folder each."""
     placed = contiguous_shards(df, key, rows_per_shard)
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    placed.repartition("shard").sortWithinPartitions("shard", key).write.partitionBy("shard").parquet(path)
 
 
 def pending(inputs: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -77,8 +77,8 @@ def pending(inputs: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def append_missing(existing: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Existing rows plus the new rows whose key is not there yet."""
-    return existing.unionByName(pending(new, existing.select(*on), on))
+    """Existing rows plus the new rows whose key is not there yet, one per key."""
+    return existing.unionByName(pending(new, existing.select(*on), on).dropDuplicates(list(on)))
 
 
 def budgeted_text(

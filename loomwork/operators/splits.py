@@ -7,18 +7,16 @@ import json
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.text import hash60, unit_hash
-from loomwork.operators.running import hash_block, null_safe_join, take_until, top_rows, with_ordinal
+from loomwork.operators.running import hash_block, null_safe_join, running, with_ordinal
+from loomwork.session import stored
 
 # Fixed value: seed of the ratio split.
 RATIO_SPLIT_SEED = 2357
 
-# Row counts up to which Spark trims each group before the shuffle.
-_TRIMMED = 1000
-
 
 def last_shard_split(df: DataFrame, shard: str = "shard") -> DataFrame:
     """The highest shard is ``val``, all others ``train``."""
@@ -80,12 +78,26 @@ def hash_order(df: DataFrame, *parts: str, seed: int = 42) -> DataFrame:
 def cap_after_shuffle(
     df: DataFrame, by: Sequence[str], parts: Sequence[str], n: int, seed: int = 1337
 ) -> DataFrame:
-    """Deterministic subsample: the first ``n`` of each group in seeded order."""
+    """Deterministic subsample: exactly the first ``n`` of each group in seeded order.
+
+    The order is the hash, then ``parts``. Counts per full key give each group's last
+    key and how many of its rows are still in; only rows of that one key are numbered.
+    """
+    by = list(by)
     keyed = df.withColumn("order_key", hash60(F.lit(str(seed)), *parts))
-    if n <= _TRIMMED:
-        return top_rows(keyed, by, [F.col("order_key"), *[F.col(p) for p in parts]], n)
-    # Too many rows to trim per task: find each group's last key instead.
-    return take_until(keyed, "order_key", F.lit(1), n, by, keep_crossing=False)
+    counts = stored(keyed.groupBy(*dict.fromkeys([*by, "order_key", *parts])).agg(F.count(F.lit(1)).alias("__w")), "counts")
+    block = hash_block(df.sparkSession, "order_key")
+    walked = running(counts, "order_key", {"__sum": ("sum", F.col("__w"))}, by, block=block, ties=list(parts))
+    full = F.struct("order_key", *[F.col(p).alias(f"__p{i}") for i, p in enumerate(parts)])
+    edge = walked.filter(F.col("__sum") >= n).select(*by, F.struct(full.alias("k"), (n - F.col("__sum") + F.col("__w")).alias("r")).alias("__e"))
+    last = edge.groupBy(*by).agg(F.min("__e").alias("__last")) if by else edge.agg(F.min("__e").alias("__last"))
+    marked = null_safe_join(keyed, last, by, "left") if by else keyed.crossJoin(F.broadcast(last))  # one row
+    here = marked.withColumn("__k", full)
+    inside = here.filter(F.col("__last").isNull() | (F.col("__k") < F.col("__last.k")))
+    numbered = Window.partitionBy(*by, "__k").orderBy("order_key")
+    at_edge = here.filter(F.col("__k") == F.col("__last.k")).withColumn("__n", F.row_number().over(numbered))
+    kept = at_edge.filter(F.col("__n") <= F.col("__last.r")).drop("__n")
+    return inside.unionByName(kept).drop("__k", "__last")
 
 
 def preferred_split(

@@ -256,7 +256,11 @@ def fold_system(spark, sf_dir):
 _CODES = "list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: unicode(x)::BIGINT)"
 
 
-def _rendered_sql(head: str, tail: str, tail_mask: str, source: str = "folded") -> str:
+# Reference default, and a length that no conversation reaches.
+MAX_TOKENS, UNCUT = 2048, 1 << 30
+
+
+def _rendered_sql(head: str, tail: str, tail_mask: str, source: str = "folded", limit: int = MAX_TOKENS) -> str:
     return f"""
     , seg AS (
       SELECT conv_id, turn,
@@ -267,7 +271,7 @@ def _rendered_sql(head: str, tail: str, tail_mask: str, source: str = "folded")
                          list_transform({tail}, lambda x: {tail_mask})) AS msk
       FROM {source}),
     conv AS (
-      SELECT conv_id, flatten(list(toks ORDER BY turn))[1:1000] AS tokens, flatten(list(msk ORDER BY turn))[1:1000] AS mask
+      SELECT conv_id, flatten(list(toks ORDER BY turn))[1:{limit}] AS tokens, flatten(list(msk ORDER BY turn))[1:{limit}] AS mask
       FROM seg GROUP BY conv_id)
     """
 
@@ -281,6 +285,7 @@ _IM_SQL = _rendered_sql(
     "list_concat([1200001::BIGINT], list_transform(string_split(role || chr(10), ''), lambda x: unicode(x)::BIGINT))",
     "[1200002::BIGINT, 10::BIGINT]",
     "CASE WHEN role = 'assistant' THEN 1 ELSE 0 END",
+    limit=UNCUT,
 )
 _SUMMARY_SQL = """
     SELECT conv_id, len(tokens)::BIGINT AS n_tokens, list_sum(mask)::BIGINT AS n_supervised,
@@ -303,12 +308,12 @@ def summarize(rendered):
 
 @query("render_ids_mask", _FOLD_SQL + _MARKER_SQL + _SUMMARY_SQL)
 def render_ids_mask(spark, sf_dir):
-    return summarize(render.render(turns_of(spark, sf_dir), MARKERS, 1000))
+    return summarize(render.render(turns_of(spark, sf_dir), MARKERS))
 
 
 @query("render_im_template", _FOLD_SQL + _IM_SQL + _SUMMARY_SQL)
 def render_im_template(spark, sf_dir):
-    return summarize(render.render(turns_of(spark, sf_dir), IM, 1000))
+    return summarize(render.render(turns_of(spark, sf_dir), IM, UNCUT))
 
 
 @query(
@@ -326,7 +331,7 @@ def render_im_template(spark, sf_dir):
     """,
 )
 def completion_prompt(spark, sf_dir):
-    prompts = render.render_for_completion(turns_of(spark, sf_dir), MARKERS, 1000)
+    prompts = render.render_for_completion(turns_of(spark, sf_dir), MARKERS)
     return prompts.select(
         "conv_id",
         F.size("tokens").cast("bigint").alias("n_tokens"),
@@ -346,7 +351,7 @@ def completion_prompt(spark, sf_dir):
     """,
 )
 def shift_targets(spark, sf_dir):
-    rendered = render.render(turns_of(spark, sf_dir), MARKERS, 1000)
+    rendered = render.render(turns_of(spark, sf_dir), MARKERS)
     inputs, targets = render.loss_targets(F.col("tokens"), F.col("mask"))
     return rendered.select(
         "conv_id",

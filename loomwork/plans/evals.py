@@ -104,7 +104,7 @@ _ITEMS_SQL = f"""
              count(*) OVER (PARTITION BY task) AS n FROM items),
     draws AS (
       SELECT item_id, task, s AS shot_no,
-             (rnk + 1 + ({h60('rnk + 1234')} + s) % (n - 1)) % n AS want
+             (rnk + 1 + ({h60('rnk + 1234')} + s * ({list(evals.STRIDES)})[1 + {h60("'stride'", 'rnk + 1234')} % {len(evals.STRIDES)}]) % (n - 1)) % n AS want
       FROM ranked, (SELECT unnest(range(1, 4)) AS s)),
     drawn AS (
       SELECT d.task, d.item_id, d.shot_no, r.item_id AS shot_key
@@ -123,14 +123,13 @@ def fewshot_draw(spark, sf_dir):
 _SHOTS_SQL = _ITEMS_SQL + """
     , shots AS (
       SELECT d.item_id, string_agg({text} || chr(10) || chr(10), '' ORDER BY d.shot_no) AS shots
-      FROM drawn d JOIN items e ON e.item_id = d.shot_key GROUP BY d.item_id)
+      FROM drawn d JOIN items e ON e.item_id = d.shot_key AND e.task = d.task GROUP BY d.item_id)
 """
 
 
 def _with_shots(items, shot_text):
     draws = evals.fewshot_draw(items, "item_id", 3)
-    told = evals.shot_texts(draws, items.select("item_id", shot_text.alias("shot_text")), "item_id")
-    return items.join(told, "item_id")
+    return evals.with_shots(items, draws, shot_text, "item_id")
 
 
 def _exploded(prompts):
@@ -358,7 +357,7 @@ def core_metric(spark, sf_dir):
       SELECT l_orderkey, l_linenumber AS pos, l_partkey AS next_token,
              CASE WHEN {h60('l_orderkey', 'l_linenumber')} % 10 = 0 THEN l_partkey + 1 ELSE l_partkey END AS predicted
       FROM lineitem)
-    SELECT l_orderkey, bool_and(predicted = next_token) AS correct FROM p WHERE pos >= 1 AND pos < 5 GROUP BY l_orderkey
+    SELECT l_orderkey, bool_and(predicted = next_token) AS correct FROM p GROUP BY l_orderkey
     """,
 )
 def lm_match(spark, sf_dir):
@@ -370,9 +369,11 @@ def lm_match(spark, sf_dir):
         (F.col("l_partkey") + F.when(hash60("l_orderkey", "l_linenumber") % 10 == 0, 1).otherwise(0)).alias(
             "predicted_token"
         ),
-        F.lit(2).alias("start"),
-        F.lit(6).alias("end"),
+        F.lit(1).alias("start"),
     )
+    # Every line is judged: the span ends with the order.
+    ends = lines.groupBy("l_orderkey").agg((F.max("pos") + 2).alias("end"))
+    lines = lines.join(ends, "l_orderkey")
     return evals.all_tokens_match(lines, ["l_orderkey"])
 
 
@@ -552,7 +553,7 @@ def rollout_means(spark, sf_dir):
     """,
 )
 def rollout_targets(spark, sf_dir):
-    rendered = render.render(chats.turns_of(spark, sf_dir), chats.MARKERS, 1000)
+    rendered = render.render(chats.turns_of(spark, sf_dir), chats.MARKERS)
     samples = rendered.withColumn("prompt", F.floor(F.col("conv_id") / 4))
     out = rollouts.targets(samples, "prompt", chats.MARKER_IDS["<|assistant_end|>"])
     return out.select(

@@ -91,7 +91,7 @@ def random_windows(spark, sf_dir):
 )
 def pad_group(spark, sf_dir):
     rendered = stored(
-        render.render(chats.turns_of(spark, sf_dir), chats.MARKERS, 1000).select("conv_id", "tokens"), "rendered"
+        render.render(chats.turns_of(spark, sf_dir), chats.MARKERS).select("conv_id", "tokens"), "rendered"
     )
     ids = with_ordinal(rendered.select("conv_id"), "conv_id").select(
         "conv_id", F.floor(F.col("ordinal") / 8).alias("batch")
@@ -117,7 +117,7 @@ def _encoded(spark, sf_dir, merges: int = 24):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     vocabulary = bpe.train(docs, bpe.BYTE_IDS + merges + len(bpe.SPECIAL_TOKENS))
     tokens = encode.tokenize(docs, vocabulary, prepend=vocabulary.bos()).drop("text")
-    return packing.with_pack_group(stored(tokens, "tokens"), docs_per_group=2048), vocabulary
+    return packing.with_pack_group(stored(tokens, "tokens"), n_groups=2), vocabulary
 
 
 @query("pack_crop")
@@ -162,7 +162,7 @@ def pack_crop_rows(spark, sf_dir):
 )
 def pack_crop_coverage(spark, sf_dir):
     docs = _pieces(spark, sf_dir).select("doc_id", (F.size("tokens") + 1).alias("n_tokens"))
-    grouped = packing.with_pack_group(docs, docs_per_group=2048)
+    grouped = packing.with_pack_group(docs, n_groups=2)
     placements = stored(packing.plan(grouped, CAPACITY, crop=True, buffer_size=1000))
     fits = placements.groupBy("doc_id", "n_tokens").agg(
         F.count(F.lit(1)).alias("n_placements"),
@@ -177,7 +177,7 @@ def _padded(spark, sf_dir):
     turns = chats.turns_of(spark, sf_dir)
     rendered = render.render(turns, chats.MARKERS, 1000 + 1).withColumnRenamed("conv_id", "doc_id")
     sized = stored(rendered.withColumn("n_tokens", F.size("tokens")), "rendered")
-    tokens = packing.with_pack_group(sized, docs_per_group=2048)
+    tokens = packing.with_pack_group(sized, n_groups=2)
     placements = stored(packing.plan(tokens, 1001, crop=False, buffer_size=100))
     return tokens, placements
 

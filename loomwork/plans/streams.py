@@ -38,10 +38,17 @@ def stream_ingest(spark, sf_dir):
 @query("stream_blocks", packs._blocks_sql(129))
 def stream_blocks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    landed = _landed(docs, "blocks-in")
+    # Four files in key order, one a batch: blocks run across batch edges.
+    landed = scratch_path(spark, "blocks-in")
+    edges = docs.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.0)
+    bounds = [None, *edges, None]
+    for low, high in zip(bounds, bounds[1:]):
+        above = F.lit(True) if low is None else F.col("doc_id") > low
+        below = F.lit(True) if high is None else F.col("doc_id") <= high
+        docs.filter(above & below).coalesce(1).write.mode("append").parquet(landed)
     out, checkpoint = scratch_path(spark, "blocks-out"), scratch_path(spark, "blocks-progress")
     for _ in range(2):
-        stream = jobs.source(spark, landed, docs.schema)
+        stream = jobs.source(spark, landed, docs.schema, files_per_batch=1)
         jobs.block_texts(stream, "doc_id", pretokens, 129, out, checkpoint)
     return packs.block_digest(spark.read.parquet(out))
 

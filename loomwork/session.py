@@ -79,10 +79,10 @@ def stored(df, label: str = "stage"):
 def default_blocks(spark: SparkSession) -> int:
     """Number of value ranges for distributed running totals.
 
-    Follows the shuffle width, so it grows with the cluster and not the data.
+    Follows the shuffle width, which is set in proportion to the data, without a cap.
     """
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(4 * width, 20_000))
+    return max(8, 4 * width)
 
 
 def spread(df, key: str):

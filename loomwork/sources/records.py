@@ -13,7 +13,7 @@ _CORRUPT = "_corrupt"
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): one JSON object per line; blank lines are neither."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = spark.read.text(path).filter(strip(F.col("value")) != "")
     wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     parsed = lines.select("value", F.from_json("value", wide, options).alias("row"))
@@ -24,7 +24,7 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFra
 
 def message_arrays(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): each line is an array of messages."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = spark.read.text(path).filter(strip(F.col("value")) != "")
     parsed = lines.select("value", F.from_json("value", MESSAGES).alias("messages"))
     broken = F.col("messages").isNull() | F.exists(
         "messages", lambda m: m.isNull() | m["role"].isNull() | m["content"].isNull()

@@ -23,6 +23,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from loomwork.sources import storage
+
 _INDEX = "index.json"
 
 
@@ -190,8 +192,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenBinary)
 
 
-def write_text_shards(plan: DataFrame, path: str, separator: str, prefix: str = "train") -> None:
-    """One text file per shard from (shard, row_in_shard, text)."""
+def write_text_shards(
+    plan: DataFrame, path: str, separator: str, prefix: str = "train", overwrite: bool = False
+) -> None:
+    """One text file per shard from (shard, row_in_shard, text); a filled folder is refused."""
+    storage.claim(plan.sparkSession, path, overwrite)
     register(plan.sparkSession)
     rows = plan.select("shard", "row_in_shard", "text")
     ordered = rows.repartition("shard").sortWithinPartitions("shard", "row_in_shard")
@@ -199,8 +204,12 @@ def write_text_shards(plan: DataFrame, path: str, separator: str, prefix: str =
     writer.option("separator", separator).option("prefix", prefix).save(path)
 
 
-def write_tokens(tokens: DataFrame, key: str, path: str, dtype: str = "uint16") -> None:
-    """Flat binary of ``tokens`` in key order; parts follow one another in name order."""
+def write_tokens(tokens: DataFrame, key: str, path: str, dtype: str = "uint16", overwrite: bool = False) -> None:
+    """Flat binary of ``tokens`` in key order; parts follow one another in name order.
+
+    A filled folder is refused, or replaced with ``overwrite``.
+    """
+    storage.claim(tokens.sparkSession, path, overwrite)
     register(tokens.sparkSession)
     ordered = tokens.repartitionByRange(key).sortWithinPartitions(key).select("tokens")
     stream = ordered.select(F.lit(0).cast("bigint").alias("stream_offset"), "tokens")

@@ -26,6 +26,16 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(target))
 
 
+def claim(spark: SparkSession, path: str, overwrite: bool = False) -> None:
+    """Make sure ``path`` is free: refuse a folder with entries, or empty it on request."""
+    fs, target = _open(spark, path)
+    if not names(spark, path):
+        return
+    if not overwrite:
+        raise FileExistsError(f"{path} is not empty; pass overwrite=True to replace it")
+    fs.delete(target, True)
+
+
 def write_json(spark: SparkSession, path: str, payload: dict) -> None:
     """Write beside the target, then rename, so readers never see half a file."""
     fs, target = _open(spark, path)

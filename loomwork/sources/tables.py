@@ -44,8 +44,12 @@ def read_corpus(spark: SparkSession, dataset: str, candidates: Sequence[str], fa
     shards = spark.createDataFrame(
         [(name.rsplit("/", 1)[1], i) for i, name in enumerate(files)], "file_name string, shard int"
     )
-    located = frame.withColumn("file_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return located.join(shards, "file_name").withColumnRenamed(column, "text")
+    located = frame.withColumn("file_name", F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))))
+    # One row per file; a file without a place is an error, never a lost row.
+    placed = located.join(F.broadcast(shards), "file_name", "left")
+    lost = F.raise_error(F.concat(F.lit("no shard for file "), F.col("file_name"))).cast("int")
+    shard = F.when(F.col("shard").isNull(), lost).otherwise(F.col("shard"))
+    return placed.withColumn("shard", shard).withColumnRenamed(column, "text")
 
 
 def text_rows(df: DataFrame, column: str = "text") -> DataFrame:
@@ -55,6 +59,8 @@ def text_rows(df: DataFrame, column: str = "text") -> DataFrame:
 
 def epochs(df: DataFrame, n_epochs: int, first: int = 1) -> DataFrame:
     """Each row once per epoch; no data moves, rows are repeated where they are."""
+    if n_epochs < 1:
+        raise ValueError("need one epoch at least")
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(first + n_epochs - 1))))
 
 

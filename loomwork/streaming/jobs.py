@@ -47,15 +47,34 @@ def ingest_texts(texts: DataFrame, out: str, checkpoint: str, column: str = "tex
 def block_texts(
     texts: DataFrame, key: str, encode: Callable[[Column], Column], size: int, out: str, checkpoint: str
 ) -> None:
-    """Tokenize arriving texts and append blocks of ``size`` tokens, one stream per batch.
+    """Tokenize arriving texts and append blocks of ``size`` tokens of one stream.
 
-    Files already in the checkpoint are not read again; a repeated batch replaces
-    its own output.
+    The tokens left over by a batch, fewer than ``size``, open the next one, so the
+    blocks do not depend on how files fall into batches; only the stream's last tail
+    stays out. Keys are whole numbers; files arrive in key order. Files already in the
+    checkpoint are not read again; a repeated batch replaces its own output and tail.
     """
 
     def advance(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         tokens = stored(batch.select(key, encode(F.col("text")).alias("tokens")), "batch-tokens")
-        fixed_blocks(tokens, key, size).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        element = tokens.schema["tokens"].dataType.simpleString()
+        base, before = 0, f"{out}/_open/{number - 1}"
+        if storage.exists(spark, before):
+            left = spark.read.schema(f"base bigint, tokens {element}").parquet(before)
+            base = left.first()["base"]
+            # The tail stands before all keys of the batch.
+            first = tokens.agg(F.min(key)).first()[0]
+            opening = F.lit((first if first is not None else 0) - 1).cast(tokens.schema[key].dataType)
+            tokens = left.select(opening.alias(key), "tokens").unionByName(tokens)
+        blocks = stored(fixed_blocks(tokens, key, size, keep_tail=True), "batch-blocks")
+        whole = blocks.filter(F.size("tokens") == size)
+        numbered = whole.withColumn("block_id", F.col("block_id") + base)
+        numbered.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        open_tail = blocks.filter(F.size("tokens") < size).agg(F.first("tokens").alias("tokens"))
+        rest = F.coalesce("tokens", F.array().cast(element)).alias("tokens")
+        state = open_tail.select(F.lit(base + whole.count()).cast("bigint").alias("base"), rest)
+        state.write.mode("overwrite").parquet(f"{out}/_open/{number}")
 
     writer = texts.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()

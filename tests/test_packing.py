@@ -88,7 +88,7 @@ def _documents(spark, n=400):
 
 @pytest.mark.parametrize("partitions", [1, 8])
 def test_crop_mode_invariants(spark, partitions):
-    frame = packing.with_pack_group(_documents(spark).repartition(partitions), docs_per_group=100)
+    frame = packing.with_pack_group(_documents(spark).repartition(partitions), n_groups=20)
     placements = packing.plan(frame, 65, crop=True, buffer_size=20).cache()
     assert placements.count() == 400 and placements.select("doc_id").distinct().count() == 400
     rows = packing.fill_rows(frame, placements, {"tokens": None}, 65).collect()
@@ -105,7 +105,7 @@ def test_crop_mode_invariants(spark, partitions):
 def test_partitioning_does_not_change_placements(spark):
     plans = []
     for p in (1, 8):
-        frame = packing.with_pack_group(_documents(spark).repartition(p), docs_per_group=100)
+        frame = packing.with_pack_group(_documents(spark).repartition(p), n_groups=20)
         placements = packing.plan(frame, 65, crop=True, buffer_size=20)
         plans.append(sorted(map(tuple, placements.collect())))
     assert plans[0] == plans[1]
