@@ -160,19 +160,20 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         F.substring("__text", F.lit(1), n - half), F.substring(F.coalesce("__next", F.lit("")), F.lit(1), half)
     )
     both = numbered.withColumn("__edited", F.when(~F.col("__guest"), edited))
-    facts = F.struct(n.cast("bigint").alias("n_chars"), F.sha2(F.col("__edited"), 256).alias("sha"))
+    # Facts come out of a window over the row itself: a plain projection would be worked
+    # out again for every paragraph row above the explode.
+    itself = inside.rowsBetween(Window.currentRow, Window.currentRow)
+    both = both.withColumn("n_chars", F.first(n.cast("bigint")).over(itself))
+    both = both.withColumn("edited_sha256", F.first(F.sha2(F.col("__edited"), 256)).over(itself))
     # Own text before the edited one: (document, 0), (document, 1), (next, 0), ...
     own = F.transform(paragraphs(F.col("__text")), lambda p: F.struct(F.lit(0).alias("w"), p.alias("p")))
     changed = F.transform(paragraphs(F.col("__edited")), lambda p: F.struct(F.lit(1).alias("w"), p.alias("p")))
     marks = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(None).cast("string").alias("p")) for w in (0, 1)])
-    # A row without paragraph per text keeps empty texts, and alone carries the facts.
+    # A row without paragraph per text keeps empty texts.
     parts = both.select(
-        "__blk", "__n", "__key", "__guest", facts.alias("__f"), F.explode(F.concat(marks, own, changed)).alias("__x")
-    )
-    parts = parts.select(
-        "__blk", "__n", F.col("__x.w").alias("__w"), "__key", "__guest", F.col("__f.n_chars").alias("n_chars"),
-        F.col("__f.sha").alias("edited_sha256"), F.col("__x.p").alias("__p"),
+        "__blk", "__n", "__key", "__guest", "n_chars", "edited_sha256", F.explode(F.concat(marks, own, changed)).alias("__x")
     )
+    parts = parts.select("*", F.col("__x.w").alias("__w"), F.col("__x.p").alias("__p"))
     keys = ["__blk", "__n", "__w", "__key", "__guest", "n_chars", "edited_sha256"]
     summed = parts.groupBy(*keys).agg(*_sums(F.col("__p"))).select(*keys, _vector().alias("vector"))
     along = Window.partitionBy("__blk").orderBy("__n", "__w")
