@@ -15,8 +15,9 @@ Training rounds each take another part of the training texts: tasks start from t
 round's weights, make sparse numpy gradient steps over their texts, and Spark adds up
 the changes weighted by tokens. Weights have a fixed size. Counts cover all training
 texts and stay a table: the vocabulary never meets in one place. Texts are cut into
-chunks of bounded size, each chunk's distinct words are joined with the counts, and a
-chunk is scored with its own part of them.
+chunks of bounded size and stored once, bucketed by chunk, so they are never shuffled.
+Each chunk's distinct words, as 64-bit hashes, meet those of the other chunks in one
+shuffle by word for their counts and return to their chunk, which is scored with them.
 
 Defined cases: a null or empty text is one end token. A null key counts as the empty
 text for the fold. Without training texts N and V are zero. Repeated rows are scored
@@ -33,20 +34,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loomwork.llm.arrowtext import ranges, split_words, text_slices
 from loomwork.llm.toxicity import fold
-from loomwork.session import stored
+from loomwork.session import scratch_path, stored
 
 CLASSES = 16
-ROW_BITS = 14
+ROW_BITS = 13
 ROUNDS = 3
 #: Not a word: words hold no white space.
 END = "\n"
-_BATCH = 1 << 14
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_START = 1
+_BATCH = 1 << 15
+#: Rows of a weight table: hashed ones, then one per class for the feature without history.
+ROWS = (1 << ROW_BITS) + CLASSES
+_START = np.uint32(1)
+_MIX = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
 
 
 def word_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,21 +60,26 @@ def word_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return whole, ((ending % n) * n + (whole >> np.uint64(20)) % n).astype(np.int64)
 
 
-def _row(*parts: np.ndarray) -> np.ndarray:
+def _row(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Hashed row of feature ``number``."""
     with np.errstate(over="ignore"):
-        h = parts[0].astype(np.uint64)
-        for p in parts[1:]:
-            h = (h ^ (h >> np.uint64(31))) * _MIX + p.astype(np.uint64)
-        h = (h ^ (h >> np.uint64(29))) * _MIX
-    return (h >> np.uint64(64 - ROW_BITS)).astype(np.int64)
+        h = hashes * _MIX[number]
+        h = (h ^ (h >> np.uint32(15))) * _MIX[4]
+    return (h >> np.uint32(32 - ROW_BITS)).astype(np.int32)
+
+
+def _sub_row(row: np.ndarray, first: np.ndarray, number: int) -> np.ndarray:
+    """Row of the same feature for the subclass, given the class."""
+    return _row(row.astype(np.uint32) * np.uint32(CLASSES) + first.astype(np.uint32), number)
 
 
 @dataclass
 class Tokens:
-    """Texts as arrays: hash and leaf per token, tokens per text."""
+    """Texts as arrays: word, leaf and feature rows per token, tokens per text."""
 
     codes: np.ndarray
     words: list[str]
+    hashes: np.ndarray
     leaf: np.ndarray
     rows: list[np.ndarray]
     sub_rows: list[np.ndarray]
@@ -88,7 +96,7 @@ def tokens_of(texts: pa.Array) -> Tokens:
     at[ranges(stop - total, counts)] = codes
     words = [*words, END]
     hashes, leaves = word_hashes(words)
-    h, leaf = hashes[at], leaves[at]
+    h, leaf = hashes.astype(np.uint32)[at], leaves.astype(np.int32)[at]
     begin = stop - total
     one = np.empty_like(h)
     one[1:] = h[:-1]
@@ -96,11 +104,13 @@ def tokens_of(texts: pa.Array) -> Tokens:
     two = np.empty_like(h)
     two[1:] = one[:-1]
     two[begin] = _START
-    k = [np.full(1, i, dtype=np.uint64) for i in range(4)]
-    rows = [_row(k[0] + np.zeros_like(one)), _row(k[1], one), _row(k[2], two), _row(k[3], one, two)]
-    first = (leaf // CLASSES).astype(np.uint64) + np.uint64(7)
-    sub_rows = [_row(r.astype(np.uint64), first) for r in rows]
-    return Tokens(at, words, leaf, rows, sub_rows, total)
+    with np.errstate(over="ignore"):
+        both = (one * _MIX[3]) ^ (two + _MIX[2])
+    first = leaf // CLASSES
+    hashed = [_row(one, 0), _row(two, 1), _row(both, 2)]
+    rows = [np.full(len(h), 1 << ROW_BITS, dtype=np.int32), *hashed]
+    sub_rows = [(1 << ROW_BITS) + first, *(_sub_row(r, first, k) for k, r in enumerate(hashed))]
+    return Tokens(at, words, hashes, leaf, rows, sub_rows, total)
 
 
 def _softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -114,16 +124,16 @@ def _softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
 
 
 def _step(weights, energy, rows, target, rate: float) -> None:
-    """One AdaGrad step over a batch of tokens."""
+    """One AdaGrad step over a batch of tokens; gradients are summed over the whole table."""
     p = _softmax(weights, rows)
     p[np.arange(len(target)), target] -= 1
-    width = weights.shape[1]
+    flat_p, each = p.ravel(), np.arange(CLASSES, dtype=np.int32)
+    total = np.zeros(weights.size)
     for r in rows:
-        used, place = np.unique(r, return_inverse=True)
-        flat = (place[:, None] * width + np.arange(width)).ravel()
-        g = np.bincount(flat, weights=p.ravel(), minlength=len(used) * width).reshape(-1, width)
-        energy[used] += (g * g).sum(axis=1)
-        weights[used] -= rate * g / np.sqrt(energy[used] + 1.0)[:, None]
+        total += np.bincount((r[:, None] * np.int32(CLASSES) + each).ravel(), weights=flat_p, minlength=weights.size)
+    g = total.reshape(weights.shape).astype(np.float32)
+    energy += (g * g).sum(axis=1)
+    weights -= rate * g / np.sqrt(energy + 1.0)[:, None]
 
 
 def local_training(weights: np.ndarray, energy: np.ndarray, tokens: Tokens, rate: float) -> None:
@@ -149,7 +159,12 @@ def history_log10(weights: np.ndarray, tokens: Tokens) -> np.ndarray:
 
 
 def in_chunks(docs: DataFrame, key: str, text: str, learn) -> DataFrame:
-    """Stored rows (key, held_out, chunk, text); a chunk is one bounded slice of one task."""
+    """Rows (key, held_out, chunk, text) of a table in the shared folder, bucketed by chunk.
+
+    A chunk is one bounded slice of one task. Each task writes the files of its own
+    chunks, so no text moves, neither now nor where chunks are grouped.
+    """
+    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -159,11 +174,17 @@ def in_chunks(docs: DataFrame, key: str, text: str, learn) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), chunk, texts], names=[key, "held_out", "chunk", "text"])
 
     rows = docs.select(key, (~learn).alias("held_out"), F.col(text).alias("__text"))
-    return stored(rows.mapInArrow(run, f"`{key}` {kind}, held_out boolean, chunk bigint, text string"), "chunks")
+    path = scratch_path(spark, "chunks")
+    name = "loomwork_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    writer = rows.mapInArrow(run, f"`{key}` {kind}, held_out boolean, chunk bigint, text string").write
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer.bucketBy(buckets, "chunk").format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def chunk_words(chunked: DataFrame) -> DataFrame:
-    """(chunk, word, n): distinct words of every chunk with their training occurrences."""
+    """Stored (chunk, word, leaf, n, c, first): distinct word hashes of every chunk, with
+    their training occurrences there and in all; ``first`` marks one row per word."""
 
     def run(batches):
         for batch in batches:
@@ -172,30 +193,30 @@ def chunk_words(chunked: DataFrame) -> DataFrame:
                 part = batch.filter(pa.array(chunk == c))
                 learn = ~part.column(0).to_numpy(zero_copy_only=False)
                 codes, words, counts = split_words(part.column(2))
+                hashes, leaf = word_hashes(words)
                 n = np.bincount(codes[np.repeat(learn, counts)], minlength=len(words))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(words), c)), pa.array(words, pa.string()), pa.array(n.astype(np.int64))],
-                    names=["chunk", "word", "n"],
+                    [
+                        pa.array(np.full(len(words), c)),
+                        pa.array(hashes.view(np.int64)),
+                        pa.array(leaf.astype(np.int16)),
+                        pa.array(n.astype(np.int64)),
+                    ],
+                    names=["chunk", "word", "leaf", "n"],
                 )
 
-    return stored(chunked.select("held_out", "chunk", "text").mapInArrow(run, "chunk bigint, word string, n bigint"), "words")
+    found = chunked.select("held_out", "chunk", "text").mapInArrow(run, "chunk bigint, word bigint, leaf smallint, n bigint")
+    # A word has a row per chunk (or batch of one) here, never one per occurrence.
+    of_word = Window.partitionBy("word")
+    counted = found.withColumn("c", F.sum("n").over(of_word)).withColumn(
+        "first", F.row_number().over(of_word.orderBy("chunk")) == 1
+    )
+    return stored(counted, "words")
 
 
-def leaf_totals(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def leaf_totals(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, distinct words) per leaf; as many rows as there are leaves reach the driver."""
-
-    def run(batches):
-        total = np.zeros((2, CLASSES * CLASSES), dtype=np.int64)
-        for batch in batches:
-            _, leaf = word_hashes(batch.column(0).to_pylist())
-            c = batch.column(1).to_numpy()
-            total[0] += np.bincount(leaf, weights=c, minlength=total.shape[1]).astype(np.int64)
-            total[1] += np.bincount(leaf, minlength=total.shape[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(total.shape[1])), pa.array(total[0]), pa.array(total[1])], names=["leaf", "c", "v"]
-        )
-
-    found = counts.mapInArrow(run, "leaf bigint, c bigint, v bigint").groupBy("leaf").agg(F.sum("c").alias("c"), F.sum("v").alias("v"))
+    found = counted.groupBy("leaf").agg(F.sum("n").alias("c"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v"))
     tokens, words = np.zeros(CLASSES * CLASSES, dtype=np.int64), np.zeros(CLASSES * CLASSES, dtype=np.int64)
     for r in found.collect():
         tokens[r.leaf], words[r.leaf] = r.c, r.v
@@ -204,7 +225,7 @@ def leaf_totals(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def train(chunked: DataFrame, rounds: int = ROUNDS, rate: float = 0.5) -> np.ndarray:
     """Weights (2, rows, CLASSES) after one pass over the training rows, a part per round."""
-    weights = np.zeros((2, 1 << ROW_BITS, CLASSES), dtype=np.float32)
+    weights = np.zeros((2, ROWS, CLASSES), dtype=np.float32)
     texts = chunked.filter(~F.col("held_out"))
     for number in range(rounds):
 
@@ -215,7 +236,7 @@ def train(chunked: DataFrame, rounds: int = ROUNDS, rate: float = 0.5) -> np.nda
                 local_training(mine, energy, tokens, rate)
                 seen += len(tokens.leaf)
             if seen:
-                change = ((mine - weights) * seen).reshape(-1, CLASSES).astype(np.float64)
+                change = ((mine - weights) * seen).reshape(-1, CLASSES)
                 at = np.flatnonzero(change.any(axis=1))
                 columns = [pa.array(change[at, k]) for k in range(CLASSES)]
                 yield pa.RecordBatch.from_arrays(
@@ -223,7 +244,7 @@ def train(chunked: DataFrame, rounds: int = ROUNDS, rate: float = 0.5) -> np.nda
                 )
 
         names = ["at", *[f"c{k}" for k in range(CLASSES)], "seen"]
-        schema = "at bigint, " + ", ".join(f"c{k} double" for k in range(CLASSES)) + ", seen bigint"
+        schema = "at bigint, " + ", ".join(f"c{k} float" for k in range(CLASSES)) + ", seen bigint"
         part = texts.filter(F.pmod(F.xxhash64("text", "chunk"), F.lit(rounds)) == number).select("text")
         # A row is averaged over the tasks that moved it.
         summed = part.mapInArrow(run, schema).groupBy("at").agg(*[F.sum(c).alias(c) for c in names[1:]])
@@ -241,10 +262,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: in
     ``base_score`` is the add-one unigram log10 probability, ``score`` the model's.
     """
     chunked = in_chunks(docs, key, text, fold(key, held_out) != rest)
-    pairs = chunk_words(chunked)
-    counts = stored(pairs.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "counts")
+    counted = chunk_words(chunked)
     ends = chunked.filter(~F.col("held_out")).count()
-    leaf_n, leaf_v = leaf_totals(counts.select("word", "c"))
+    leaf_n, leaf_v = leaf_totals(counted)
     if ends:
         (end_leaf,) = word_hashes([END])[1].tolist()
         leaf_n[end_leaf] += ends
@@ -252,12 +272,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: in
     n, v = int(leaf_n.sum()), int(leaf_v.sum())
     weights = train(chunked, rounds)
     kind = docs.schema[key].dataType.simpleString()
-    known = pairs.select("chunk", "word").join(counts, "word").select("chunk", "word", "c")
+    known = counted.filter("c > 0").select("chunk", "word", "c")
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         tokens = tokens_of(texts.column("text").combine_chunks() if texts.num_rows else pa.array([], pa.string()))
-        place = pc.index_in(pa.array(tokens.words, pa.string()), words.column("word").combine_chunks())
+        # A word may come once per batch of its chunk, each time with the same count.
+        place = pc.index_in(pa.array(tokens.hashes.view(np.int64)), words.column("word").combine_chunks())
         found = pc.fill_null(pc.take(words.column("c").combine_chunks(), place), 0).to_numpy(zero_copy_only=False).copy()
         found[-1] = ends
         c = found[tokens.codes]

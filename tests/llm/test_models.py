@@ -145,17 +145,15 @@ def test_base_score_and_counts(spark):
 
 def test_probabilities_of_the_next_token_sum_to_one():
     words = ["alpha", "beta.", "gamma", "delta", "x"]
-    weights = np.random.default_rng(0).normal(size=(2, 1 << maxent.ROW_BITS, maxent.CLASSES)).astype(np.float32)
+    weights = np.random.default_rng(0).normal(size=(2, maxent.ROWS, maxent.CLASSES)).astype(np.float32)
     history = "alpha x"
-    # p(class, subclass | history) over all leaves is one by construction of the softmaxes;
-    # read each leaf's share from a token of that leaf.
     tokens = maxent.tokens_of(pa.array([history]))
     first = maxent._softmax(weights[0], [r[-1:] for r in tokens.rows])[0]
     total = 0.0
     for k in range(maxent.CLASSES):
-        part = np.array([k], dtype=np.uint64) + np.uint64(7)
-        rows = [maxent._row(r[-1:].astype(np.uint64), part) for r in tokens.rows]
-        total += first[k] * maxent._softmax(weights[1], rows)[0].sum()
+        part = np.array([k], dtype=np.int32)
+        hashed = [maxent._sub_row(r[-1:], part, j) for j, r in enumerate(tokens.rows[1:])]
+        total += first[k] * maxent._softmax(weights[1], [(1 << maxent.ROW_BITS) + part, *hashed])[0].sum()
     assert total == pytest.approx(1.0, abs=1e-5)
     _, leaves = maxent.word_hashes([*words, maxent.END])
     counts = np.array([5, 3, 2, 1, 1, 4])
@@ -168,7 +166,7 @@ def test_probabilities_of_the_next_token_sum_to_one():
 def test_training_raises_the_likelihood():
     text = " ".join(["one two three four five six seven eight nine ten"] * 400)
     tokens = maxent.tokens_of(pa.array([text]))
-    weights = np.zeros((2, 1 << maxent.ROW_BITS, maxent.CLASSES), dtype=np.float32)
+    weights = np.zeros((2, maxent.ROWS, maxent.CLASSES), dtype=np.float32)
     before = maxent.history_log10(weights, tokens).sum()
     energy = np.zeros(weights.shape[:2], dtype=np.float32)
     for _ in range(20):
