@@ -112,7 +112,7 @@ def train_member(positive: _Rows, unlabelled: _Rows, width: int, prior: float, s
         return index, owner, 1 / (1 + np.exp(-np.clip(f, -60, 60)))
 
     def gradient(index, owner, slope) -> np.ndarray:
-        g = np.bincount(index, weights=slope[owner], minlength=width + 1)
+        g = np.bincount(index, weights=slope[owner], minlength=width + 1).astype(float)
         g[-1] += slope.sum()
         return g
 
