@@ -1,70 +1,101 @@
 """Applying a vocabulary: encode, decode, byte lengths, compression.
 
-Encoding is the one text step without a built-in. It runs as an Arrow-batched
-pandas function next to the scan: rows do not move, the merge ranks travel as one
-broadcast of vocabulary size, and each Python worker builds its encoder once.
+Texts are cut into pieces by the same JVM expression as in training. Merging has no
+built-in: it runs as an Arrow function over the arrays of pieces, next to the scan.
+Each batch's distinct pieces are merged once, each task keeps what it has merged, and
+the ids are laid out with array operations; the merges travel as one broadcast of
+vocabulary size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from loomwork.functions.text import SPLIT_PATTERN
+from loomwork.functions.text import pretokens
 from loomwork.operators.bpe import Vocabulary
 
-_ENCODERS: dict[str, object] = {}
+# Distinct pieces a task keeps merged.
+_KEPT_PIECES = 500_000
 
 
-def _encoder(shared, fingerprint: str):
-    """The worker's encoder for one broadcast vocabulary, built once per process."""
-    import tiktoken
+def merge_piece(piece: bytes, ranks: dict[tuple[int, int], int]) -> list[int]:
+    """Ids of one piece: the earliest merge that applies, everywhere, until none does."""
+    ids = list(piece)
+    while len(ids) > 1:
+        token, pair = min((ranks.get(p, _NONE), p) for p in zip(ids, ids[1:]))
+        if token == _NONE:
+            break
+        merged, i = [], 0
+        while i < len(ids):
+            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
+                merged.append(token)
+                i += 2
+            else:
+                merged.append(ids[i])
+                i += 1
+        ids = merged
+    return ids
 
-    if fingerprint not in _ENCODERS:
-        pieces, specials = shared.value
-        _ENCODERS.clear()
-        _ENCODERS[fingerprint] = tiktoken.Encoding(
-            name="loomwork",
-            pat_str=SPLIT_PATTERN,
-            mergeable_ranks={piece: rank for rank, piece in enumerate(pieces)},
-            special_tokens=specials,
-        )
-    return _ENCODERS[fingerprint]
+
+_NONE = 1 << 62
 
 
 def encoder_function(
     spark: SparkSession, vocabulary: Vocabulary, prepend: int | None = None, append: int | None = None
 ):
-    """Column function text -> array<int>, with optional ids before and after."""
-    shared = spark.sparkContext.broadcast((vocabulary.token_bytes(), vocabulary.specials))
-    fingerprint = vocabulary.fingerprint()
+    """Column function text -> array<int>, with optional ids before and after; null stays null."""
+    shared = spark.sparkContext.broadcast({(m.left, m.right): m.token for m in vocabulary.merges})
     head = [] if prepend is None else [prepend]
     tail = [] if append is None else [append]
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(shared, fingerprint)
-        for texts in batches:
-            ids = [None if t is None else head + encoder.encode_ordinary(t) + tail for t in texts]
-            yield pd.Series(ids, dtype="object")
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def merge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, list[int]] = {}
+        for rows in batches:
+            sizes = np.where(rows.is_valid().to_numpy(zero_copy_only=False), rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+            pieces = rows.flatten().dictionary_encode()
+            distinct = []
+            for piece in pieces.dictionary.to_pylist():
+                ids = known.get(piece)
+                if ids is None:
+                    ids = merge_piece(piece.encode("utf-8"), shared.value)
+                    if len(known) < _KEPT_PIECES:
+                        known[piece] = ids
+                distinct.append(ids)
+            lists = pa.array(distinct, pa.list_(pa.int32())).take(pieces.indices)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
+            offsets = pa.array(ends.astype(np.int32), mask=np.append(~rows.is_valid().to_numpy(zero_copy_only=False), False))
+            yield pa.ListArray.from_arrays(offsets, lists.flatten().cast(pa.int32()))
+
+    def encode(text: Column | str) -> Column:
+        ids = merge(pretokens(F.col(text) if isinstance(text, str) else text))
+        edges = [F.array(*[F.lit(i) for i in side]).cast("array<int>") for side in (head, tail) if side]
+        if not edges:
+            return ids
+        return F.concat(*(edges[:1] if head else []), ids, *(edges[-1:] if tail else []))
 
     return encode
 
 
 def decoder_function(spark: SparkSession, vocabulary: Vocabulary):
-    """Column function array<int> -> text."""
-    shared = spark.sparkContext.broadcast((vocabulary.token_bytes(), vocabulary.specials))
-    fingerprint = vocabulary.fingerprint()
+    """Column function array<int> -> text; bytes that are no text show as replacement characters."""
+    names = [name.encode() for name, _ in sorted(vocabulary.specials.items(), key=lambda x: x[1])]
+    shared = spark.sparkContext.broadcast([*vocabulary.token_bytes(), *names])
 
-    @F.pandas_udf(T.StringType())
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(shared, fingerprint)
+    @F.arrow_udf(T.StringType())
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in batches:
-            texts = [None if r is None else encoder.decode([int(i) for i in r]) for r in rows]
-            yield pd.Series(texts, dtype="object")
+            texts = [
+                None if ids is None else b"".join([shared.value[i] for i in ids]).decode("utf-8", "replace")
+                for ids in rows.to_pylist()
+            ]
+            yield pa.array(texts, pa.string())
 
     return decode
 

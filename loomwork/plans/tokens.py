@@ -8,7 +8,7 @@ from loomwork.functions.text import pretokens
 from loomwork.operators import bpe, encode, splits
 from loomwork.plans.registry import query, table
 from loomwork.plans.sqltext import pieces, unit
-from loomwork.session import spread
+from loomwork.session import spread, stored
 
 
 def _documents(spark, sf_dir, *columns):
@@ -50,7 +50,7 @@ def _vocabulary(docs, merges: int) -> bpe.Vocabulary:
     return bpe.train(docs, bpe.BYTE_IDS + merges + len(bpe.SPECIAL_TOKENS))
 
 
-def _training_sql(merges: int) -> str:
+def _training_ctes(merges: int) -> list[str]:
     """Greedy training, one merge per step, over distinct pre-tokens held as byte characters."""
     ctes = [
         f"""p AS (SELECT piece, count(*) AS n
@@ -67,9 +67,13 @@ def _training_sql(merges: int) -> str:
           GROUP BY pair ORDER BY n DESC, unicode(substr(pair, 1, 1)), unicode(substr(pair, 2, 1)) LIMIT 1),
         s{i + 1} AS MATERIALIZED (
           SELECT replace(s, (SELECT pair FROM t{i}), chr({256 + i})) AS s, n FROM s{i} WHERE length(s) > 1)""")
+    return ctes
+
+
+def _training_sql(merges: int) -> str:
     found = " UNION ALL ".join(f"SELECT {i} AS rank, pair, n FROM t{i}" for i in range(merges))
     return f"""
-    WITH {", ".join(ctes)}, m AS ({found})
+    WITH {", ".join(_training_ctes(merges))}, m AS ({found})
     SELECT rank::INTEGER AS rank, unicode(substr(pair, 1, 1))::INTEGER AS left_id,
            unicode(substr(pair, 2, 1))::INTEGER AS right_id, (256 + rank)::INTEGER AS token_id, n
     FROM m
@@ -97,12 +101,16 @@ def encode_roundtrip(spark, sf_dir):
     bos = vocabulary.bos()
     tokenized = encode.tokenize(docs, vocabulary, prepend=bos)
     decode = encode.decoder_function(spark, vocabulary)
-    lengths = F.array(*[F.lit(len(b)) for b in vocabulary.token_bytes()])
     body = F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0)))
-    n_bytes = F.aggregate(
-        body, F.lit(0).cast("bigint"), lambda total, t: total + F.element_at(lengths, t + 1)
+    stored_tokens = stored(tokenized.withColumn("body", body), "encoded")
+    # Byte lengths come from the vocabulary's table, joined on the id.
+    used = stored_tokens.select("doc_id", F.explode("body").alias("token_id")).groupBy("doc_id", "token_id").count()
+    told = used.join(vocabulary.table(spark), "token_id").groupBy("doc_id").agg(
+        F.sum(F.col("count") * F.col("n_bytes")).alias("n_bytes")
     )
-    return tokenized.withColumn("body", body).select(
+    joined = stored_tokens.join(told, "doc_id", "left")
+    n_bytes = F.coalesce("n_bytes", F.lit(0)).cast("bigint")
+    return joined.select(
         "doc_id",
         n_bytes.alias("n_bytes"),
         (decode(F.col("body")) == F.col("text")).alias("same_text"),
@@ -111,6 +119,35 @@ def encode_roundtrip(spark, sf_dir):
     )
 
 
+def _encoding_sql(merges: int) -> str:
+    """The trained merges as a chain of replacements over each distinct piece, begin and end ids around."""
+    bytes_of = """array_to_string(list_transform(range(0, octet_length(encode(piece))),
+                  lambda i: chr(('0x' || substr(hex(encode(piece)), (2 * i + 1)::INT, 2))::INT)), '')"""
+    steps = [f"e0 AS MATERIALIZED (SELECT piece, {bytes_of} AS s FROM p)"]
+    steps += [
+        f"e{i + 1} AS MATERIALIZED (SELECT piece, replace(s, (SELECT pair FROM t{i}), chr({256 + i})) AS s FROM e{i})"
+        for i in range(merges)
+    ]
+    return f"""
+    WITH {", ".join(_training_ctes(merges) + steps)},
+    ids AS (SELECT piece, array_to_string(list_transform(string_split(s, ''), lambda c: unicode(c)), ',') AS ids FROM e{merges}),
+    cut AS (SELECT doc_id, {pieces('text')} AS parts FROM documents),
+    d AS (SELECT doc_id, unnest(parts) AS piece, unnest(range(0, len(parts))) AS i FROM cut),
+    j AS (SELECT doc_id, string_agg(ids, ',' ORDER BY i) AS ids FROM d JOIN ids USING (piece) GROUP BY doc_id)
+    SELECT doc_id, md5({256 + merges} || coalesce(',' || ids, '') || ',' || {256 + merges + 8}) AS ids_md5
+    FROM documents LEFT JOIN j USING (doc_id)
+    """
+
+
+@query("encode_ids", _encoding_sql(24))
+def encode_ids(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    vocabulary = _vocabulary(docs, 24)
+    end = vocabulary.special("<|output_end|>")
+    tokenized = encode.tokenize(docs, vocabulary, prepend=vocabulary.bos(), append=end)
+    return tokenized.select("doc_id", F.md5(F.array_join("tokens", ",")).alias("ids_md5"))
+
+
 @query(
     "token_byte_stats",
     f"""
