@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from loomwork.llm.arrowtext import ranges, text_slices
 
 RATIO = 0.2
-REPS = 10
+REPS = 12
 SAMPLED = 2
 MIN_WORDS = 8
 BLOCK_BYTES = 16 << 20
