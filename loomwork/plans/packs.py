@@ -109,6 +109,55 @@ def pad_group(spark, sf_dir):
 CAPACITY = 2048 + 1
 
 
+_TEXT_PIECES = pieces("text")
+N_GROUPS = 2
+# Chats of at most 2048 ids and one more, several to a row.
+CHAT_CAPACITY = 4 * 2048 + 1
+
+
+def _plan_sql(lengths: str, capacity: int, buffer: int, crop: bool) -> str:
+    """CTEs up to ``placed``: the packing rule step by step, the waiting sequences as a list.
+
+    ``lengths`` gives (doc_id, n). A waiting entry is (l, a): length and negated arrival,
+    so that the greatest is the longest and, of equals, the one that came first.
+    """
+    shortest = "list_sort(list_transform(buf, lambda x: {'l': x.l, 'a': -x.a}))[1]"
+    pick = f"coalesce(fit, {{'l': {shortest}.l, 'a': -{shortest}.a}})" if crop else "fit"
+    return f"""
+    sized AS (SELECT doc_id, n::BIGINT AS n, ({h60('doc_id')} % {N_GROUPS})::INT AS pack_group FROM ({lengths}) WHERE n > 0),
+    arrived AS (SELECT *, row_number() OVER (PARTITION BY pack_group ORDER BY doc_id) AS arrival FROM sized),
+    src AS (SELECT pack_group, list({{'l': n, 'a': -arrival}} ORDER BY doc_id) AS items FROM arrived GROUP BY pack_group),
+    walk AS (
+      SELECT pack_group, 0::BIGINT AS row_in_group, 0::BIGINT AS filled, 0::BIGINT AS pos, items[1:{buffer}] AS buf,
+             {buffer}::BIGINT AS seen, NULL::BIGINT AS arrival, NULL::BIGINT AS at_row, NULL::BIGINT AS at_pos,
+             NULL::BIGINT AS start_at, NULL::BIGINT AS take
+      FROM src
+      UNION ALL
+      SELECT pack_group,
+             CASE WHEN pick IS NULL OR filled + least(pick.l, {capacity} - filled) = {capacity} THEN row_in_group + 1 ELSE row_in_group END,
+             CASE WHEN pick IS NULL OR filled + least(pick.l, {capacity} - filled) = {capacity} THEN 0 ELSE filled + least(pick.l, {capacity} - filled) END,
+             CASE WHEN pick IS NULL OR filled + least(pick.l, {capacity} - filled) = {capacity} THEN 0 ELSE pos + 1 END,
+             CASE WHEN pick IS NULL THEN buf
+                  ELSE list_concat(list_filter(buf, lambda x: x.a <> pick.a), items[(seen + 1):(seen + 1)]) END,
+             CASE WHEN pick IS NULL THEN seen ELSE seen + 1 END,
+             -pick.a, CASE WHEN pick IS NOT NULL THEN row_in_group END, pos, filled, least(pick.l, {capacity} - filled)
+      FROM (SELECT *, {pick} AS pick
+            FROM (SELECT walk.*, items, list_max(list_filter(buf, lambda x: x.l <= {capacity} - filled)) AS fit
+                  FROM walk JOIN src USING (pack_group) WHERE len(buf) > 0))),
+    placed AS (
+      SELECT w.pack_group, at_row AS row_in_group, at_pos AS pos, doc_id, start_at, take, n AS n_tokens
+      FROM walk w JOIN arrived a ON a.pack_group = w.pack_group AND a.arrival = w.arrival)
+    """
+
+
+_CHAT_LENGTHS = "SELECT conv_id AS doc_id, least(len(tokens), 2048) AS n FROM conv"
+
+
+def _chat_plan_sql() -> str:
+    head = (chats._FOLD_SQL + chats._MARKER_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+    return head + ", " + _plan_sql(_CHAT_LENGTHS, CHAT_CAPACITY, 20, crop=False)
+
+
 def _encoded(spark, sf_dir, merges: int = 24):
     """Documents as byte-pair tokens with their pack group, stored once.
 
@@ -173,12 +222,22 @@ def pack_crop_coverage(spark, sf_dir):
     return fits
 
 
+@query(
+    "pack_plan_crop",
+    f"WITH RECURSIVE {_plan_sql(f'SELECT doc_id, len({_TEXT_PIECES}) + 1 AS n FROM documents', CAPACITY, 64, crop=True)} SELECT * FROM placed",
+)
+def pack_plan_crop(spark, sf_dir):
+    docs = _pieces(spark, sf_dir).select("doc_id", (F.size("tokens") + 1).alias("n_tokens"))
+    grouped = packing.with_pack_group(docs, N_GROUPS)
+    return packing.plan(grouped, CAPACITY, crop=True, buffer_size=64)
+
+
 def _padded(spark, sf_dir):
     turns = chats.turns_of(spark, sf_dir)
-    rendered = render.render(turns, chats.MARKERS, 1000 + 1).withColumnRenamed("conv_id", "doc_id")
+    rendered = render.render(turns, chats.MARKERS).withColumnRenamed("conv_id", "doc_id")
     sized = stored(rendered.withColumn("n_tokens", F.size("tokens")), "rendered")
-    tokens = packing.with_pack_group(sized, n_groups=2)
-    placements = stored(packing.plan(tokens, 1001, crop=False, buffer_size=100))
+    tokens = packing.with_pack_group(sized, N_GROUPS)
+    placements = stored(packing.plan(tokens, CHAT_CAPACITY, crop=False, buffer_size=20))
     return tokens, placements
 
 
@@ -186,20 +245,43 @@ def _padded(spark, sf_dir):
 def pack_pad(spark, sf_dir):
     tokens, placements = _padded(spark, sf_dir)
     bos = chats.MARKER_IDS["<|bos|>"]
-    rows = packing.fill_rows(tokens, placements, {"tokens": bos, "mask": 0}, 1001)
-    out = packing.masked_targets(rows, 1001)
+    rows = packing.fill_rows(tokens, placements, {"tokens": bos, "mask": 0}, CHAT_CAPACITY)
+    out = packing.masked_targets(rows, CHAT_CAPACITY)
     return out.select(
         "pack_group", "row_in_group", "content_len", "inputs", "targets",
     )
 
 
-@query("pack_pad_quality")
+@query(
+    "pack_pad_quality",
+    _chat_plan_sql()
+    + f"""
+    SELECT count(DISTINCT (pack_group, row_in_group))::BIGINT AS n_rows, count(*)::BIGINT AS n_docs, sum(n_tokens)::BIGINT AS n_tokens,
+           sum(take)::BIGINT AS placed_tokens, sum(take) / (count(DISTINCT (pack_group, row_in_group)) * {CHAT_CAPACITY}) AS utilisation,
+           1 - sum(take) / sum(n_tokens) AS cropped_share,
+           1 - sum(take) / (count(DISTINCT (pack_group, row_in_group)) * {CHAT_CAPACITY}) AS padded_share
+    FROM placed
+    """,
+)
 def pack_pad_quality(spark, sf_dir):
     _, placements = _padded(spark, sf_dir)
-    return packing.quality(placements, 1001)
+    return packing.quality(placements, CHAT_CAPACITY)
 
 
-@query("pack_resume")
+@query(
+    "pack_resume",
+    _chat_plan_sql()
+    + """
+    , rows_ AS (SELECT pack_group, row_in_group, count(*) AS docs, row_number() OVER (ORDER BY pack_group, row_in_group) - 1 AS row_id
+                FROM placed GROUP BY pack_group, row_in_group),
+    steps AS (SELECT row_id // 4 AS step, count(*)::BIGINT AS n_rows, sum(docs) AS docs FROM rows_ GROUP BY 1),
+    walked AS (SELECT step::BIGINT AS step, n_rows, (sum(docs) OVER (ORDER BY step))::BIGINT AS consumed FROM steps),
+    total AS (SELECT count(*) AS n FROM conv)
+    SELECT step, n_rows, consumed, consumed / n AS progress, consumed >= n AS last_step,
+           (SELECT count(*) FROM rows_ WHERE row_id // 4 > 1)::BIGINT AS rows_after_step_1
+    FROM walked, total
+    """,
+)
 def pack_resume(spark, sf_dir):
     """Loader state per step, and what each step's resume would still read."""
     tokens, placements = _padded(spark, sf_dir)
