@@ -41,7 +41,7 @@ from loomwork.llm.toxicity import fold
 from loomwork.session import scratch_path, stored
 
 CLASSES = 16
-ROW_BITS = 13
+ROW_BITS = 14
 ROUNDS = 3
 #: Not a word: words hold no white space.
 END = "\n"
@@ -81,8 +81,8 @@ class Tokens:
     words: list[str]
     hashes: np.ndarray
     leaf: np.ndarray
-    rows: list[np.ndarray]
-    sub_rows: list[np.ndarray]
+    rows: list
+    sub_rows: list
     counts: np.ndarray
 
 
@@ -108,32 +108,42 @@ def tokens_of(texts: pa.Array) -> Tokens:
         both = (one * _MIX[3]) ^ (two + _MIX[2])
     first = leaf // CLASSES
     hashed = [_row(one, 0), _row(two, 1), _row(both, 2)]
-    rows = [np.full(len(h), 1 << ROW_BITS, dtype=np.int32), *hashed]
+    rows = [1 << ROW_BITS, *hashed]
     sub_rows = [(1 << ROW_BITS) + first, *(_sub_row(r, first, k) for k, r in enumerate(hashed))]
     return Tokens(at, words, hashes, leaf, rows, sub_rows, total)
 
 
-def _softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = weights[rows[0]]
-    for r in rows[1:]:
-        z = z + weights[r]
-    z -= z.max(axis=1, keepdims=True)
+def _softmax(weights: np.ndarray, rows: list) -> np.ndarray:
+    """Probabilities (token, class). ``rows`` are arrays, or one number for all tokens."""
+    z = np.take(weights, rows[-1], axis=0)
+    for r in rows[:-1]:
+        z += weights[r] if isinstance(r, int) else np.take(weights, r, axis=0)
+    # Far beyond any trained weight; keeps the exponential finite.
+    np.minimum(z, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= np.maximum(np.einsum("ij->i", z), np.float32(1e-30))[:, None]
     return z
 
 
 def _step(weights, energy, rows, target, rate: float) -> None:
-    """One AdaGrad step over a batch of tokens; gradients are summed over the whole table."""
+    """One AdaGrad step over a batch of tokens, feature by feature, on the rows it uses."""
     p = _softmax(weights, rows)
     p[np.arange(len(target)), target] -= 1
-    flat_p, each = p.ravel(), np.arange(CLASSES, dtype=np.int32)
-    total = np.zeros(weights.size)
     for r in rows:
-        total += np.bincount((r[:, None] * np.int32(CLASSES) + each).ravel(), weights=flat_p, minlength=weights.size)
-    g = total.reshape(weights.shape).astype(np.float32)
-    energy += (g * g).sum(axis=1)
-    weights -= rate * g / np.sqrt(energy + 1.0)[:, None]
+        if isinstance(r, int):
+            used, g = np.array([r]), p.sum(axis=0, keepdims=True)
+        else:
+            # Rows are numbers of 16 bits, which sort in linear time.
+            order = np.argsort(r.astype(np.uint16), kind="stable")
+            ranked = r[order]
+            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            used, g = ranked[first], np.add.reduceat(np.take(p, order, axis=0), first, axis=0)
+        energy[used] += np.einsum("ij,ij->i", g, g)
+        weights[used] -= rate * g / np.sqrt(energy[used] + 1.0)[:, None]
+
+
+def _part(rows: list, part: slice) -> list:
+    return [r if isinstance(r, int) else r[part] for r in rows]
 
 
 def local_training(weights: np.ndarray, energy: np.ndarray, tokens: Tokens, rate: float) -> None:
@@ -141,8 +151,8 @@ def local_training(weights: np.ndarray, energy: np.ndarray, tokens: Tokens, rate
     for low in range(0, len(tokens.leaf), _BATCH):
         part = slice(low, low + _BATCH)
         leaf = tokens.leaf[part]
-        _step(weights[0], energy[0], [r[part] for r in tokens.rows], leaf // CLASSES, rate)
-        _step(weights[1], energy[1], [r[part] for r in tokens.sub_rows], leaf % CLASSES, rate)
+        _step(weights[0], energy[0], _part(tokens.rows, part), leaf // CLASSES, rate)
+        _step(weights[1], energy[1], _part(tokens.sub_rows, part), leaf % CLASSES, rate)
 
 
 def history_log10(weights: np.ndarray, tokens: Tokens) -> np.ndarray:
@@ -152,8 +162,8 @@ def history_log10(weights: np.ndarray, tokens: Tokens) -> np.ndarray:
         part = slice(low, low + _BATCH)
         leaf = tokens.leaf[part]
         pick = np.arange(len(leaf))
-        a = _softmax(weights[0], [r[part] for r in tokens.rows])[pick, leaf // CLASSES]
-        b = _softmax(weights[1], [r[part] for r in tokens.sub_rows])[pick, leaf % CLASSES]
+        a = _softmax(weights[0], _part(tokens.rows, part))[pick, leaf // CLASSES]
+        b = _softmax(weights[1], _part(tokens.sub_rows, part))[pick, leaf % CLASSES]
         out[part] = np.log10(np.maximum(a, 1e-30)) + np.log10(np.maximum(b, 1e-30))
     return out
 
