@@ -12,17 +12,21 @@ share no symbol with an earlier one of the round. A new pair made by a merge is
 at most as frequent as some pair touching the merged symbols, so all taken pairs
 above the first touching pair's count are final. The result equals one merge per
 round.
+
+Pair counts are kept as a table. A round counts only the pre-tokens that hold a merged
+pair, before and after, and adds the difference, so its cost follows what it changed.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomwork.functions.text import adjacent_pairs, byte_text, pretokens
-from loomwork.session import cut_lineage
+from loomwork.session import cut_lineage, stored
 
 # The special tokens, in id order after the merges.
 SPECIAL_TOKENS = [
@@ -152,12 +156,12 @@ def train(
     if wanted < 0:
         raise ValueError(f"vocab_size must be at least {BYTE_IDS + len(SPECIAL_TOKENS)}")
     state = cut_lineage(initial_state(pretoken_counts(texts, column)))
+    pairs = stored(pair_counts(state), "pairs")
     merges: list[Merge] = []
     rounds = 0
     while len(merges) < wanted:
         top = (
-            pair_counts(state)
-            .orderBy(F.desc("n"), F.ascii(F.substring("pair", 1, 1)), F.ascii(F.substring("pair", 2, 1)))
+            pairs.orderBy(F.desc("n"), F.ascii(F.substring("pair", 1, 1)), F.ascii(F.substring("pair", 2, 1)))
             .limit(lookahead)
             .collect()
         )
@@ -168,12 +172,17 @@ def train(
             # Nothing seen past the horizon bounds the ties at its last count.
             floor = top[-1]["n"]
             batch = batch[:1] + [b for b in batch[1:] if b[1] > floor]
+        batch = batch[: wanted - len(merges)]
         merged = F.col("symbols")
-        for pair, count in batch[: wanted - len(merges)]:
+        for pair, count in batch:
             new = BYTE_IDS + len(merges)
             merges.append(Merge(token_id(pair[0]), token_id(pair[1]), new, count))
             merged = F.replace(merged, F.lit(pair), F.lit(symbol(new)))
-        state = state.select(merged.alias("symbols"), "n")
+        if len(merges) == wanted:
+            break
+        holds = functools.reduce(Column.__or__, [F.contains("symbols", F.lit(pair)) for pair, _ in batch])
+        pairs = stored(_adjusted(pairs, state.filter(holds).select("symbols", merged.alias("after"), "n")), "pairs")
+        state = state.select(F.when(holds, merged).otherwise(F.col("symbols")).alias("symbols"), "n")
         rounds += 1
         if rounds % rounds_per_checkpoint == 0:
             # A pre-token merged into one symbol has no pairs left to count.
@@ -181,6 +190,17 @@ def train(
     return Vocabulary(tuple(merges))
 
 
+def _adjusted(pairs: DataFrame, changed: DataFrame) -> DataFrame:
+    """Pair counts after a round: only pre-tokens (symbols, after, n) that it changed are counted."""
+
+    def counted(symbols: str, n: Column) -> Column:
+        return F.transform(adjacent_pairs(F.col(symbols)), lambda p: F.struct(p.alias("pair"), n.alias("n")))
+
+    both = F.concat(counted("symbols", -F.col("n")), counted("after", F.col("n")))
+    moved = changed.select(F.explode(both).alias("c")).select("c.pair", "c.n")
+    return pairs.unionAll(moved).groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def segmentation(counts: DataFrame, vocabulary: Vocabulary, per_step: int = 64) -> DataFrame:
     """Apply all merges to distinct pre-tokens, giving (piece, symbols, n)."""
     state = counts.select("piece", byte_text(F.col("piece")).alias("symbols"), "n")
