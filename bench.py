@@ -13,7 +13,7 @@ import time
 
 import loomwork.plans  # noqa: F401
 from loomwork.plans.registry import QUERIES
-from loomwork.session import build_session
+from loomwork.session import build_session, release
 
 HEADLINE = [
     "corpus_clean", "text_shards", "char_budget", "mixture_oversample", "hash_split", "chat_validate",
@@ -38,6 +38,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
+        release(spark)
     spark.stop()
     print(
         json.dumps(

@@ -141,3 +141,16 @@ def test_stream_blocks_do_not_depend_on_batches(spark, tmp_path, files_per_batch
     got = spark.read.parquet(out)
     assert [r["block_id"] for r in got.orderBy("block_id").collect()] == list(range(5))
     assert got.agg(F.sum(F.size("tokens"))).first()[0] == 280
+
+
+def test_scratch_is_released(spark, tmp_path):
+    import os
+
+    from loomwork import session
+
+    session.release(spark)
+    kept = session.stored(spark.range(3), "stage")
+    (path,) = session._SCRATCH
+    assert kept.count() == 3 and os.path.isdir(path.removeprefix("file:"))
+    session.release(spark)
+    assert not os.path.exists(path.removeprefix("file:"))
