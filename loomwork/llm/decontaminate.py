@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomwork.llm.arrowtext import ranges, text_slices
 
@@ -249,7 +250,7 @@ def leaks(
     names = [key, item_key, "first_word", "edits"]
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, first_word bigint, edits bigint"
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    item_type = pa.int64() if items.schema[item_key].dataType.typeName() in ("long", "integer") else pa.string()
+    item_type = to_arrow_type(items.schema[item_key].dataType)
 
     def scan(index: ItemIndex):
         def run(batches):
