@@ -70,13 +70,13 @@ def bits_per_byte(spark, sf_dir):
     SELECT round(sum(CASE WHEN n_bytes > 0 THEN loss END), 3) AS nats, sum(n_bytes)::BIGINT AS n_bytes,
            round(sum(CASE WHEN n_bytes > 0 THEN loss END) / (ln(2) * sum(n_bytes)), 6) AS bpb
     FROM k JOIN b USING (token_id)
-    WHERE NOT skip AND doc_id < (1000000 // (8 * 256 * 2)) * 8 * 2
+    WHERE NOT skip AND doc_id < (100000 // (8 * 256 * 2)) * 8 * 2
     """,
 )
 def bits_per_byte_budget(spark, sf_dir):
     losses, token_bytes = _losses(spark, sf_dir)
     # A document stands for a packed row here, numbered by its id.
-    rows = evals.rows_in_budget(1_000_000, batch=8, length=256, world=2)
+    rows = evals.rows_in_budget(100_000, batch=8, length=256, world=2)
     scored = evals.bits_per_byte(losses.filter(F.col("doc_id") < rows), token_bytes)
     return scored.select(F.round("nats", 3).alias("nats"), "n_bytes", F.round("bpb", 6).alias("bpb"))
 

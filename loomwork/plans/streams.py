@@ -117,4 +117,4 @@ def stream_log_events(spark, sf_dir):
     lines = spark.readStream.option("maxFilesPerTrigger", 2).text(landed)
     out = scratch_path(spark, "log-out")
     jobs.time_limited_jobs(lines, out, scratch_path(spark, "log-progress"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("job_id")

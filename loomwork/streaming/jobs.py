@@ -141,7 +141,20 @@ def follow_series(points: DataFrame, out: str, state: str, checkpoint: str, beta
 
 
 def time_limited_jobs(lines: DataFrame, out: str, checkpoint: str) -> None:
-    """Each job id once, however often its line is seen."""
+    """Each job id once, however often its line is seen.
+
+    What was seen is the output itself: a batch leaves out the ids of earlier batches,
+    and a repeated batch replaces its own, so no state grows beside the result.
+    """
     job = F.regexp_extract("value", TIME_LIMIT, 1)
     found = lines.select(F.nullif(job, F.lit("")).cast("bigint").alias("job_id")).filter("job_id IS NOT NULL")
-    _finish(found.dropDuplicates(["job_id"]), out, checkpoint)
+
+    def advance(batch: DataFrame, number: int) -> None:
+        fresh = batch.distinct()
+        if number and storage.exists(batch.sparkSession, out):
+            told = batch.sparkSession.read.schema("job_id bigint, batch int").parquet(out)
+            fresh = fresh.join(told.filter(F.col("batch") < number).select("job_id"), "job_id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = found.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()

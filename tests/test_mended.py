@@ -154,3 +154,16 @@ def test_scratch_is_released(spark, tmp_path):
     assert kept.count() == 3 and os.path.isdir(path.removeprefix("file:"))
     session.release(spark)
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_a_job_seen_in_two_batches_is_told_once(spark, tmp_path):
+    line = "slurmstepd: error: *** JOB {} ON n1 CANCELLED AT now DUE TO TIME LIMIT ***"
+    source = tmp_path / "log"
+    for jobs_here in ((1, 2), (2, 3), (1, 3)):
+        rows = [(line.format(j),) for j in jobs_here] + [("step 1 done",)]
+        spark.createDataFrame(rows, "value string").coalesce(1).write.mode("append").text(str(source))
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(str(source))
+    for _ in range(2):
+        jobs.time_limited_jobs(lines, str(tmp_path / "out"), str(tmp_path / "progress"))
+    got = [r["job_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [1, 2, 3]
