@@ -6,16 +6,18 @@ within ``floor(ratio * n)`` word edits of it.
 
 Per slice of texts, in one task and without moving a row:
 
-1. Windows of item size that cannot be that close are set aside by counting: an edit
-   breaks at most three of an item's ``n - 2`` runs of three words, so all but ``3k``
-   stand inside the window. The count is a difference of running sums and loses nothing.
+1. Windows that cannot be that close are set aside by counting: an edit breaks at most
+   three of an item's ``n - 2`` runs of three words, so one of its ``3k + 1`` rarest runs
+   stands within ``k`` words of its place, and all but ``3k`` runs stand inside the window.
+   This loses nothing. (Where so few words would leave no run, runs are shorter.)
 2. Remaining windows and the items walk through the CGK embedding: at step ``j`` the
    walk emits the word it stands on and moves on if a random bit of (step, word) says
    so. Words edited apart fall back into step, so few edits give few differing
    positions (Hamming distance) of the walk.
 3. ``reps`` independent walks are sampled at ``sampled`` positions each; equal samples
    make a candidate.
-4. Each candidate is checked by the exact edit distance over all window ends.
+4. Each candidate, and the windows around one that holds, is checked by the exact edit
+   distance over all window ends.
 
 ``recall`` states the share that the sampling finds, given the share of equal positions.
 
@@ -26,6 +28,7 @@ index, bounded with it, travels to the tasks that scan the documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,45 +67,57 @@ def word_symbols(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, again.dictionary, counts
 
 
-def word_runs(words: np.ndarray) -> np.ndarray:
-    """A hash of the three words from each place; equal runs have equal hashes."""
+def word_runs(words: np.ndarray, length: int = 3) -> np.ndarray:
+    """A hash of the ``length`` words from each place; equal runs have equal hashes."""
     x = words.astype(np.uint64)
     with np.errstate(over="ignore"):
-        for _ in range(2):
+        for _ in range(length - 1):
             x = x[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ words[len(words) - len(x) + 1 :].astype(np.uint64)
     return x
 
 
+def run_length(n: int, k: int) -> int:
+    """Words per run, three at most, so that k edits cannot break all runs of n words."""
+    return next((r for r in (3, 2) if n - r + 1 - r * k > 0), 1)
+
+
 def walk_table(vocabulary: int) -> np.ndarray:
     """512 random bits per word; row 0 is the padding, row 1 any word no item has."""
     return np.random.default_rng(1).integers(0, 1 << 64, (8, vocabulary + 2), dtype=np.uint64)
 
 
-def embed(windows: np.ndarray, table: np.ndarray, rep: int, positions: np.ndarray) -> np.ndarray:
-    """One hash per row of ``windows`` (n words each): walk ``rep`` sampled at ``positions``, which rise.
+def walk_keys(windows: np.ndarray, sizes: np.ndarray, table: np.ndarray, reps: int, sampled: int) -> np.ndarray:
+    """(reps, rows): a hash of what each walk over the first ``sizes`` words of a row emits where it is sampled.
 
     Words are -2 for padding, -1 for unknown ones. A walk past the last word emits padding.
     """
-    count, n = windows.shape
-    padded = np.full((n + 1, count), 0, dtype=np.int32)
-    padded[:n] = windows.T + 2
+    count, width = windows.shape
+    padded = np.zeros((count, width + 1), dtype=np.int32)
+    np.copyto(padded[:, :width], windows + 2, where=np.arange(width) < sizes[:, None])
     flat = padded.ravel()
-    at = np.arange(count, dtype=np.int32)
-    end = at + n * count
-    key = np.zeros(count, dtype=np.uint64)
-    wanted = set(positions.tolist())
-    drawn = np.random.default_rng([rep, 2]).integers(0, 512, int(positions[-1]) + 1)
-    for step, bit in enumerate(drawn.tolist()):
+    at = np.tile(np.arange(count, dtype=np.int64) * (width + 1), (reps, 1))
+    end = at + sizes
+    known, which = np.unique(sizes, return_inverse=True)
+    places = np.array([[sample_positions(n, rep, sampled) for n in known.tolist()] for rep in range(reps)])
+    steps = int(places.max()) + 1
+    bits = np.array([np.random.default_rng([rep, 2]).integers(0, 512, steps) for rep in range(reps)])
+    rows, shifts = (bits >> 6) * table.shape[1], (bits & 63).astype(np.uint64)
+    cells = table.ravel()
+    key = np.zeros((reps, count), dtype=np.uint64)
+    for step in range(steps):
         word = flat[at]
-        if step in wanted:
+        wanted = (places == step).any(axis=2)
+        if wanted.any():
+            taken = wanted[:, which]
             with np.errstate(over="ignore"):
-                key = (key ^ (word + 3).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
-                key ^= key >> np.uint64(32)
-        moves = (table[bit >> 6][word] >> np.uint64(bit & 63)).astype(np.int32) & 1
-        at = np.minimum(at + moves * np.int32(count), end)
-    return key
+                mixed = (key[taken] ^ (word[taken] + 3).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+            key[taken] = mixed ^ (mixed >> np.uint64(32))
+        moves = (cells[rows[:, step, None] + word] >> shifts[:, step, None]) & np.uint64(1)
+        at = np.minimum(at + moves.astype(np.int64), end)
+    return key.astype(np.uint32)
 
 
+@lru_cache(maxsize=1 << 16)
 def sample_positions(n: int, rep: int, sampled: int) -> np.ndarray:
     """Where walk ``rep`` over ``n`` words is sampled; a walk of 2n steps passes about all n."""
     draw = np.random.default_rng([n, rep])
@@ -124,7 +139,7 @@ def edit_distances(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 class ItemIndex:
-    """Sampled walks of one block of items, with the counts of step 1."""
+    """One block of items: their words, the places of their rarest runs, their sampled walks."""
 
     def __init__(self, keys: list, texts: list[str | None], ratio=RATIO, reps=REPS, sampled=SAMPLED, min_words=MIN_WORDS):
         self.ratio, self.reps, self.sampled = ratio, reps, sampled
@@ -133,94 +148,166 @@ class ItemIndex:
         ends = np.cumsum(counts)
         rows: dict[tuple[int, ...], list] = {}  # equal items are one row
         for key, end, n in zip(keys, ends.tolist(), counts.tolist()):
-            if n >= min_words:
+            if n >= max(1, min_words):
                 rows.setdefault(tuple(codes[end - n : end].tolist()), []).append(key)
         self.keys = list(rows.values())
-        runs = [word_runs(np.array(w, dtype=np.int32)) for w in rows]
-        self.runs = np.unique(np.concatenate(runs)) if runs else np.zeros(0, dtype=np.uint64)
-        groups: dict[int, list] = {}
-        for number, words in enumerate(rows):
-            groups.setdefault(len(words), []).append((number, words))
+        items = [np.array(w, dtype=np.int32) for w in rows]
+        self.sizes = np.array([len(w) for w in items], dtype=np.int64)
+        self.allowed = np.array([int(ratio * len(w)) for w in items], dtype=np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([*items, np.zeros(0, dtype=np.int32)]).astype(np.int32)
         self.table = walk_table(len(self.words))
-        self.groups = []
-        for n, members in sorted(groups.items()):
-            matrix = np.array([w for _, w in members], dtype=np.int32)
-            tables = []
-            for rep in range(reps):
-                hashes = embed(matrix, self.table, rep, sample_positions(n, rep, sampled))
-                order = np.argsort(hashes, kind="stable")
-                tables.append((hashes[order], order))
-            k, numbers = int(ratio * n), np.array([m for m, _ in members], dtype=np.int64)
-            # A closest window starts with a word that is matched, after at most k lost ones.
-            leading = np.zeros(len(self.words) + 2, dtype=bool)
-            leading[matrix[:, : k + 1] + 2] = True
-            self.groups.append((n, k, max(0, n - 2 - 3 * k), numbers, matrix, tables, leading))
+        lengths = np.array([run_length(n, k) for n, k in zip(self.sizes.tolist(), self.allowed.tolist())], dtype=np.int64)
+        self.need = self.sizes - lengths + 1 - lengths * self.allowed
+        self.runs = [(r, *self._postings(items, np.flatnonzero(lengths == r), r)) for r in (3, 2, 1) if (lengths == r).any()]
+        self.walks = np.zeros((reps, len(items)), dtype=np.uint32)
+        for some in self._chunks(np.arange(len(items))):
+            self.walks[:, some] = walk_keys(self._items(some), self.sizes[some], self.table, reps, sampled)
+
+    def _postings(self, items: list, numbers: np.ndarray, length: int) -> tuple:
+        """(runs of these items, first posting of each, item and place per posting).
+
+        Of an item only its ``length * k + 1`` rarest runs are posted: k edits leave one.
+        """
+        hashes = [word_runs(items[i], length) for i in numbers.tolist()]
+        runs, codes, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        run, item, place, at = [], [], [], 0
+        for i, h in zip(numbers.tolist(), hashes):
+            mine = codes[at : at + len(h)]
+            at += len(h)
+            kept = np.argsort(often[mine], kind="stable")[: length * int(self.allowed[i]) + 1]
+            run.append(mine[kept])
+            place.append(kept)
+            item.append(np.full(len(kept), i))
+        run, item, place = np.concatenate(run), np.concatenate(item), np.concatenate(place)
+        order = np.argsort(run, kind="stable")
+        first = np.searchsorted(run[order], np.arange(len(runs) + 1))
+        return runs, first, item[order], place[order]
+
+    def _chunks(self, item: np.ndarray, cells: int = 1 << 17) -> Iterator[np.ndarray]:
+        """Places of ``item``, by size, in parts whose walks or windows are bounded."""
+        order = np.argsort(self.sizes[item], kind="stable")
+        at = 0
+        while at < len(order):
+            stop = at + 1024
+            width = int(self.sizes[item[order[min(stop, len(order)) - 1]]])
+            stop = min(stop, at + max(1, cells // width))
+            yield order[at:stop]
+            at = stop
+
+    def _items(self, item: np.ndarray) -> np.ndarray:
+        """Words of these items, padded to the longest."""
+        steps = np.arange(int(self.sizes[item].max()))
+        at = np.minimum(self.begin[item][:, None] + steps, len(self.flat) - 1)
+        return np.where(steps < self.sizes[item][:, None], self.flat[at], np.int32(-2))
 
     def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, row of ``keys``, first word, edits): the closest window per text and item row."""
         nothing = tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
         codes, words, counts = word_symbols(texts)
-        if not len(codes) or not self.groups:
+        if not len(codes) or not len(self.keys):
             return nothing
         known = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int32)
         symbols = known[codes]
-        longest = max(n + k for n, k, *_ in self.groups)
-        hit = np.zeros(len(symbols) + longest + 1, dtype=np.int32)
-        if len(symbols) > 2:
-            here = np.flatnonzero((symbols[:-2] >= 0) & (symbols[1:-1] >= 0) & (symbols[2:] >= 0))
-            found = word_runs(symbols)[here]
-            place = np.minimum(np.searchsorted(self.runs, found), len(self.runs) - 1)
-            hit[here + 1] = self.runs[place] == found
-        hit = np.cumsum(hit, dtype=np.int32)
         stop = np.cumsum(counts)
-        out = []
-        at = 0
-        while at < len(self.groups):
-            # Neighbouring sizes share one pass over all windows.
-            last = at
-            while last + 1 < len(self.groups) and self.groups[last + 1][0] <= 1.25 * self.groups[at][0]:
-                last += 1
-            shared = self.groups[at : last + 1]
-            width, need = shared[-1][0] + shared[-1][1], min(g[2] for g in shared)
-            open_ = np.flatnonzero(hit[width : width + len(symbols)] - hit[: len(symbols)] >= need)
-            for group in shared:
-                n, k, need, leading = group[0], group[1], group[2], group[-1]
-                fit = open_[(hit[open_ + n + k] - hit[open_] >= need) & leading[symbols[open_] + 2]]
-                out += list(self._check(group, fit, symbols, stop))
-            at = last + 1
-        if not out:
+        begin = stop - counts
+        item, start = [], []
+        for length, *postings in self.runs:
+            for some, at in self._windows(length, postings, symbols, begin, stop):
+                near = self._sampled(some, at, symbols, stop)
+                item.append(some[near])
+                start.append(at[near])
+        if not item:
             return nothing
-        text, item, start, edits = (np.concatenate(c) for c in zip(*out))
-        order = np.lexsort((start, edits, item, text))
+        item, start = np.concatenate(item), np.concatenate(start)
+        edits = self._edits(item, start, symbols, stop)
+        good = edits <= self.allowed[item]
+        item, start = item[good], start[good]
+        # The closest window lies at most 2k from one that is close enough.
+        wide = 4 * self.allowed[item] + 1
+        around = np.repeat(start - 2 * self.allowed[item], wide) + ranges(np.zeros(len(item), dtype=np.int64), wide)
+        text = np.repeat(np.searchsorted(stop, start, side="right"), wide)
+        item = np.repeat(item, wide)
+        inside = (around >= begin[text]) & (around < stop[text])
+        item, start = _distinct(item[inside], around[inside])
+        edits = self._edits(item, start, symbols, stop)
+        good = edits <= self.allowed[item]
+        item, start, edits = item[good], start[good], edits[good]
+        text = np.searchsorted(stop, start, side="right")
+        # Of equally close windows the first that starts with a word the item may start with.
+        foreign = np.zeros(len(item), dtype=bool)
+        for some in self._chunks(item):
+            head = self._items(item[some])
+            head[np.arange(head.shape[1]) > self.allowed[item[some]][:, None]] = -2
+            foreign[some] = ~(head == symbols[start[some]][:, None]).any(axis=1)
+        order = np.lexsort((start, foreign, edits, item, text))
         text, item, start, edits = text[order], item[order], start[order], edits[order]
-        first = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])
-        begin = np.concatenate([[0], stop[:-1]])
+        first = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])[: len(text)]
         return text[first], item[first], start[first] - begin[text[first]], edits[first]
 
-    def _check(self, group, starts, symbols, stop, cells: int = 1 << 21) -> Iterator[tuple]:
-        n, k, _, numbers, matrix, tables, _ = group
-        at_once = max(1, cells // (n + k))
-        for low in range(0, len(starts), at_once):
-            some = starts[low : low + at_once]
-            text = np.searchsorted(stop, some, side="right")
-            grid = some[:, None] + np.arange(n + k)
-            inside = grid < stop[text][:, None]
-            windows = np.where(inside, symbols[np.minimum(grid, len(symbols) - 1)], np.int32(-2))
-            pairs = []
-            for rep, (hashes, order) in enumerate(tables):
-                key = embed(windows[:, :n], self.table, rep, sample_positions(n, rep, self.sampled))
-                a, b = np.searchsorted(hashes, key), np.searchsorted(hashes, key, side="right")
-                hit = np.flatnonzero(b > a)
-                lengths = b[hit] - a[hit]
-                pairs.append(np.repeat(hit, lengths) * len(matrix) + order[ranges(a[hit], lengths)])
-            pair = np.unique(np.concatenate(pairs))
-            for part in np.array_split(pair, 1 + len(pair) * (n + k) // (1 << 18)):
-                window, item = part // len(matrix), part % len(matrix)
-                edits = edit_distances(matrix[item], windows[window])
-                good = edits <= k
-                if good.any():
-                    window, item = window[good], item[good]
-                    yield text[window], numbers[item], some[window], edits[good].astype(np.int64)
+    def _windows(self, length: int, postings: tuple, symbols, begin, stop, events: int = 1 << 16) -> Iterator[tuple]:
+        """(items, first words) of all windows that step 1 leaves, a bounded number at a time."""
+        runs, first, items, places = postings
+        if len(symbols) < length:
+            return
+        whole = len(symbols) - length + 1
+        here = np.flatnonzero(np.logical_and.reduce([symbols[i : whole + i] >= 0 for i in range(length)]))
+        found = word_runs(symbols, length)[here]
+        run = np.minimum(np.searchsorted(runs, found), len(runs) - 1)
+        equal = runs[run] == found
+        here, run = here[equal], run[equal]
+        many = first[run + 1] - first[run]
+        ends = np.cumsum(many)
+        low = 0
+        while low < len(here):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] - many[low] + events, side="right")))
+            at = ranges(first[run[low:high]], many[low:high])
+            place = np.repeat(here[low:high], many[low:high])
+            item = items[at]
+            # k edits move a run by at most k words.
+            wide = 2 * self.allowed[item] + 1
+            start = np.repeat(place - places[at] - self.allowed[item], wide) + ranges(np.zeros(len(item), dtype=np.int64), wide)
+            item, place = np.repeat(item, wide), np.repeat(place, wide)
+            inside = (start >= begin[np.searchsorted(stop, place, side="right")]) & (start <= place)
+            item, start = item[inside], start[inside]
+            # So many runs of any item must start in the window.
+            reach = start + self.sizes[item] + self.allowed[item] - length + 1
+            enough = np.searchsorted(here, reach) - np.searchsorted(here, start) >= self.need[item]
+            yield _distinct(item[enough], start[enough])
+            low = high
+
+    def _grid(self, item, start, symbols, stop) -> np.ndarray:
+        """The words from each start on, n + k of the longest item, padded behind each item's own and the text's end."""
+        size = self.sizes[item] + self.allowed[item]
+        steps = np.arange(int(size.max()))
+        grid = start[:, None] + steps
+        inside = grid < np.minimum(stop[np.searchsorted(stop, start, side="right")], start + size)[:, None]
+        return np.where(inside, symbols[np.minimum(grid, len(symbols) - 1)], np.int32(-2))
+
+    def _sampled(self, item, start, symbols, stop) -> np.ndarray:
+        """Where a window's walk and its item's agree in one sample at least."""
+        near = np.zeros(len(item), dtype=bool)
+        for some in self._chunks(item):
+            windows = self._grid(item[some], start[some], symbols, stop)
+            keys = walk_keys(windows, self.sizes[item[some]], self.table, self.reps, self.sampled)
+            near[some] = (keys == self.walks[:, item[some]]).any(axis=0)
+        return near
+
+    def _edits(self, item, start, symbols, stop) -> np.ndarray:
+        edits = np.zeros(len(item), dtype=np.int64)
+        for some in self._chunks(item):
+            sizes = self.sizes[item[some]]
+            for n in np.unique(sizes).tolist():
+                part = some[sizes == n]
+                edits[part] = edit_distances(self._items(item[part]), self._grid(item[part], start[part], symbols, stop))
+        return edits
+
+
+def _distinct(item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((start, item))
+    item, start = item[order], start[order]
+    new = np.concatenate([[True], (item[1:] != item[:-1]) | (start[1:] != start[:-1])])[: len(item)]
+    return item[new], start[new]
 
 
 def item_blocks(items: DataFrame, item_key: str, item_text: str, limit: int = BLOCK_BYTES, **options) -> Iterator[ItemIndex]:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from loomwork.llm import decontaminate as dc
 from tests.llm.helpers import frame, odd_rows
@@ -82,6 +83,55 @@ def test_the_count_filter_loses_nothing():
         assert sum(tuple(window[i : i + 3]) in runs for i in range(len(window) - 2)) >= len(p) - 2 - 3 * k
 
 
+def bound_edits(rng, passage, kind):
+    """``passage`` with as many edits of one kind as the bound allows; new words are foreign."""
+    out, n, k = list(passage), len(passage), int(dc.RATIO * len(passage))
+    new = [f"x{rng.randrange(9999)}" for _ in range(k)]
+    if kind == "first words replaced":
+        return new + out[k:]
+    if kind == "first words dropped":
+        return out[k:]
+    raise ValueError(kind)
+
+
+def share_found(kind):
+    rng = random.Random(11)
+    passages = [words(rng, rng.randint(15, 59), 4000) for _ in range(200)]
+    index = dc.ItemIndex(list(range(200)), [" ".join(p) for p in passages])
+    around = lambda n: [f"x{rng.randrange(9999)}" for _ in range(n)]
+    texts = [around(40) + bound_edits(rng, p, kind) + around(60) for p in passages]
+    row, item, _, _ = index.find(pa.array([" ".join(t) for t in texts]))
+    return sum(r == index.keys[i][0] for r, i in zip(row.tolist(), item.tolist())) / 200
+
+
+@pytest.mark.parametrize("kind", ["first words replaced", "first words dropped"])
+def test_recall_at_the_bound(kind):
+    assert share_found(kind) >= 0.95
+
+
+def test_windows_set_aside_are_too_far():
+    rng = random.Random(12)
+    head = words(rng, 4)
+    passages = [head + words(rng, rng.randint(4, 26), 60) for _ in range(80)]
+    for ratio in (0.1, 0.2, 0.3):
+        index = dc.ItemIndex(list(range(80)), [" ".join(p) for p in passages], ratio=ratio)
+        texts = [words(rng, 9) + edited(rng, p, int(ratio * len(p))) + words(rng, 9) for p in passages]
+        codes, vocabulary, counts = dc.word_symbols(pa.array([" ".join(t) for t in texts]))
+        symbols = dc.pc.fill_null(dc.pc.index_in(vocabulary, index.words), -1).to_numpy().astype(np.int32)[codes]
+        stop = np.cumsum(counts)
+        left = set()
+        for length, *postings in index.runs:
+            for item, start in index._windows(length, postings, symbols, stop - counts, stop):
+                left |= set(zip(start.tolist(), item.tolist()))
+        for t, (text, begin) in enumerate(zip(texts, (stop - counts).tolist())):
+            p = passages[t]
+            k = int(ratio * len(p))
+            # A window that starts with a foreign word is as close from its next word on.
+            for s in range(len(text)):
+                if text[s] in p[: k + 1] and plain_distance(p, text[s : s + len(p) + k]) <= k:
+                    assert (begin + s, t) in left
+
+
 PASSAGE = "nine grey geese watch the quick brown fox jump over some lazy dog"
 
 
