@@ -20,6 +20,9 @@ Per slice of texts, in one task and without moving a row:
    distance over all window ends.
 
 ``recall`` states the share that the sampling finds, given the share of equal positions.
+That share depends on the kind of edit: least is left by scattered deletions, after which
+a walk of the item's length ends in foreign words. ``REPS`` is set by the measured recall
+of the worst kind at the bound, not by ``recall`` alone.
 
 Items are the query set: they are read in blocks of bounded size, and each block's
 index, bounded with it, travels to the tasks that scan the documents.
@@ -39,7 +42,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from loomwork.llm.arrowtext import ranges, text_slices
 
 RATIO = 0.2
-REPS = 12
+REPS = 64
 SAMPLED = 2
 MIN_WORDS = 8
 BLOCK_BYTES = 16 << 20

@@ -91,6 +91,29 @@ def bound_edits(rng, passage, kind):
         return new + out[k:]
     if kind == "first words dropped":
         return out[k:]
+    if kind == "last words replaced":
+        return out[: n - k] + new
+    if kind == "last words dropped":
+        return out[: n - k]
+    if kind == "middle replaced":
+        return out[: (n - k) // 2] + new + out[(n - k) // 2 + k :]
+    if kind == "middle dropped":
+        return out[: (n - k) // 2] + out[(n - k) // 2 + k :]
+    if kind == "words put into the middle":
+        return out[: n // 2] + new + out[n // 2 :]
+    if kind == "substitutions":
+        for at, word in zip(rng.sample(range(n), k), new):
+            out[at] = word
+        return out
+    if kind == "deletions":
+        lost = set(rng.sample(range(n), k))
+        return [w for i, w in enumerate(out) if i not in lost]
+    if kind == "insertions":
+        for word in new:
+            out.insert(rng.randrange(len(out) + 1), word)
+        return out
+    if kind == "mixed":
+        return edited(rng, out, k)
     raise ValueError(kind)
 
 
@@ -104,7 +127,11 @@ def share_found(kind):
     return sum(r == index.keys[i][0] for r, i in zip(row.tolist(), item.tolist())) / 200
 
 
-@pytest.mark.parametrize("kind", ["first words replaced", "first words dropped"])
+KINDS = ["first words replaced", "first words dropped", "last words replaced", "last words dropped", "middle replaced"]
+KINDS += ["middle dropped", "words put into the middle", "substitutions", "deletions", "insertions", "mixed"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
 def test_recall_at_the_bound(kind):
     assert share_found(kind) >= 0.95
 
