@@ -1,20 +1,24 @@
 """Personal data: fixed patterns, and terms that give a protected value away.
 
 Base spans come from four patterns. Information-theoretic sanitisation then asks of
-every term (word) near a protected value ``e`` how much of it the term reveals. Over
-all documents, with ``co(t, e)`` the occurrences of term ``t`` within ``WINDOW`` words
-of ``e`` and ``n(t)`` those anywhere,
+every term (word) in a document that holds a protected value ``e`` how much of ``e`` it
+reveals. Over the distinct texts, with ``co(t, e)`` the number that hold both term ``t``
+and ``e``, and ``n(t)`` and ``n(e)`` those that hold either,
 
-    p(e | t) = co(t, e) / n(t)        p(e) = co(e) / all words
+    p(e | t) = co(t, e) / n(t)        p(e) = n(e) / all texts
     revealed = log2(p(e | t) / p(e)) / -log2 p(e)
 
-is the share of the information in ``e`` that ``t`` discloses. Where ``t`` stands by
-``e`` in at least ``SUPPORT`` different windows (copies of a passage are one), a share
-of ``GENERALISE`` or more generalises the term to its class and one of ``REMOVE`` or
-more removes it, beside ``e``. Common words reveal next to nothing and stay.
+is the share of the information in ``e`` that ``t`` discloses. Where both stand in at
+least ``SUPPORT`` different texts, a share of ``GENERALISE`` or more generalises the term
+to its class and one of ``REMOVE`` or more removes it, at all its places in the texts
+that hold ``e``. Common words reveal next to nothing and stay, as do texts without ``e``.
 
-Terms and values travel as 64-bit hashes. Windows are rows of their own, so a value
-that a third of all documents hold is counted and joined in parts.
+Copies of a whole text are one text in every count; a passage copied into different
+texts counts in each of them. Values in fewer than ``SUPPORT`` texts cannot be judged
+and are set aside before pairs are made.
+
+Terms and values travel as 64-bit hashes. Pairs are added up in each task before they
+move, so a value that a third of all documents hold is counted in parts.
 
 Defined cases: a null text is empty; an empty one has no spans. Null keys and repeated
 rows keep a row each. Documents with a clash of column names are safe: only the key
@@ -38,7 +42,6 @@ from loomwork.llm.decontaminate import word_symbols
 from loomwork.session import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 6
 SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -107,60 +110,57 @@ def _normal(words: list[str]) -> list[str]:
     return pc.replace_substring_regex(lowered, r"[^\pL\pN]+", "").to_pylist()
 
 
-def context(text: str, spans: list[Span], window: int) -> list[tuple[int, list[tuple[int, int, int]], int]]:
-    """Per base span: (hash of the value, (term hash, start, end) around it, hash of the window)."""
+def value_hashes(text: str, spans: list[Span]) -> list[int]:
+    """Hashes of the distinct values that the spans hold."""
+    values = ((k, text[s:e] if k == 0 else _NO_DIGIT.sub(" " if k == 1 else "", text[s:e])) for s, k, e in spans)
+    return list({_hash(f"{KINDS[k]}:{value.lower()}") for k, value in values})
+
+
+def text_terms(text: str, spans: list[Span]) -> list[tuple[int, int, int]]:
+    """(term hash, start, end) of every word of the text outside its base spans."""
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
     starts = [w[0] for w in words]
     covered = np.zeros(len(words), dtype=bool)
     for s, _, e in spans:
         covered[max(0, bisect_left(starts, s + 1) - 1) : bisect_left(starts, e)] = True
-    out = []
-    for s, k, e in spans:
-        before = [i for i in range(max(0, bisect_left(starts, s) - window), bisect_left(starts, s)) if not covered[i]]
-        after_at = bisect_left(starts, e)
-        after = [i for i in range(after_at, min(len(words), after_at + window)) if not covered[i]]
-        near = before + after
-        terms = _normal([words[i][2] for i in near])
-        rows = [(_hash(t), words[i][0], words[i][1]) for i, t in zip(near, terms) if t]
-        value = text[s:e] if k == 0 else _NO_DIGIT.sub(" " if k == 1 else "", text[s:e])
-        out.append((_hash(f"{KINDS[k]}:{value.lower()}"), rows, _hash(" ".join(terms))))
-    return out
-
-
-_CONTEXT = pa.list_(
-    pa.struct([(n, pa.int64()) for n in ("value", "term", "start", "end", "window")])
-)
+    free = [w for w, c in zip(words, covered.tolist()) if not c]
+    terms = _normal([w[2] for w in free])
+    known = {t: _hash(t) for t in set(terms) if t}
+    return [(known[t], s, e) for (s, e, _), t in zip(free, terms) if t]
+
+
+_WORDS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(docs: DataFrame, text: str, window: int, keep: list[str]) -> DataFrame:
-    """``keep`` columns, __row (hash of key and text), __spans and __context."""
+def _scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns, __row (hash of key and text), __copy (hash of the text), __spans, __values and __words.
+
+    Words are listed only where the text holds a value.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
         for part, texts in text_slices(batches, "__text"):
             maybe = pc.match_substring_regex(texts, "[0-9@]").to_pylist()
-            spans, near = [], []
+            spans, values, words = [], [], []
             for value, look in zip(texts.to_pylist(), maybe):
                 found = base_spans(value) if look else []
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                near.append(
-                    [
-                        {"value": v, "term": t, "start": s, "end": e, "window": w}
-                        for v, rows, w in (context(value, found, window) if found else [])
-                        for t, s, e in rows
-                    ]
-                )
-            kept = [part.column(i) for i in range(len(keep) + 1)]
+                values.append(value_hashes(value, found))
+                words.append([{"term": t, "start": s, "end": e} for t, s, e in text_terms(value, found)] if found else [])
+            kept = [part.column(i) for i in range(len(keep) + 2)]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(spans, _SPANS), pa.array(near, _CONTEXT)], names=[*keep, "__row", "__spans", "__context"]
+                [*kept, pa.array(spans, _SPANS), pa.array(values, pa.list_(pa.int64())), pa.array(words, _WORDS)],
+                names=[*keep, "__row", "__copy", "__spans", "__values", "__words"],
             )
 
     schema = (
-        f"{fields}, __row string, __spans array<struct<start: int, kind: int, end: int>>, __context array<struct"
-        "<value: bigint, term: bigint, start: bigint, end: bigint, window: bigint>>"
+        f"{fields}, __row string, __copy string, __spans array<struct<start: int, kind: int, end: int>>, "
+        "__values array<bigint>, __words array<struct<term: bigint, start: int, end: int>>"
     )
-    return docs.select(*keep, "__row", F.col(text).alias("__text")).mapInArrow(run, schema)
+    copy = F.md5(F.coalesce(F.col(text), F.lit(""))).alias("__copy")
+    return docs.select(*keep, "__row", copy, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def _with_row(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -168,28 +168,35 @@ def _with_row(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): occurrences of every word hash in all texts."""
+    """(term, n): how many of the distinct texts hold a word hash."""
 
     def run(batches):
         for _, texts in text_slices(batches, "__text"):
-            codes, words, _ = word_symbols(texts)
-            counts = np.bincount(codes, minlength=len(words))
+            codes, words, counts = word_symbols(texts)
+            # Each word once per text.
+            cell = np.repeat(np.arange(len(counts)), counts) * max(1, len(words)) + codes
+            cell.sort()
+            once = cell[np.flatnonzero(np.diff(cell, prepend=-1))]
+            n = np.bincount(once % max(1, len(words)), minlength=len(words))
             terms = [_hash(w) for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(counts.astype(np.int64))], names=["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(n.astype(np.int64))], names=["term", "n"])
 
-    partial = docs.select(F.col(text).alias("__text")).mapInArrow(run, "term bigint, n bigint")
+    partial = docs.select(F.col(text).alias("__text")).distinct().mapInArrow(run, "term bigint, n bigint")
     return partial.groupBy("term").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def disclosures(near: DataFrame, counts: DataFrame, support=SUPPORT, generalise=GENERALISE, remove=REMOVE) -> DataFrame:
-    """(value, term, remove) of pairs past the threshold; ``near`` has rows (value, term, window)."""
-    by_window = near.groupBy("value", "term", "window").count()
-    pairs = stored(by_window.groupBy("value", "term").agg(F.sum("count").alias("co"), F.count("*").alias("windows")), "pairs")
-    values = pairs.groupBy("value").agg(F.sum("co").alias("co_value"))
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    frequent = pairs.filter(F.col("windows") >= support)
+def disclosures(held: DataFrame, values: DataFrame, counts: DataFrame, total: int, generalise=GENERALISE, remove=REMOVE, support=SUPPORT) -> DataFrame:
+    """(value, term, remove) of pairs past the threshold.
+
+    ``held`` has rows (__copy, __held, __terms): a text's supported values and distinct terms;
+    ``values`` (value, n_value), ``counts`` (term, n) and ``total`` the number of texts.
+    """
+    # Copies come together first, by task, so that each text is one row.
+    texts = held.groupBy("__copy").agg(F.first("__held").alias("__held"), F.first("__terms").alias("__terms"))
+    pairs = texts.select(F.explode("__held").alias("value"), "__terms").select("value", F.explode("__terms").alias("term"))
+    frequent = pairs.groupBy("value", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
     judged = frequent.join(values, "value").join(counts, "term")
-    p_value = F.col("co_value") / F.lit(float(total))
+    p_value = F.col("n_value") / F.lit(float(total or 1))
     p_given = F.least(F.col("co") / F.col("n"), F.lit(1.0))
     share = F.log2(p_given / p_value) / F.greatest(-F.log2(p_value), F.lit(1e-9))
     return judged.withColumn("share", share).filter(F.col("share") >= generalise).select(
@@ -197,29 +204,36 @@ def disclosures(near: DataFrame, counts: DataFrame, support=SUPPORT, generalise=
     )
 
 
-def _flagged(scanned: DataFrame, counts: DataFrame, thresholds: dict) -> DataFrame:
-    """(__row, __terms): per row the spans of disclosing terms, a removal as kind -1."""
-    near = scanned.select("__row", F.explode("__context").alias("c")).select("__row", "c.*")
-    found = disclosures(near.select("value", "term", "window"), counts, **thresholds)
-    hits = near.join(found, ["value", "term"])
-    once = hits.groupBy("__row", "start", "end").agg(F.max("remove").alias("remove"))
-    return once.groupBy("__row").agg(
-        F.collect_list(F.struct("start", "end", "remove")).alias("__terms")  # at most the row's own windows
-    )
-
-
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, **thresholds) -> DataFrame:
+def _flagged(scanned: DataFrame, counts: DataFrame, total: int, thresholds: dict) -> DataFrame:
+    """(__row, __terms): per row its disclosing terms, each with whether it is removed."""
+    support = thresholds.get("support", SUPPORT)
+    some = scanned.filter(F.size("__values") > 0)
+    owned = some.select("__row", "__copy", F.explode("__values").alias("value"))
+    values = owned.groupBy("value", "__copy").count().groupBy("value").agg(F.count("*").alias("n_value"))
+    values = stored(values.filter(F.col("n_value") >= support), "values")
+    # Rows by their supported values; copies of a row are one.
+    mine = owned.distinct().join(values, "value").groupBy("__row").agg(F.collect_set("value").alias("__held"))
+    terms = some.select("__row", "__copy", F.array_distinct("__words.term").alias("__terms")).dropDuplicates(["__row"])
+    held = stored(terms.join(mine, "__row"), "held")
+    found = stored(disclosures(held, values, counts, total, **thresholds), "disclosing")
+    near = held.select("__row", "__terms", F.explode("__held").alias("value")).select("__row", "value", F.explode("__terms").alias("term"))
+    once = near.join(found, ["value", "term"]).groupBy("__row", "term").agg(F.max("remove").alias("remove"))
+    return once.groupBy("__row").agg(F.collect_list(F.struct("term", "remove")).alias("__terms"))  # at most the row's own terms
+
+
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """``key``, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_term per row."""
-    scanned = stored(_scan(_with_row(docs, key, text), text, window, [key]), "spans")
-    counts = stored(term_counts(docs, text), "terms")
-    flagged = _flagged(scanned, counts, thresholds)
+    scanned = stored(_scan(_with_row(docs, key, text), text, [key]), "spans")
+    total = scanned.select("__copy").distinct().count()
+    flagged = _flagged(scanned, stored(term_counts(docs, text), "terms"), total, thresholds)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
             base = [[(s["start"], s["kind"], s["end"]) for s in r["__spans"]] for r in rows]
-            terms = [[(t["start"], 4, t["end"]) for t in r["__terms"] or []] for r in rows]
+            flags = [{t["term"] for t in r["__terms"] or []} for r in rows]
+            terms = [[(w["start"], 4, w["end"]) for w in r["__words"] if w["term"] in f] if f else [] for r, f in zip(rows, flags)]
             numbers = [pa.array([sum(k == n for _, k, _ in b) for b in base], pa.int64()) for n in range(4)]
             digests = [hashlib.sha256(joined(b).encode()).hexdigest() for b in base]
             yield pa.RecordBatch.from_arrays(
@@ -233,7 +247,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 names=[key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"],
             )
 
-    both = scanned.select(key, "__row", "__spans").join(flagged, "__row", "left").select(key, "__spans", "__terms")
+    both = scanned.select(key, "__row", "__spans", "__words").join(flagged, "__row", "left").select(key, "__spans", "__words", "__terms")
     return both.mapInArrow(
         run,
         f"`{key}` {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_term bigint",
@@ -255,7 +269,7 @@ def redact(text: str, base: list[Span], terms: list[tuple[int, int, bool]]) -> s
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, **thresholds) -> DataFrame:
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """``docs``, all columns, with sanitised texts; a null text stays null.
 
     Rows without a digit or an @ cannot hold a base span and are passed through;
@@ -264,17 +278,19 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     columns, schema = docs.columns, docs.schema
     held = _with_row(docs.filter(F.col(text).rlike("[0-9@]")), key, text)
     passed = docs.filter(F.coalesce(~F.col(text).rlike("[0-9@]"), F.lit(True)))
-    scanned = stored(_scan(held, text, window, [key]), "spans")
-    flagged = _flagged(scanned, stored(term_counts(docs, text), "terms"), thresholds)
+    scanned = stored(_scan(held, text, [key]), "spans")
+    total = docs.select(F.md5(F.coalesce(F.col(text), F.lit("")))).distinct().count()
+    flagged = _flagged(scanned, stored(term_counts(docs, text), "terms"), total, thresholds)
     at = columns.index(text)
 
     def run(batches):
         for part, texts in text_slices(batches, text):
             terms = part.column(len(columns)).to_pylist()
-            done = [
-                redact(v, base_spans(v), [(t["start"], t["end"], t["remove"]) for t in ts or []])
-                for v, ts in zip(texts.to_pylist(), terms)
-            ]
+            done = []
+            for value, flags in zip(texts.to_pylist(), terms):
+                spans, gone = base_spans(value), {t["term"]: t["remove"] for t in flags or []}
+                words = text_terms(value, spans) if gone else []
+                done.append(redact(value, spans, [(s, e, gone[t]) for t, s, e in words if t in gone]))
             arrays = [part.column(i) for i in range(len(columns))]
             arrays[at] = pa.array(done, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)

@@ -87,6 +87,38 @@ def test_copies_of_one_window_are_no_support(spark):
     assert {r.n_term for r in pii.detect(frame).collect()} == {0}
 
 
+FILLER = "so it was that they went on and on about this and that"
+
+
+def far_away(spark):
+    """A term seven and more words from its value; one passage copied into different texts."""
+    rows = [(i, f"zorblat {FILLER} n{i} mail jane.doe@example.org {FILLER} zorblat n{i}") for i in range(6)]
+    rows += [(50 + i, f"u{i} quixley lives at bob@example.net by the sea v{i}") for i in range(6)]
+    rows += [(100 + i, f"{FILLER} o{i} by the sea mail lives at") for i in range(30)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_a_term_far_from_the_value_is_marked_at_all_its_places(spark):
+    texts = {r.doc_id: r.text for r in far_away(spark).collect()}
+    marked = {}
+    for r in pii.detect(far_away(spark)).collect():
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        marked[r.doc_id] = [texts[r.doc_id][int(a) : int(b)] for kind, a, b in spans if kind == "term"]
+    clean = {r.doc_id: r.text for r in pii.sanitise(far_away(spark)).collect()}
+    for i in range(6):
+        assert marked[i] == ["zorblat", "zorblat"] and "zorblat" not in clean[i] and FILLER in clean[i]
+        # The window of six words is the same in each of these texts.
+        assert "quixley" in marked[50 + i] and "quixley" not in clean[50 + i]
+    assert all(not marked[100 + i] and clean[100 + i] == texts[100 + i] for i in range(30))
+
+
+def test_copies_of_a_text_are_one_in_all_counts(spark):
+    once = far_away(spark)
+    copied = once.unionAll(once.filter("doc_id < 3")).unionAll(once.filter("doc_id = 100").withColumn("doc_id", once.doc_id + 900))
+    told = lambda docs: {(r.doc_id, r.spans) for r in pii.detect(docs).collect() if r.doc_id < 900}
+    assert told(copied) == told(once)
+
+
 def test_sanitised_texts(spark):
     got = {r.doc_id: r.text for r in pii.sanitise(told(spark)).collect()}
     assert len(got) == 17
