@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwork.llm import bestfit, decontaminate, fingerprints, langid, maxent, pii, simhash, tokenfiles, toxicity, urlfilter
+from loomwork.llm import bestfit, collocations, decontaminate, fingerprints, langid, maxent, pii, simhash, tokenfiles, toxicity, urlfilter
 from loomwork.llm.tokenids import TokenizerFile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,40 @@ def op6(spark, sf_dir):
 @query("op8_maxent_lm")
 def op8(spark, sf_dir):
     return maxent.score(table(spark, sf_dir, "documents"))
+
+
+_PHRASE_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists), (VALUES (1), (2), (3), (4)) AS o(k)
+  WHERE i + k - 1 <= len(ws)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, p.f AS l, s.f AS r, (2000000::HUGEINT * c.a) // (p.f + s.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+  JOIN counts p ON p.lang = c.lang AND p.phrase = array_to_string(c.ws[1:j], ' ')
+  JOIN counts s ON s.lang = c.lang AND s.phrase = array_to_string(c.ws[j + 1:c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS outer_f
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM cand, (VALUES (2), (3)) AS o(m) WHERE m < k)
+  GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS rank,
+  b.phrase, b.a, l, r, t.n, score::BIGINT AS score
+FROM best b JOIN totals t ON t.lang = b.lang LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE i.outer_f IS NULL OR 100 * i.outer_f < 80 * b.a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", _PHRASE_SQL)
+def op13(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
