@@ -22,17 +22,17 @@ the cut windows, and joins on the frequent phrases.
 
 Null or empty texts have no words; a null language is ``und``; repeated rows count as
 often as they stand; an empty table gives no rows. Other columns are not carried, so
-their names cannot clash. A task's memory follows a slice of 8 MB, or the longest text.
+their names cannot clash. A task's memory follows a slice of 6 MB, or the longest text.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomwork.llm.arrowtext import text_slices
@@ -54,6 +54,10 @@ CODED_BYTES = 48
 _FIRST_CODE = 0x0800
 # Written before a word that looks like a code; no word holds a line end.
 _LITERAL = "\n"
+# Between the windows of one pair, and before a window's count; no word holds either.
+_NEXT, _TIMES = "\r", "\x0b"
+#: Bytes of text that a task sorts at a time.
+SLICE = 6 << 20
 # Byte classes: part of a word, blank, end of a piece.
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[0x20, 0x09]] = 1
@@ -86,17 +90,12 @@ def split_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def _lead(codes: np.ndarray, piece: np.ndarray, by: int) -> np.ndarray:
     """The code ``by`` words later in the same piece, or -1."""
-    out = np.full(len(codes), -1, dtype=np.int64)
+    out = np.full(len(codes), -1, dtype=codes.dtype)
     if len(codes) > by:
         out[:-by] = np.where(piece[by:] == piece[:-by], codes[by:], -1)
     return out
 
 
-def _hash(word: str) -> int:
-    raw = word.encode()
-    return zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x9E3779B9)
-
-
 def _mixed(*parts: np.ndarray) -> np.ndarray:
     out = np.zeros(len(parts[0]), dtype=np.uint64)
     for p in parts:
@@ -105,78 +104,100 @@ def _mixed(*parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _window_blocks(common: dict[str, str], hot: set[tuple[str, str, str]], buckets: int):
-    """A function for ``mapInArrow`` from (lang, __text) to blocks of counted windows."""
+def _hashes(words: list[str]) -> np.ndarray:
+    """A hash of each word, and after them that of "no word", which index -1 finds."""
+    return np.array([xxhash.xxh64_intdigest(w) for w in words] + [0], dtype=np.uint64)
+
+
+def _written(words: pa.Array, common: pa.Array, codes: pa.Array) -> pa.Array:
+    """Each word as its code, or as it is; one that looks like a code is marked."""
+    at = pc.index_in(words, common)
+    out = pc.if_else(pc.is_valid(at), codes.take(at), words)
+    single = pc.and_(pc.equal(pc.utf8_length(words), 1), pc.is_null(at))
+    return pc.if_else(single, pc.binary_join_element_wise(pa.scalar(_LITERAL, words.type), words, pa.scalar("", words.type)), out)
 
-    def written(word: str) -> str:
-        code = common.get(word)
-        if code is not None:
-            return code
-        looks_like_code = len(word) == 1 and _FIRST_CODE <= ord(word) < _FIRST_CODE + CODES
-        return _LITERAL + word if looks_like_code else word
+
+def _window_blocks(common: list[str], hot: set[tuple[str, str, str]], buckets: int):
+    """A function for ``mapInArrow`` from (lang, __text) to blocks of counted windows.
+
+    A block holds pairs of words, how often each stands, and per pair the two words
+    after it: one entry for each kind, a count following where it is not one.
+    """
 
     def run(batches):
-        hot_words = sorted({w for _, *pair in hot for w in pair})
-        for part, texts in text_slices(batches, "__text"):
+        shared = pa.array(common, pa.large_string())
+        codes = pa.array([chr(_FIRST_CODE + i) for i in range(len(common))], pa.large_string())
+        hot_words = pa.array(sorted({w for _, *pair in hot for w in pair}), pa.large_string())
+        place = {w: i for i, w in enumerate(hot_words.to_pylist())}
+        for part, texts in text_slices(batches, "__text", SLICE):
             words, piece, text = split_pieces(texts)
             if not len(words):
                 continue
             coded = words.dictionary_encode()
-            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            names = coded.dictionary.to_pylist()
+            words = coded.dictionary
+            code = coded.indices.to_numpy(zero_copy_only=False)
             langs = part.column(0).dictionary_encode()
-            lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
+            lang = langs.indices.to_numpy(zero_copy_only=False)[text]
             lang_names = langs.dictionary.to_pylist()
-
-            size = len(names) + 1
+            size = len(words) + 1
             w = [code, *(_lead(code, piece, k) for k in (1, 2, 3))]
-            pair, rest = (lang * size + w[0]) * size + w[1] + 1, (w[2] + 1) * size + w[3] + 1
-            # One entry more: the hash of "no word", found at -1.
-            hashes = np.array([_hash(n) for n in names] + [0], dtype=np.uint64)
-            lang_hash = np.array([_hash(n) for n in lang_names], dtype=np.uint64)[lang]
-            bucket = _mixed(lang_hash, hashes[w[0]], hashes[w[1]])
+            del piece, text, coded
+            pair = (lang.astype(np.int64) * size + w[0]) * size + w[1] + 1
+            rest = (w[2].astype(np.int64) + 1) * size + w[3] + 1
+            hashes = _hashes(words.to_pylist())
+            bucket = _mixed(_hashes(lang_names)[lang], hashes[w[0]], hashes[w[1]])
             is_hot = np.zeros(len(code), dtype=bool)
             if hot:
-                at = dict(zip(hot_words, pc.index_in(pa.array(hot_words, words.type), coded.dictionary).to_pylist()))
+                at = pc.index_in(hot_words, words).to_pylist()
                 lang_at = {n: i for i, n in enumerate(lang_names)}
-                keys = [
-                    (lang_at[l] * size + at[a]) * size + at[b] + 1
-                    for l, a, b in hot
-                    if l in lang_at and at[a] is not None and at[b] is not None
-                ]
-                is_hot = np.isin(pair, keys)
+                found = [(lang_at.get(n), at[place[a]], at[place[b]]) for n, a, b in hot]
+                is_hot = np.isin(pair, [(n * size + a) * size + b + 1 for n, a, b in found if None not in (n, a, b)])
                 bucket = np.where(is_hot, _mixed(bucket, hashes[w[2]], hashes[w[3]]), bucket)
-            bucket = (bucket % np.uint64(buckets)).astype(np.int64)
+            bucket = (bucket % np.uint64(buckets)).astype(np.int32)
 
             order = np.lexsort((rest, pair, bucket))
-            b, p, r = bucket[order], pair[order], rest[order]
-            new = np.concatenate([[True], (p[1:] != p[:-1]) | (r[1:] != r[:-1])])
+            p, r = pair[order], rest[order]
+            new_pair = np.concatenate([[True], p[1:] != p[:-1]])
+            new = new_pair | np.concatenate([[True], r[1:] != r[:-1]])
             at = np.flatnonzero(new)
-            counts = np.diff(np.append(at, len(order)))
-            kept = order[at]
-            spelled = pa.array([written(n) for n in names], pa.string())
-            columns = [spelled.take(pa.array(np.where(c[kept] < 0, 0, c[kept]), mask=c[kept] < 0)) for c in w]
-            joined = pc.binary_join_element_wise(*columns, " ", null_handling="skip")
-            # A block is a run of windows of one bucket, language and kind.
-            block_key = (bucket[kept] * len(lang_names) + lang[kept]) * 2 + is_hot[kept]
-            cuts = np.flatnonzero(np.concatenate([[True], block_key[1:] != block_key[:-1]]))
-            offsets = pa.array(np.append(cuts, len(kept)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[kept][cuts], pa.int32()),
-                    langs.dictionary.take(pa.array(lang[kept][cuts])),
-                    pa.array(is_hot[kept][cuts]),
-                    pa.ListArray.from_arrays(offsets, joined),
-                    pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())),
-                ],
-                names=["bucket", "lang", "hot", "windows", "counts"],
-            )
+            kept, counts = order[at], np.diff(np.append(at, len(order)))
+            pair_at = np.flatnonzero(new_pair[at])
+            del p, r, new, new_pair, order, pair, rest
+            spelled = _written(words, shared, codes).cast(pa.string())
+
+            def column(k, rows):
+                c = w[k][rows]
+                return spelled.take(pa.array(np.maximum(c, 0), mask=c < 0))
+
+            def two(a, b):  # the second word is null where the first is
+                return pc.if_else(pc.is_null(b), pc.fill_null(a, ""), pc.binary_join_element_wise(a, b, " "))
+
+            tail = two(column(2, kept), column(3, kept))
+            times = pa.array(counts)
+            tail = pc.if_else(pc.equal(times, 1), tail, pc.binary_join_element_wise(tail, times.cast(pa.string()), _TIMES))
+            ends = pa.array(np.append(pair_at, len(kept)), pa.int32())
+            tails = pc.binary_join(pa.ListArray.from_arrays(ends, tail), _NEXT)
+            first = kept[pair_at]
+            heads = two(column(0, first), column(1, first))
+            n = pa.array(np.add.reduceat(counts, pair_at))
+            # A block is a run of pairs of one bucket, language and kind.
+            key = (bucket[first].astype(np.int64) * len(lang_names) + lang[first]) * 2 + is_hot[first]
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = pa.array(np.append(cuts, len(first)), pa.int32())
+            first = first[cuts]
+            columns = [
+                pa.array(bucket[first]),
+                langs.dictionary.take(pa.array(lang[first])),
+                pa.array(is_hot[first]),
+                *(pa.ListArray.from_arrays(ends, c) for c in (heads, n, tails)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "lang", "hot", "pair", "n", "tails"])
 
     return run
 
 
-def _seen_in_sample(docs: DataFrame, share: float, buckets: int) -> tuple[dict[str, str], set[tuple[str, str, str]]]:
-    """(code of each common word, hot pairs with their language) in about ``SAMPLE_ROWS`` texts.
+def _seen_in_sample(docs: DataFrame, share: float, buckets: int) -> tuple[list[str], set[tuple[str, str, str]]]:
+    """(common words, most common first, hot pairs with their language) in about ``SAMPLE_ROWS`` texts.
 
     A hot pair holds over a quarter of a bucket's even share, so there are at most four per bucket.
     """
@@ -207,7 +228,7 @@ def _seen_in_sample(docs: DataFrame, share: float, buckets: int) -> tuple[dict[s
     total = found.filter("a IS NULL").agg(F.sum("n")).first()[0] or 0
     common = found.filter("a IS NOT NULL AND b IS NULL").orderBy(F.desc("n"), "a").limit(CODES).select("a").collect()
     pairs = found.filter((F.col("b").isNotNull()) & (F.col("n") >= MIN_COUNT) & (F.col("n") * 4 * buckets >= total)).collect()
-    return {r["a"]: chr(_FIRST_CODE + i) for i, r in enumerate(common)}, {(r["lang"], r["a"], r["b"]) for r in pairs}
+    return [r["a"] for r in common], {(r["lang"], r["a"], r["b"]) for r in pairs}
 
 
 _SAMPLE = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
@@ -225,25 +246,33 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_c
     common, hot = _seen_in_sample(narrow, min(1.0, SAMPLE_ROWS / max(rows, 1)), buckets)
 
     blocks = narrow.mapInArrow(
-        _window_blocks(common, hot, buckets), "bucket int, lang string, hot boolean, windows array<string>, counts array<int>"
+        _window_blocks(common, hot, buckets),
+        "bucket int, lang string, hot boolean, pair array<string>, n array<bigint>, tails array<string>",
     )
-    moved = blocks.repartitionById(buckets, F.col("bucket")).select("bucket", "lang", "hot", F.explode(F.arrays_zip("windows", "counts")).alias("w"))
-    word = F.split("w.windows", " ")
+    # Pairs first: only those of a frequent pair are windows of more than two words.
+    moved = blocks.repartitionById(buckets, F.col("bucket")).select("bucket", "lang", "hot", F.explode(F.arrays_zip("pair", "n", "tails")).alias("p"))
     key = ["pair", "lang", "bucket"]
-    local = moved.select(
-        "bucket", "lang", "hot", F.col("w.counts").cast("long").alias("c"),
-        F.substring_index("w.windows", " ", 2).alias("pair"), F.get(word, F.lit(2)).alias("w3"), F.get(word, F.lit(3)).alias("w4"),
-    ).sortWithinPartitions(*key, "w3", "w4")
-    # One sort serves all three windows, and the buckets' partitions serve them and the grouping.
-    n = {k: F.sum("c").over(Window.partitionBy(*key, *more)) for k, more in ((2, ()), (3, ("w3",)), (4, ("w3", "w4")))}
-    counted = local.select("*", *[v.alias(f"n{k}") for k, v in n.items()])
+    pairs = moved.select("bucket", "lang", "hot", "p.*").withColumn("n2", F.sum("n").over(Window.partitionBy(*key)))
+    pairs = pairs.withColumn("keep2", F.col("hot") | (F.col("n2") >= min_count))
+    window = F.when(F.col("keep2"), F.split("tails", _NEXT)).otherwise(F.array(F.lit(None).cast("string")))
+    rows = pairs.select("bucket", "lang", "hot", "pair", "n", "keep2", F.explode(window).alias("window"))
+    parts = F.split("window", _TIMES)
+    rest = F.split(F.get(parts, F.lit(0)), " ")
+    local = rows.select(
+        "bucket", "lang", "hot", "keep2",
+        F.when(F.col("keep2"), F.col("pair")).otherwise(F.substring_index("pair", " ", 1)).alias("pair"),
+        F.nullif(F.get(rest, F.lit(0)), F.lit("")).alias("w3"), F.get(rest, F.lit(1)).alias("w4"),
+        F.when(F.col("keep2"), F.coalesce(F.get(parts, F.lit(1)).cast("bigint"), F.lit(1))).otherwise(F.col("n")).alias("c"),
+    )
+    local = local.groupBy("bucket", "lang", "hot", "keep2", "pair", "w3", "w4").agg(F.sum("c").alias("c"))
+    counted = local.withColumn("n3", F.sum("c").over(Window.partitionBy(*key, "keep2", "w3")))
     cut = counted.select(
-        "bucket", "lang", "c",
-        F.when(F.col("hot") | (F.col("n2") >= min_count), F.col("pair")).otherwise(F.substring_index("pair", " ", 1)).alias("head"),
+        "lang", "c", F.col("pair").alias("head"),
         F.when(F.col("hot") | (F.col("n3") >= min_count), F.col("w3")).alias("w3"),
-        F.when(F.col("n4") >= min_count, F.col("w4")).alias("w4"),
+        F.when(F.col("c") >= min_count, F.col("w4")).alias("w4"),
     )
-    cut = cut.groupBy("bucket", "lang", "head", "w3", "w4").agg(F.sum("c").alias("c"))
+    # Summed over the buckets before ROLLUP makes five rows of each.
+    cut = cut.groupBy("lang", "head", "w3", "w4").agg(F.sum("c").alias("c"))
     head = F.split("head", " ")
     cut = cut.select("lang", F.get(head, F.lit(0)).alias("w1"), F.get(head, F.lit(1)).alias("w2"), "w3", "w4", "c")
     rolled = spark.sql(
@@ -254,7 +283,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_c
     words = sum((F.when(F.col("g").bitwiseAND(8 >> k) == 0, 1).otherwise(0) for k in range(4)), F.lit(0))
     present = sum((F.col(f"w{k + 1}").isNotNull().cast("int") for k in range(4)), F.lit(0))
     kept = rolled.withColumn("words", words).filter((F.col("words") == present) & ((F.col("words") == 0) | (F.col("f") >= min_count)))
-    spelled = {c: w for w, c in common.items()}
+    spelled = {chr(_FIRST_CODE + i): w for i, w in enumerate(common)}
 
     def spell(batches):
         for batch in batches:
