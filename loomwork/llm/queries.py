@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwork.llm import bestfit, collocations, decontaminate, fingerprints, langid, maxent, pii, simhash, tokenfiles, toxicity, urlfilter
+from loomwork.llm import bestfit, collocations, decontaminate, fingerprints, langid, maxent, mixpack, pii, simhash, tokenfiles, toxicity, urlfilter
 from loomwork.llm.tokenids import TokenizerFile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,12 @@ QUALIFY rank <= 2000
 @query("op13_collocations", _PHRASE_SQL)
 def op13(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def byte_tokenizer() -> TokenizerFile:
+    return TokenizerFile(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_mixture_packing")
+def op11(spark, sf_dir):
+    return mixpack.pack(table(spark, sf_dir, "documents"), byte_tokenizer())
