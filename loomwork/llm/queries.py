@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwork.llm import bestfit, collocations, decontaminate, fingerprints, langid, maxent, mixpack, pii, simhash, tokenfiles, toxicity, urlfilter
+from loomwork.llm import bestfit, collocations, decontaminate, fingerprints, langid, maxent, mixpack, pii, prefixtrie, simhash, tokenfiles, toxicity, urlfilter
 from loomwork.llm.tokenids import TokenizerFile
+from loomwork.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +158,54 @@ def byte_tokenizer() -> TokenizerFile:
 @query("op11_mixture_packing")
 def op11(spark, sf_dir):
     return mixpack.pack(table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
+# Beginnings shared across conversations: five in a row take their first turns from one.
+_TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT c, c - c % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+        lambda k, b: list_reduce(list_prepend(xor(k, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+          lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+seq AS (
+  SELECT ids.c, t.i AS o, m, x FROM ids JOIN t ON t.c = ids.base AND t.i < h
+  UNION ALL SELECT ids.c, 9 + t.i, m, x FROM ids JOIN t ON t.c = ids.c AND t.i >= h),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY o) AS d, m, strlen(x) AS b FROM seq),
+paths AS (
+  SELECT c, d, b, string_agg(m, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS p FROM placed
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+nodes AS (SELECT d, p, any_value(b) AS b, min(c) AS c, count(*) AS n FROM paths GROUP BY d, p),
+kids AS (SELECT left(p, (32 * (d - 1))::BIGINT) AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+under AS (
+  SELECT left(u.p, (32 * a)::BIGINT) AS p, sum((n - 1) * b)::BIGINT AS saved, count(*) FILTER (WHERE k IS NULL) AS leaves
+  FROM (SELECT nodes.*, k, unnest(range(0, d + 1)) AS a FROM nodes LEFT JOIN kids ON kids.p = nodes.p) u GROUP BY 1),
+ends AS (
+  SELECT p, string_agg(c::VARCHAR, ',' ORDER BY c) AS e
+  FROM (SELECT * FROM paths QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC) = 1) GROUP BY p)
+SELECT n.c AS conv_id, n.d AS depth, q.c AS parent_conv_id, n.n AS n_convs, coalesce(k, 0) AS n_children,
+  leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM nodes n JOIN under u ON u.p = n.p LEFT JOIN kids ON kids.p = n.p LEFT JOIN ends ON ends.p = n.p
+LEFT JOIN nodes q ON n.d > 0 AND q.p = left(n.p, (32 * (n.d - 1))::BIGINT)
+"""
+
+
+def spliced(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turn keys of the rebuilt conversations, all conversation ids)."""
+    keys = stored(prefixtrie.numbered(prefixtrie.turn_keys(turns)), "turns")
+    taken = F.pmod(F.crc32(F.col("conv").cast("string")), F.lit(9))
+    ids = keys.select("conv").distinct().withColumn("h", taken).withColumn("base", F.col("conv") - F.pmod("conv", F.lit(5)))
+    heads = keys.filter("i < 8").select(F.col("conv").alias("base"), "i", "content", "bytes").join(ids, "base").filter("i < h")
+    own = keys.withColumn("h", taken).filter("i >= h").select("conv", (F.col("i") + 9).alias("turn"), "content", "bytes")
+    return heads.select("conv", F.col("i").alias("turn"), "content", "bytes").unionByName(own), ids.select("conv")
+
+
+@query("op12_prefix_trie", _TRIE_SQL)
+def op12(spark, sf_dir):
+    return prefixtrie.prefix_trie(*spliced(table(spark, sf_dir, "conversations")))
