@@ -9,10 +9,12 @@ vocabulary size.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -24,25 +26,35 @@ _KEPT_PIECES = 500_000
 
 
 def merge_piece(piece: bytes, ranks: dict[tuple[int, int], int]) -> list[int]:
-    """Ids of one piece: the earliest merge that applies, everywhere, until none does."""
-    ids = list(piece)
-    while len(ids) > 1:
-        token, pair = min((ranks.get(p, _NONE), p) for p in zip(ids, ids[1:]))
-        if token == _NONE:
-            break
-        merged, i = [], 0
-        while i < len(ids):
-            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                merged.append(token)
-                i += 2
-            else:
-                merged.append(ids[i])
-                i += 1
-        ids = merged
-    return ids
-
-
-_NONE = 1 << 62
+    """Ids of one piece: the earliest merge that applies, everywhere, until none does.
+
+    Symbols are a linked list and the pairs that can merge wait in a heap by (merge,
+    place). A merge looks at its two neighbours only, so a piece of n bytes takes
+    n log n steps. A new pair holds the new id and so comes later than its merge; equal
+    pairs leave from left to right, as overlapping ones must.
+    """
+    ids: list[int | None] = list(piece)
+    waiting = [(token, i) for i, pair in enumerate(zip(ids, ids[1:])) if (token := ranks.get(pair)) is not None]
+    if not waiting:
+        return ids
+    heapq.heapify(waiting)
+    end = len(ids)
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+    while waiting:
+        token, i = heapq.heappop(waiting)
+        j = after[i]
+        # Either symbol may have gone into another merge since.
+        if ids[i] is None or j == end or ranks.get((ids[i], ids[j])) != token:
+            continue
+        ids[i], ids[j] = token, None
+        after[i] = k = after[j]
+        if k < end:
+            before[k] = i
+            if (later := ranks.get((token, ids[k]))) is not None:
+                heapq.heappush(waiting, (later, i))
+        if (h := before[i]) >= 0 and (later := ranks.get((ids[h], token))) is not None:
+            heapq.heappush(waiting, (later, h))
+    return [t for t in ids if t is not None]
 
 
 def encoder_function(
@@ -90,12 +102,21 @@ def decoder_function(spark: SparkSession, vocabulary: Vocabulary):
 
     @F.arrow_udf(T.StringType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = pa.array(shared.value, pa.large_binary())
         for rows in batches:
-            texts = [
-                None if ids is None else b"".join([shared.value[i] for i in ids]).decode("utf-8", "replace")
-                for ids in rows.to_pylist()
-            ]
-            yield pa.array(texts, pa.string())
+            # The bytes of all tokens one after the other; a row's text is a stretch of them.
+            taken = table.take(rows.flatten())
+            valid = rows.is_valid().to_numpy(zero_copy_only=False)
+            sizes = np.where(valid, rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+            places = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1]
+            ends = places[np.concatenate([[0], np.cumsum(sizes)])] if len(taken) else np.zeros(len(rows) + 1, np.int64)
+            data = taken.buffers()[2] or pa.py_buffer(b"")
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), data])
+            try:
+                texts = raw.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:
+                texts = pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
+            yield pc.if_else(pa.array(valid), texts, pa.scalar(None, pa.string()))
 
     return decode
 

@@ -119,8 +119,8 @@ def encode_roundtrip(spark, sf_dir):
     )
 
 
-def _encoding_sql(merges: int) -> str:
-    """The trained merges as a chain of replacements over each distinct piece, begin and end ids around."""
+def encoding_ctes(merges: int) -> list[str]:
+    """CTEs up to ``j`` (doc_id, ids): the trained merges as a chain of replacements over each distinct piece."""
     bytes_of = """array_to_string(list_transform(range(0, octet_length(encode(piece))),
                   lambda i: chr(('0x' || substr(hex(encode(piece)), (2 * i + 1)::INT, 2))::INT)), '')"""
     steps = [f"e0 AS MATERIALIZED (SELECT piece, {bytes_of} AS s FROM p)"]
@@ -128,12 +128,19 @@ def _encoding_sql(merges: int) -> str:
         f"e{i + 1} AS MATERIALIZED (SELECT piece, replace(s, (SELECT pair FROM t{i}), chr({256 + i})) AS s FROM e{i})"
         for i in range(merges)
     ]
+    return [
+        *_training_ctes(merges),
+        *steps,
+        f"ids AS (SELECT piece, array_to_string(list_transform(string_split(s, ''), lambda c: unicode(c)), ',') AS ids FROM e{merges})",
+        f"cut AS (SELECT doc_id, {pieces('text')} AS parts FROM documents)",
+        "d AS (SELECT doc_id, unnest(parts) AS piece, unnest(range(0, len(parts))) AS i FROM cut)",
+        "j AS (SELECT doc_id, string_agg(ids, ',' ORDER BY i) AS ids FROM d JOIN ids USING (piece) GROUP BY doc_id)",
+    ]
+
+
+def _encoding_sql(merges: int) -> str:
     return f"""
-    WITH {", ".join(_training_ctes(merges) + steps)},
-    ids AS (SELECT piece, array_to_string(list_transform(string_split(s, ''), lambda c: unicode(c)), ',') AS ids FROM e{merges}),
-    cut AS (SELECT doc_id, {pieces('text')} AS parts FROM documents),
-    d AS (SELECT doc_id, unnest(parts) AS piece, unnest(range(0, len(parts))) AS i FROM cut),
-    j AS (SELECT doc_id, string_agg(ids, ',' ORDER BY i) AS ids FROM d JOIN ids USING (piece) GROUP BY doc_id)
+    WITH {", ".join(encoding_ctes(merges))}
     SELECT doc_id, md5({256 + merges} || coalesce(',' || ids, '') || ',' || {256 + merges + 8}) AS ids_md5
     FROM documents LEFT JOIN j USING (doc_id)
     """

@@ -114,3 +114,45 @@ def test_lone_byte_measured_as_replacement(spark):
 def test_vocab_too_small(spark):
     with pytest.raises(ValueError):
         bpe.train(spark.createDataFrame([("a",)], "text string"), 200)
+
+
+def test_long_pieces_merge_like_short_ones():
+    """The heap gives what scanning for the earliest merge gives; a million letters take seconds."""
+    import random
+
+    from loomwork.operators.encode import merge_piece
+
+    def scanned(piece, ranks):
+        ids = list(piece)
+        while known := [(ranks[p], p) for p in zip(ids, ids[1:]) if p in ranks]:
+            token, pair = min(known)
+            out, i = [], 0
+            while i < len(ids):
+                hit = tuple(ids[i : i + 2]) == pair
+                out.append(token if hit else ids[i])
+                i += 1 + hit
+            ids = out
+        return ids
+
+    rng = random.Random(1)
+    for _ in range(400):
+        ranks, symbols = {}, list(b"abc")
+        for _ in range(rng.randrange(12)):
+            pair = rng.choice(symbols), rng.choice(symbols)
+            if pair not in ranks:
+                ranks[pair] = 256 + len(ranks)
+                symbols.append(ranks[pair])
+        piece = bytes(rng.choice(b"abc") for _ in range(rng.randrange(30)))
+        assert merge_piece(piece, ranks) == scanned(piece, ranks)
+    assert len(merge_piece(b"ab" * 500_000, {(97, 98): 256, (256, 256): 257})) == 250_000
+
+
+def test_decoding_odd_ids(spark):
+    """Null and empty lists, bytes that are no text, and specials."""
+    from loomwork.operators import encode
+
+    vocabulary = bpe.Vocabulary((bpe.Merge(104, 105, 256, 1),))
+    decode = encode.decoder_function(spark, vocabulary)
+    rows = [([256, 33],), (None,), ([],), ([0xC3, 0xA9],), ([0xFF, 97],), ([257, 256],)]
+    frame = spark.createDataFrame(rows, "ids array<int>").coalesce(1)
+    assert [r[0] for r in frame.select(decode("ids")).collect()] == ["hi!", None, "", "é", "�a", "<|bos|>hi"]

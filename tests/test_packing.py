@@ -152,3 +152,35 @@ def test_padding_keeps_real_lengths(spark):
     rows = spark.createDataFrame([(0, [1]), (0, [1, 2, 3]), (1, [4])], "g int, tokens array<int>")
     got = sorted((r["g"], r["n_real"], r["tokens"]) for r in chunking.pad_to_longest(rows, "g", 0).collect())
     assert got == [(0, 1, [1, 0, 0]), (0, 3, [1, 2, 3]), (1, 1, [4])]
+
+
+@pytest.mark.parametrize("crop", [True, False])
+def test_resuming_places_what_the_uninterrupted_plan_places(spark, crop):
+    """Three epochs, cut before every step of every group; also states saved while the buffer drains."""
+    rng = random.Random(7)
+    sizes = [(i, rng.randint(0, 90 if crop else 40)) for i in range(60)] + [(None, 5)]
+    frame = packing.with_pack_group(spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint"), 3)
+    columns = ["pack_group", "row_in_group", "pos", "doc_id", "epoch", "start_at", "take"]
+
+    def planned(state=None):
+        steps = packing.plan_steps(frame, 40, crop, 6, 2, epochs=3, state=state).cache()
+        return steps, sorted((tuple(r) for r in steps.filter("row_in_group IS NOT NULL").select(*columns).collect()), key=repr)
+
+    whole, placed = planned()
+    states = packing.saved_states(whole)
+    told = sorted(tuple(r) for r in states.select("pack_group", "step", "consumed").collect())
+    for group, step, consumed in told[::5]:
+        _, after = planned(states.filter(f"pack_group = {group} AND step = {step}"))
+        assert after == [p for p in placed if p[0] == group and p[1] >= 2 * step]
+        assert consumed == sum(p[0] == group and p[1] < 2 * step for p in placed)
+    assert {e for *_, e, _, _ in placed} == {0, 1, 2} and len(placed) == 3 * sum(n > 0 for _, n in sizes)
+
+
+def test_long_inputs_are_planned_as_they_come():
+    """A packer holds its buffer and nothing more, however much is fed."""
+    packer = packing.Packer(100, 50, crop=True)
+    placed = 0
+    for i in range(20_000):
+        placed += sum(1 for _ in packer.feed(i, 1 + i % 37))
+        assert packer.buffer.size < 50
+    assert placed + sum(1 for _ in packer.drain()) == 20_000
