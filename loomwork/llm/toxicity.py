@@ -10,11 +10,15 @@ estimate of it is below zero the step undoes the overfit instead. ``p`` is the s
 toxic rows among the labelled training rows.
 
 A few linear classifiers over the presence of hashed words and
-stems, those whose counts depart clearly, are trained in numpy on a
+stems, those whose counts depart clearly, are trained in numpy with the sigmoid loss
+(a bounded one: texts already clear of the margin neither pull nor undo) on a
 bounded sample: at most ``max_positive`` confirmed and ``max_unlabelled`` other texts,
 and fewer where texts are long, so that the sample holds about ``max_chars`` characters.
-The sample follows a hash of the id. Scores are the mean probability of the members;
-every text is scored whole, in slices, with weights of fixed size.
+The sample follows a hash of the id and takes one row per id. Scores are the mean
+probability of the members, moved so that 0.5 is the lowest cut at which the estimated
+share of clean texts above it, again all less ``p`` times toxic, is at most
+``FALSE_ALARMS``; the estimate is made on the sample. Every text is scored whole, in
+slices, with weights of fixed size.
 
 Defined cases: a null or empty text has no words and scores by the members' intercepts.
 Without any confirmed example all scores are zero. A null key counts as the empty text
@@ -38,7 +42,10 @@ BITS = 18
 MEMBERS = 3
 STEMS = (4, 6)
 #: Least departure, in standard deviations, of a feature's count in toxic texts from that in all.
-MIN_DEPARTURE = 5.0
+MIN_DEPARTURE = 4.0
+EPOCHS = 60
+#: Share of clean texts that may lie above the cut, as estimated from unlabelled and toxic ones.
+FALSE_ALARMS = 0.01
 
 
 def fold(key: str, of: int) -> Column:
@@ -64,10 +71,14 @@ def _features(texts: pa.Array) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """One row of ``weights`` and one intercept per member; ``None`` weights score zero."""
+    """One row of ``weights`` and one intercept per member; ``None`` weights score zero.
+
+    ``cut`` is the members' mean probability that becomes a score of 0.5.
+    """
 
     weights: np.ndarray | None
     intercepts: np.ndarray
+    cut: float = 0.5
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
@@ -85,7 +96,8 @@ class Model:
             owner, word = pair >> BITS, pair & ((1 << BITS) - 1)
             for m, weights in enumerate(self.weights):
                 total[m] += np.bincount(owner, weights=weights[word], minlength=len(texts))
-        return (1 / (1 + np.exp(-np.clip(total, -60, 60)))).mean(axis=0)
+        mean = (1 / (1 + np.exp(-np.clip(total, -60, 60)))).mean(axis=0)
+        return mean * (1 - self.cut) / (mean * (1 - self.cut) + self.cut * (1 - mean))
 
 
 class _Rows:
@@ -99,7 +111,7 @@ class _Rows:
         return self.index[ranges(self.starts[rows], self.sizes[rows])], np.repeat(np.arange(len(rows)), self.sizes[rows])
 
 
-def train_member(positive: _Rows, unlabelled: _Rows, width: int, prior: float, seed: int, epochs: int = 25) -> tuple[np.ndarray, float]:
+def train_member(positive: _Rows, unlabelled: _Rows, width: int, prior: float, seed: int, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(seed)
     weights = np.zeros(width + 1)
     weights[-1] = np.log(prior / (1 - prior))
@@ -121,10 +133,11 @@ def train_member(positive: _Rows, unlabelled: _Rows, width: int, prior: float, s
             some = rng.integers(0, n_p, min(n_p, 512))
             pi, po, pp = outputs(positive, some)
             ui, uo, up = outputs(unlabelled, chosen)
-            clean = -np.log1p(-np.minimum(up, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(pp, 1 - 1e-12)).mean()
-            # Slopes of the logistic loss: p - 1 for toxic, p for clean.
-            as_clean = gradient(ui, uo, up / len(up)) - gradient(pi, po, prior * pp / len(pp))
-            g = -as_clean if clean < 0 else as_clean + gradient(pi, po, prior * (pp - 1) / len(pp))
+            clean = up.mean() - prior * pp.mean()
+            # Slopes of the sigmoid loss: p (1 - p), up for clean and down for toxic.
+            toxic = gradient(pi, po, prior * pp * (1 - pp) / len(pp))
+            as_clean = gradient(ui, uo, up * (1 - up) / len(up)) - toxic
+            g = -as_clean if clean < 0 else as_clean - toxic
             g[:-1] += 2e-5 * weights[:-1]
             step += 1
             mean = 0.9 * mean + 0.1 * g
@@ -166,7 +179,8 @@ def train(
             rows = pa.array([f.astype(np.int32) for f in _features(texts)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column(0), rows], names=["p", "words"])
 
-    sample = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key).select("__p", "__text")
+    drawn = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key)
+    sample = drawn.groupBy(key, "__p").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text")).select("__p", "__text")
     found = sample.mapInArrow(run, "p boolean, words array<int>").toArrow()
     is_positive = found.column("p").to_numpy()
     lists = found.column("words").combine_chunks()
@@ -188,7 +202,25 @@ def train(
     weights, intercepts = np.zeros((MEMBERS, 1 << BITS), dtype=np.float32), np.zeros(MEMBERS)
     for m in range(MEMBERS):
         weights[m, useful], intercepts[m] = train_member(p_rows, u_rows, len(useful), prior, m)
-    return Model(weights, intercepts)
+    return Model(weights, intercepts, _cut(weights[:, useful], intercepts, p_rows, u_rows, prior))
+
+
+def _cut(weights: np.ndarray, intercepts: np.ndarray, positive: _Rows, unlabelled: _Rows, prior: float) -> float:
+    """The lowest probability, 0.5 at most, above which few enough clean texts are estimated to lie."""
+
+    def scores(rows: _Rows) -> np.ndarray:
+        owner = np.repeat(np.arange(len(rows.sizes)), rows.sizes)
+        f = np.array([np.bincount(owner, weights=w[rows.index], minlength=len(rows.sizes)) + b for w, b in zip(weights, intercepts)])
+        return (1 / (1 + np.exp(-np.clip(f, -60, 60)))).mean(axis=0)
+
+    toxic, every = scores(positive), scores(unlabelled)
+    cut = 0.5
+    for lower in np.arange(0.49, 0.04, -0.01):
+        clean = ((every >= lower).mean() - prior * (toxic >= lower).mean()) / (1 - prior)
+        if clean > FALSE_ALARMS:
+            break
+        cut = float(lower)
+    return cut
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", held_out: int = 5) -> DataFrame:

@@ -56,6 +56,21 @@ def test_toxicity_never_sees_held_out_labels(spark):
     assert np.array_equal(a.weights, b.weights) and np.array_equal(a.intercepts, b.intercepts)
 
 
+def test_toxicity_catches_held_out_rows_at_its_own_cut(spark):
+    """On the given tables, about seven of a hundred rows labelled toxic hold no toxic word at all."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.train(docs, labels)).filter("held_out").join(labels, "doc_id").collect()
+    toxic, clean = ([r.predicted for r in got if r.toxic == t] for t in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_toxicity_sample_takes_one_row_per_id(spark):
+    docs, labels = toxic_corpus(spark, 120)
+    hot = docs.unionAll(spark.range(500).selectExpr("6L AS doc_id", "'grumblor fox' || id AS text"))
+    assert toxicity.train(hot, labels).weights is not None
+
+
 def test_toxicity_on_odd_rows(spark):
     docs, labels = toxic_corpus(spark, 120)
     model = toxicity.train(docs, labels)
