@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwork.llm.arrowtext import text_slices
 from loomwork.llm.decontaminate import word_symbols
@@ -129,42 +129,41 @@ def text_terms(text: str, spans: list[Span]) -> list[tuple[int, int, int]]:
     return [(known[t], s, e) for (s, e, _), t in zip(free, terms) if t]
 
 
-_WORDS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+def _maybe(text: str) -> Column:
+    """Whether a text can hold a base span at all."""
+    return F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
 
 
-def _scan(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns, __row (hash of key and text), __copy (hash of the text), __spans, __values and __words.
+def _scan(marked: DataFrame, text: str) -> DataFrame:
+    """__row (hash of key and text), __copy (hash of the text), __values and __terms of rows that hold a value.
 
-    Words are listed only where the text holds a value.
+    Hashes only: places are found again in the text where a term is flagged.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
         for part, texts in text_slices(batches, "__text"):
-            maybe = pc.match_substring_regex(texts, "[0-9@]").to_pylist()
-            spans, values, words = [], [], []
-            for value, look in zip(texts.to_pylist(), maybe):
-                found = base_spans(value) if look else []
-                spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                values.append(value_hashes(value, found))
-                words.append([{"term": t, "start": s, "end": e} for t, s, e in text_terms(value, found)] if found else [])
-            kept = [part.column(i) for i in range(len(keep) + 2)]
+            rows, values, terms = [], [], []
+            for i, value in enumerate(texts.to_pylist()):
+                found = base_spans(value)
+                if found:
+                    rows.append(i)
+                    values.append(value_hashes(value, found))
+                    terms.append(list({t for t, _, _ in text_terms(value, found)}))
+            kept = [part.column(i).take(pa.array(rows, pa.int64())) for i in (0, 1)]
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(spans, _SPANS), pa.array(values, pa.list_(pa.int64())), pa.array(words, _WORDS)],
-                names=[*keep, "__row", "__copy", "__spans", "__values", "__words"],
+                [*kept, pa.array(values, lists), pa.array(terms, lists)], names=["__row", "__copy", "__values", "__terms"]
             )
 
-    schema = (
-        f"{fields}, __row string, __copy string, __spans array<struct<start: int, kind: int, end: int>>, "
-        "__values array<bigint>, __words array<struct<term: bigint, start: int, end: int>>"
-    )
     copy = F.md5(F.coalesce(F.col(text), F.lit(""))).alias("__copy")
-    return docs.select(*keep, "__row", copy, F.col(text).alias("__text")).mapInArrow(run, schema)
+    rows = marked.select("__row", copy, F.col(text).alias("__text"))
+    return rows.mapInArrow(run, "__row string, __copy string, __values array<bigint>, __terms array<bigint>")
 
 
 def _with_row(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("__row", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.coalesce(F.col(text), F.lit("")))))
+    """A null key is told from every other, so that no two different rows share a hash."""
+    name = F.when(F.col(key).isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), F.col(key).cast("string")))
+    return docs.withColumn("__row", F.md5(F.concat(name, F.lit("|"), F.coalesce(F.col(text), F.lit("")))))
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -207,14 +206,12 @@ def disclosures(held: DataFrame, values: DataFrame, counts: DataFrame, total: in
 def _flagged(scanned: DataFrame, counts: DataFrame, total: int, thresholds: dict) -> DataFrame:
     """(__row, __terms): per row its disclosing terms, each with whether it is removed."""
     support = thresholds.get("support", SUPPORT)
-    some = scanned.filter(F.size("__values") > 0)
-    owned = some.select("__row", "__copy", F.explode("__values").alias("value"))
+    owned = scanned.select("__row", "__copy", F.explode("__values").alias("value"))
     values = owned.groupBy("value", "__copy").count().groupBy("value").agg(F.count("*").alias("n_value"))
     values = stored(values.filter(F.col("n_value") >= support), "values")
     # Rows by their supported values; copies of a row are one.
     mine = owned.distinct().join(values, "value").groupBy("__row").agg(F.collect_set("value").alias("__held"))
-    terms = some.select("__row", "__copy", F.array_distinct("__words.term").alias("__terms")).dropDuplicates(["__row"])
-    held = stored(terms.join(mine, "__row"), "held")
+    held = stored(scanned.select("__row", "__copy", "__terms").dropDuplicates(["__row"]).join(mine, "__row"), "held")
     found = stored(disclosures(held, values, counts, total, **thresholds), "disclosing")
     near = held.select("__row", "__terms", F.explode("__held").alias("value")).select("__row", "value", F.explode("__terms").alias("term"))
     once = near.join(found, ["value", "term"]).groupBy("__row", "term").agg(F.max("remove").alias("remove"))
@@ -223,35 +220,38 @@ def _flagged(scanned: DataFrame, counts: DataFrame, total: int, thresholds: dict
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """``key``, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_term per row."""
-    scanned = stored(_scan(_with_row(docs, key, text), text, [key]), "spans")
-    total = scanned.select("__copy").distinct().count()
-    flagged = _flagged(scanned, stored(term_counts(docs, text), "terms"), total, thresholds)
+    marked = _with_row(docs.filter(_maybe(text)), key, text)
+    flagged = _flagged(stored(_scan(marked, text), "spans"), stored(term_counts(docs, text), "terms"), _texts(docs, text), thresholds)
     kind = docs.schema[key].dataType.simpleString()
+    names = ["n_email", "n_ip", "n_card", "n_phone"]
 
     def run(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            base = [[(s["start"], s["kind"], s["end"]) for s in r["__spans"]] for r in rows]
-            flags = [{t["term"] for t in r["__terms"] or []} for r in rows]
-            terms = [[(w["start"], 4, w["end"]) for w in r["__words"] if w["term"] in f] if f else [] for r, f in zip(rows, flags)]
+        for part, texts in text_slices(batches, "__text"):
+            found = texts.to_pylist()
+            flags = [set(f or []) for f in part.column(2).to_pylist()]
+            base = [base_spans(value) for value in found]
+            terms = [[(s, 4, e) for t, s, e in text_terms(v, b) if t in f] if f else [] for v, b, f in zip(found, base, flags)]
             numbers = [pa.array([sum(k == n for _, k, _ in b) for b in base], pa.int64()) for n in range(4)]
             digests = [hashlib.sha256(joined(b).encode()).hexdigest() for b in base]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    *numbers,
-                    pa.array(digests, pa.string()),
-                    pa.array([joined(b + t) for b, t in zip(base, terms)], pa.string()),
-                    pa.array([len(t) for t in terms], pa.int64()),
-                ],
-                names=[key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"],
-            )
+            spans = pa.array([joined(b + t) for b, t in zip(base, terms)], pa.string())
+            columns = [part.column(0), *numbers, pa.array(digests, pa.string()), spans, pa.array([len(t) for t in terms], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, *names, "base_sha256", "spans", "n_term"])
 
-    both = scanned.select(key, "__row", "__spans", "__words").join(flagged, "__row", "left").select(key, "__spans", "__words", "__terms")
-    return both.mapInArrow(
+    rows = marked.select(key, "__row", F.col(text).alias("__text")).join(flagged, "__row", "left")
+    shown = rows.select(key, "__text", F.col("__terms.term").alias("__terms")).mapInArrow(
         run,
         f"`{key}` {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_term bigint",
     )
+    zero = F.lit(0).cast("bigint")
+    rest = docs.filter(~_maybe(text)).select(
+        key, *[zero.alias(n) for n in names], F.sha2(F.lit(b""), 256).alias("base_sha256"), F.lit("").alias("spans"), zero.alias("n_term")
+    )
+    return shown.unionAll(rest)
+
+
+def _texts(docs: DataFrame, text: str) -> int:
+    """Number of distinct texts."""
+    return docs.select(F.md5(F.coalesce(F.col(text), F.lit("")))).distinct().count()
 
 
 def redact(text: str, base: list[Span], terms: list[tuple[int, int, bool]]) -> str:
@@ -276,11 +276,8 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresho
     only the others are joined with the disclosing terms.
     """
     columns, schema = docs.columns, docs.schema
-    held = _with_row(docs.filter(F.col(text).rlike("[0-9@]")), key, text)
-    passed = docs.filter(F.coalesce(~F.col(text).rlike("[0-9@]"), F.lit(True)))
-    scanned = stored(_scan(held, text, [key]), "spans")
-    total = docs.select(F.md5(F.coalesce(F.col(text), F.lit("")))).distinct().count()
-    flagged = _flagged(scanned, stored(term_counts(docs, text), "terms"), total, thresholds)
+    held = _with_row(docs.filter(_maybe(text)), key, text)
+    flagged = _flagged(stored(_scan(held, text), "spans"), stored(term_counts(docs, text), "terms"), _texts(docs, text), thresholds)
     at = columns.index(text)
 
     def run(batches):
@@ -296,4 +293,4 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **thresho
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     joined_rows = held.join(flagged, "__row", "left").select(*columns, "__terms")
-    return passed.unionAll(joined_rows.mapInArrow(run, schema))
+    return docs.filter(~_maybe(text)).unionAll(joined_rows.mapInArrow(run, schema))
