@@ -181,7 +181,9 @@ def write(docs: DataFrame, path: str, tokenizer: TokenizerFile, key: str = "doc_
             )
 
     rows = docs.select(F.col(key).cast("bigint").alias("__key"), F.col(text).alias("__text"))
-    ordered = rows.repartitionByRange("__key").sortWithinPartitions("__key", F.xxhash64("__text"))
+    # The text's hash parts the rows of one key, which may be most rows.
+    order = [F.col("__key"), F.xxhash64("__text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     files = ordered.mapInArrow(run, "part int, file string, docs bigint, tokens bigint, frames int")
     return stored(files, "manifest")
 
@@ -196,7 +198,10 @@ def read(spark: SparkSession, path: str, manifest: DataFrame, key: str = "doc_id
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
     steps = F.sequence(F.lit(0), F.col("frames") - 1, F.lit(FRAMES_PER_TASK))
-    tasks = based.select("file", "base", "frames", F.explode(steps).alias("first")).repartition("file", "first")
+    tasks = based.select("file", "base", "frames", F.explode(steps).alias("first"))
+    # As many partitions as reading tasks: a number of its own is not merged, small as the rows are.
+    number = manifest.agg(F.sum(F.ceil(F.col("frames") / FRAMES_PER_TASK))).first()[0] or 1
+    tasks = tasks.repartition(int(number), "file", "first")
 
     def run(batches):
         for batch in batches:

@@ -132,3 +132,21 @@ def test_random_access_and_checksums(tmp_path):
     open(path, "wb").write(data)
     with pytest.raises(Exception):
         list(tokenfiles.FrameFile(path).documents(0, 99))
+
+
+def test_reading_and_hot_keys_are_spread(spark, tmp_path):
+    """Reading tasks are not merged, and one key's rows fall into several files."""
+    rows = [(7, f"word{i} " * 30) for i in range(400)] + [(None, "x"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one file
+    try:
+        manifest = tokenfiles.write(docs, str(tmp_path / "files"), word_tokenizer())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert manifest.filter("docs > 1").count() > 1 and manifest.agg({"docs": "sum"}).first()[0] == 402
+    read = tokenfiles.read(spark, str(tmp_path / "files"), manifest)
+    from pyspark.sql import functions as F
+
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    got = sorted((r.start, r.n_tokens) for r in read.collect())
+    assert got[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:])) and len(got) == 402
