@@ -31,7 +31,6 @@ index, bounded with it, travels to the tasks that scan the documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +45,7 @@ REPS = 64
 SAMPLED = 2
 MIN_WORDS = 8
 BLOCK_BYTES = 16 << 20
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 
 
 def recall(equal_share: float, reps: int = REPS, sampled: int = SAMPLED) -> float:
@@ -53,7 +53,13 @@ def recall(equal_share: float, reps: int = REPS, sampled: int = SAMPLED) -> floa
 
 
 def word_symbols(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(code per word, distinct normalised words, words per text); marks alone are no words."""
+    """(code per word, distinct normalised words, words per text); marks alone are no words.
+
+    A letter of a script without spaces is a word.
+    """
+    unspaced = pc.match_substring_regex(texts, _UNSPACED)
+    if pc.any(unspaced).as_py():
+        texts = pc.if_else(unspaced, pc.replace_substring_regex(texts, f"({_UNSPACED})", r" \1 "), texts)
     lists = pc.ascii_split_whitespace(texts)
     counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     encoded = lists.flatten().dictionary_encode()
@@ -89,7 +95,7 @@ def walk_table(vocabulary: int) -> np.ndarray:
     return np.random.default_rng(1).integers(0, 1 << 64, (8, vocabulary + 2), dtype=np.uint64)
 
 
-def walk_keys(windows: np.ndarray, sizes: np.ndarray, table: np.ndarray, reps: int, sampled: int) -> np.ndarray:
+def walk_keys(windows: np.ndarray, sizes: np.ndarray, table: np.ndarray, places_of: dict[int, np.ndarray]) -> np.ndarray:
     """(reps, rows): a hash of what each walk over the first ``sizes`` words of a row emits where it is sampled.
 
     Words are -2 for padding, -1 for unknown ones. A walk past the last word emits padding.
@@ -98,10 +104,11 @@ def walk_keys(windows: np.ndarray, sizes: np.ndarray, table: np.ndarray, reps: i
     padded = np.zeros((count, width + 1), dtype=np.int32)
     np.copyto(padded[:, :width], windows + 2, where=np.arange(width) < sizes[:, None])
     flat = padded.ravel()
+    known, which = np.unique(sizes, return_inverse=True)
+    places = np.stack([places_of[n] for n in known.tolist()], axis=1)
+    reps = len(places)
     at = np.tile(np.arange(count, dtype=np.int64) * (width + 1), (reps, 1))
     end = at + sizes
-    known, which = np.unique(sizes, return_inverse=True)
-    places = np.array([[sample_positions(n, rep, sampled) for n in known.tolist()] for rep in range(reps)])
     steps = int(places.max()) + 1
     bits = np.array([np.random.default_rng([rep, 2]).integers(0, 512, steps) for rep in range(reps)])
     rows, shifts = (bits >> 6) * table.shape[1], (bits & 63).astype(np.uint64)
@@ -120,11 +127,11 @@ def walk_keys(windows: np.ndarray, sizes: np.ndarray, table: np.ndarray, reps: i
     return key.astype(np.uint32)
 
 
-@lru_cache(maxsize=1 << 16)
-def sample_positions(n: int, rep: int, sampled: int) -> np.ndarray:
-    """Where walk ``rep`` over ``n`` words is sampled; a walk of 2n steps passes about all n."""
-    draw = np.random.default_rng([n, rep])
-    return np.sort(draw.choice(2 * n, size=min(sampled, 2 * n), replace=False))
+def sample_places(n: int, reps: int, sampled: int) -> np.ndarray:
+    """(reps, sampled): where walks over ``n`` words are sampled; a walk of 2n steps passes about all n."""
+    draws = (np.random.default_rng([n, rep]) for rep in range(reps))
+    found = np.array([np.sort(d.choice(2 * n, size=min(sampled, 2 * n), replace=False)) for d in draws])
+    return np.pad(found, ((0, 0), (0, sampled - found.shape[1])), mode="edge")
 
 
 def edit_distances(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -145,18 +152,18 @@ class ItemIndex:
     """One block of items: their words, the places of their rarest runs, their sampled walks."""
 
     def __init__(self, keys: list, texts: list[str | None], ratio=RATIO, reps=REPS, sampled=SAMPLED, min_words=MIN_WORDS):
-        self.ratio, self.reps, self.sampled = ratio, reps, sampled
         codes, self.words, counts = word_symbols(pa.array([t or "" for t in texts], pa.string()))
         self.words = pa.array(self.words.to_pylist(), pa.string())
         ends = np.cumsum(counts)
         rows: dict[tuple[int, ...], list] = {}  # equal items are one row
         for key, end, n in zip(keys, ends.tolist(), counts.tolist()):
-            if n >= max(1, min_words):
+            if n:
                 rows.setdefault(tuple(codes[end - n : end].tolist()), []).append(key)
         self.keys = list(rows.values())
         items = [np.array(w, dtype=np.int32) for w in rows]
         self.sizes = np.array([len(w) for w in items], dtype=np.int64)
-        self.allowed = np.array([int(ratio * len(w)) for w in items], dtype=np.int64)
+        self.allowed = np.array([int(ratio * len(w)) if len(w) >= min_words else 0 for w in items], dtype=np.int64)
+        self.places = {n: sample_places(n, reps, sampled) for n in set(self.sizes.tolist())}
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.flat = np.concatenate([*items, np.zeros(0, dtype=np.int32)]).astype(np.int32)
         self.table = walk_table(len(self.words))
@@ -165,7 +172,7 @@ class ItemIndex:
         self.runs = [(r, *self._postings(items, np.flatnonzero(lengths == r), r)) for r in (3, 2, 1) if (lengths == r).any()]
         self.walks = np.zeros((reps, len(items)), dtype=np.uint32)
         for some in self._chunks(np.arange(len(items))):
-            self.walks[:, some] = walk_keys(self._items(some), self.sizes[some], self.table, reps, sampled)
+            self.walks[:, some] = walk_keys(self._items(some), self.sizes[some], self.table, self.places)
 
     def _postings(self, items: list, numbers: np.ndarray, length: int) -> tuple:
         """(runs of these items, first posting of each, item and place per posting).
@@ -292,7 +299,7 @@ class ItemIndex:
         near = np.zeros(len(item), dtype=bool)
         for some in self._chunks(item):
             windows = self._grid(item[some], start[some], symbols, stop)
-            keys = walk_keys(windows, self.sizes[item[some]], self.table, self.reps, self.sampled)
+            keys = walk_keys(windows, self.sizes[item[some]], self.table, self.places)
             near[some] = (keys == self.walks[:, item[some]]).any(axis=0)
         return near
 
@@ -333,8 +340,8 @@ def leaks(
     """``key``, ``item_key``, first_word and edits of the closest window, per document row and leaked item.
 
     Documents without a leak give no row; null and empty texts have no windows. Items
-    under ``min_words`` words, null and empty ones too, match nothing, since chance
-    would. Items of equal words are each reported; null keys are carried; repeated
+    under ``min_words`` words match word for word only; null and empty ones, and those
+    of marks alone, match nothing. Items of equal words are each reported; null keys are carried; repeated
     rows give repeated results. Other columns are not carried.
     """
     names = [key, item_key, "first_word", "edits"]

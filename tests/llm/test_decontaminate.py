@@ -184,3 +184,42 @@ def test_odd_rows(spark):
 
 def test_recall_statement():
     assert dc.recall(1.0) == 1.0 and dc.recall(0.0) == 0.0 and dc.recall(0.6) > 0.95
+
+
+def test_short_and_unspaced_items_match_word_for_word(spark):
+    """Items under eight words, of one word and of a script without spaces are found where they stand."""
+    items = [(1, "seven plain words make this one item"), (2, "北京的秋天很美丽我们去看红叶"), (3, "xylograph"), (4, None), (5, "..."), (6, "สวัสดีครับ")]
+    texts = [
+        (1, "Before it, Seven plain words make this one item! and after"), (2, "他说：北京的秋天很美丽，我们去看红叶。好"), (3, "a xylograph here"),
+        (4, "seven plain words make no item"), (5, "北京的秋天"), (6, None), (7, "พูดว่าสวัสดีครับแล้ว"), (8, "..."),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id, r.edits) for r in dc.leaks(docs, bench).collect()}
+    assert found == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (7, 6, 0)}
+    assert {r.doc_id for r in dc.without_leaks(docs, bench).collect()} == {4, 5, 6, 8}
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """What travels to a worker loads in a process that cannot import the package."""
+    import subprocess
+    import sys
+
+    import loomwork  # noqa: F401  (registers pickling by value)
+    from pyspark import cloudpickle
+
+    index = dc.ItemIndex([1], ["one two three four five six seven eight nine ten"])
+    (tmp_path / "index").write_bytes(cloudpickle.dumps((index, dc.ItemIndex.find)))
+    code = """
+import pickle, sys
+import pyarrow as pa
+try:
+    import loomwork
+    raise SystemExit("the package can be imported")
+except ImportError:
+    pass
+index, find = pickle.load(open(sys.argv[1], "rb"))
+print(len(find(index, pa.array(["zero one two three four five six seven eight nine ten"]))[0]))
+"""
+    ran = subprocess.run([sys.executable, "-c", code, str(tmp_path / "index")], capture_output=True, text=True, cwd=tmp_path, env={"PATH": "/usr/bin"})
+    assert ran.stdout.strip() == "1", ran.stderr
