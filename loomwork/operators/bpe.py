@@ -1,10 +1,21 @@
-"""Byte-pair training as a sequence of Spark aggregates.
+"""Byte-pair training as a sequence of Spark jobs whose cost follows what a merge changes.
 
-State is one row per distinct pre-token: its symbols and its count. A symbol id
-is held as the character with that code point, so a pre-token is a plain string:
-counting pairs is a regex extract plus ``groupBy``, and a merge is the built-in
-left-to-right ``replace``. Everything stays in generated code; the driver sees
-only the few leading pairs of each round.
+Pre-tokens are counted once. From then on two tables are kept, and no round reads all
+pre-tokens again:
+
+* postings (pair, pre-token, its count): where each pair of neighbouring symbols stands.
+  A pair comes into being only in the round that makes the later of its two symbols, so
+  each round's new postings are a table of their own that holds its pairs completely;
+  a merge looks into one such table. The first, of byte pairs, is sorted by pair, and
+  Parquet's statistics leave all but a few of its row groups unread.
+* counts: those of byte pairs, and each round's differences, summed up from time to time.
+
+A round takes the pre-tokens that hold its pairs, cuts each anew with the merges before
+and after the round, and writes the difference: changed counts and new postings. What a
+pre-token was cut into is never stored, so a posting may be out of date; it then changes
+nothing. After its own round a pair can only lose, so the driver keeps the leading pairs
+with their exact counts and a floor that no other pair exceeds, and counts all pairs
+only when the lead is used up. It sees nothing else.
 
 One round performs every merge that greedy training would perform next and
 whose counts cannot have changed in between: pairs are taken in order while they
@@ -12,17 +23,17 @@ share no symbol with an earlier one of the round. A new pair made by a merge is
 at most as frequent as some pair touching the merged symbols, so all taken pairs
 above the first touching pair's count are final. The result equals one merge per
 round.
-
-Pair counts are kept as a table. A round counts only the pre-tokens that hold a merged
-pair, before and after, and adds the difference, so its cost follows what it changed.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
+from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomwork.functions.text import adjacent_pairs, byte_text, pretokens
@@ -102,6 +113,38 @@ class Vocabulary:
         return spark.createDataFrame(rows, "token_id int, bytes binary, n_bytes int, is_special boolean")
 
 
+def merge_piece(piece: bytes, ranks: dict[tuple[int, int], int]) -> list[int]:
+    """Ids of one piece: the earliest merge that applies, everywhere, until none does.
+
+    Symbols are a linked list and the pairs that can merge wait in a heap by (merge,
+    place). A merge looks at its two neighbours only, so a piece of n bytes takes
+    n log n steps. A new pair holds the new id and so comes later than its merge; equal
+    pairs leave from left to right, as overlapping ones must.
+    """
+    ids: list[int | None] = list(piece)
+    waiting = [(token, i) for i, pair in enumerate(zip(ids, ids[1:])) if (token := ranks.get(pair)) is not None]
+    if not waiting:
+        return ids
+    heapq.heapify(waiting)
+    end = len(ids)
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+    while waiting:
+        token, i = heapq.heappop(waiting)
+        j = after[i]
+        # Either symbol may have gone into another merge since.
+        if ids[i] is None or j == end or ranks.get((ids[i], ids[j])) != token:
+            continue
+        ids[i], ids[j] = token, None
+        after[i] = k = after[j]
+        if k < end:
+            before[k] = i
+            if (later := ranks.get((token, ids[k]))) is not None:
+                heapq.heappush(waiting, (later, i))
+        if (h := before[i]) >= 0 and (later := ranks.get((ids[h], token))) is not None:
+            heapq.heappush(waiting, (later, h))
+    return [t for t in ids if t is not None]
+
+
 def pretoken_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """(piece, n): one pass with map-side combining."""
     return (
@@ -141,64 +184,130 @@ def final_prefix(leading: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return taken
 
 
+def _order(entry: tuple[str, int]) -> tuple:
+    return -entry[1], entry[0]
+
+
+class _Lead:
+    """The leading pairs with exact counts; no other pair has more than ``floor``."""
+
+    def __init__(self, size: int):
+        self.size, self.floor, self.fresh = size, 0, False
+        self.counts: dict[str, int] = {}
+
+    def scan(self, counts: DataFrame) -> None:
+        totals = counts.groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0")
+        # Symbols compare by code point, here and in Python, which is the order of their ids.
+        top = totals.orderBy(F.desc("n"), "pair").limit(self.size).collect()
+        self.counts = {r["pair"]: r["n"] for r in top}
+        self.floor = top[-1]["n"] if len(top) == self.size else 0
+        self.fresh = True
+
+    def batch(self) -> list[tuple[str, int]]:
+        """The next merges that are certain. Just after a scan the first one always is."""
+        taken = final_prefix(sorted(self.counts.items(), key=_order))
+        return [t for i, t in enumerate(taken) if t[1] > self.floor or (i == 0 and self.fresh)]
+
+    def change(self, differences: dict[str, int]) -> None:
+        self.fresh = False
+        for pair, d in differences.items():
+            # Pairs not in the lead are new ones, whose count is the difference.
+            self.counts[pair] = self.counts.get(pair, 0) + d
+        if len(self.counts) > 4 * self.size:
+            ordered = sorted(self.counts.items(), key=_order)
+            self.counts, self.floor = dict(ordered[: self.size]), max(self.floor, ordered[self.size][1])
+        self.counts = {p: n for p, n in self.counts.items() if n > self.floor}
+
+
 def train(
     texts: DataFrame,
     vocab_size: int,
     column: str = "text",
-    lookahead: int = 128,
-    rounds_per_checkpoint: int = 4,
+    lookahead: int = 1024,
+    rounds_per_checkpoint: int = 32,
 ) -> Vocabulary:
     """Learn merges until bytes + merges + specials reach ``vocab_size``.
 
     Ties between equally frequent pairs go to the smaller (left, right) ids.
+    ``lookahead`` is the number of leading pairs the driver keeps; the differences of
+    ``rounds_per_checkpoint`` rounds are summed into one table.
     """
     wanted = vocab_size - len(SPECIAL_TOKENS) - BYTE_IDS
     if wanted < 0:
         raise ValueError(f"vocab_size must be at least {BYTE_IDS + len(SPECIAL_TOKENS)}")
-    state = cut_lineage(initial_state(pretoken_counts(texts, column)))
-    pairs = stored(pair_counts(state), "pairs")
+    spark = texts.sparkSession
+    state = initial_state(pretoken_counts(texts, column)).filter(F.length("symbols") > 1)
+    first = state.select("symbols", "n", F.explode(adjacent_pairs(F.col("symbols"))).alias("pair"))
+    tables = [stored(first.repartitionByRange("pair", "symbols").sortWithinPartitions("pair"), "postings")]
+    made_in: dict[str, int] = {}  # symbol -> the round's table of its pairs; bytes are in the first
+    counts = stored(tables[0].groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    differences: list[DataFrame] = []
     merges: list[Merge] = []
-    rounds = 0
+    lead = _Lead(lookahead)
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     while len(merges) < wanted:
-        top = (
-            pairs.orderBy(F.desc("n"), F.ascii(F.substring("pair", 1, 1)), F.ascii(F.substring("pair", 2, 1)))
-            .limit(lookahead)
-            .collect()
-        )
-        if not top:
-            break
-        batch = final_prefix([(r["pair"], r["n"]) for r in top])
-        if len(batch) == len(top) and len(top) == lookahead:
-            # Nothing seen past the horizon bounds the ties at its last count.
-            floor = top[-1]["n"]
-            batch = batch[:1] + [b for b in batch[1:] if b[1] > floor]
-        batch = batch[: wanted - len(merges)]
-        merged = F.col("symbols")
+        batch = lead.batch()[: wanted - len(merges)]
+        if not batch:
+            if lead.fresh or (lead.floor == 0 and merges):
+                break
+            counts, differences = _summed(counts, differences), []
+            lead.scan(counts)
+            continue
+        ranks = {(m.left, m.right): m.token for m in merges}
+        where: dict[int, list[str]] = {}
         for pair, count in batch:
             new = BYTE_IDS + len(merges)
+            where.setdefault(max(made_in.get(c, 0) for c in pair), []).append(pair)
             merges.append(Merge(token_id(pair[0]), token_id(pair[1]), new, count))
-            merged = F.replace(merged, F.lit(pair), F.lit(symbol(new)))
+            made_in[symbol(new)] = len(tables)
         if len(merges) == wanted:
             break
-        holds = functools.reduce(Column.__or__, [F.contains("symbols", F.lit(pair)) for pair, _ in batch])
-        pairs = stored(_adjusted(pairs, state.filter(holds).select("symbols", merged.alias("after"), "n")), "pairs")
-        state = state.select(F.when(holds, merged).otherwise(F.col("symbols")).alias("symbols"), "n")
-        rounds += 1
-        if rounds % rounds_per_checkpoint == 0:
-            # A pre-token merged into one symbol has no pairs left to count.
-            state = cut_lineage(state.filter(F.length("symbols") > 1))
+        parts = [tables[t].filter(F.col("pair").isin(pairs)).select("symbols", "n") for t, pairs in where.items()]
+        # A number of partitions of its own, so that few rows with much work are not merged into one task.
+        dealt = functools.reduce(DataFrame.unionAll, parts).repartition(width, "symbols")
+        pieces = dealt.groupBy("symbols").agg(F.max("n").alias("n"))
+        after = {(m.left, m.right): m.token for m in merges}
+        recut = _recut(ranks, after, frozenset(lead.counts))
+        changed = stored(pieces.mapInArrow(recut, "symbols string, pair string, n bigint, d bigint, led boolean"), "postings")
+        tables.append(changed.filter(F.col("symbols").isNotNull()))
+        differences.append(changed.select("pair", F.col("d").alias("n")))
+        moved = changed.groupBy("pair").agg(F.sum("d").alias("n"), F.bool_or("led").alias("led"))
+        moved = moved.filter(F.col("led") | (F.col("n") > lead.floor))
+        lead.change({r["pair"]: r["n"] for r in moved.collect()})
+        if len(differences) >= rounds_per_checkpoint:
+            counts, differences = _summed(counts, differences), []
     return Vocabulary(tuple(merges))
 
 
-def _adjusted(pairs: DataFrame, changed: DataFrame) -> DataFrame:
-    """Pair counts after a round: only pre-tokens (symbols, after, n) that it changed are counted."""
-
-    def counted(symbols: str, n: Column) -> Column:
-        return F.transform(adjacent_pairs(F.col(symbols)), lambda p: F.struct(p.alias("pair"), n.alias("n")))
-
-    both = F.concat(counted("symbols", -F.col("n")), counted("after", F.col("n")))
-    moved = changed.select(F.explode(both).alias("c")).select("c.pair", "c.n")
-    return pairs.unionAll(moved).groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0")
+def _summed(counts: DataFrame, differences: list[DataFrame]) -> DataFrame:
+    if not differences:
+        return counts
+    every = functools.reduce(DataFrame.unionAll, differences, counts)
+    return stored(every.groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0"), "pairs")
+
+
+def _recut(before: dict[tuple[int, int], int], after: dict[tuple[int, int], int], lead: frozenset[str]):
+    """From (symbols, n) to (symbols or null, pair, n, d, led): the pairs whose count in a pre-token
+    changed by d / n, and whether they lead; ``symbols`` stands with pairs that it did not hold before."""
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for symbols, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = symbols.encode("latin-1")
+                old, new = merge_piece(raw, before), merge_piece(raw, after)
+                if old == new:
+                    continue
+                was, now = Counter(zip(old, old[1:])), Counter(zip(new, new[1:]))
+                for pair in was.keys() | now.keys():
+                    if was[pair] != now[pair]:
+                        name = symbol(pair[0]) + symbol(pair[1])
+                        rows.append((None if was[pair] else symbols, name, n, (now[pair] - was[pair]) * n, name in lead))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["symbols", "pair", "n", "d", "led"])
+
+    return run
 
 
 def segmentation(counts: DataFrame, vocabulary: Vocabulary, per_step: int = 64) -> DataFrame:

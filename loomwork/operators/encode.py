@@ -9,7 +9,6 @@ vocabulary size.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,44 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.text import pretokens
-from loomwork.operators.bpe import Vocabulary
+from loomwork.operators.bpe import Vocabulary, merge_piece
 
 # Distinct pieces a task keeps merged.
 _KEPT_PIECES = 500_000
 
 
-def merge_piece(piece: bytes, ranks: dict[tuple[int, int], int]) -> list[int]:
-    """Ids of one piece: the earliest merge that applies, everywhere, until none does.
-
-    Symbols are a linked list and the pairs that can merge wait in a heap by (merge,
-    place). A merge looks at its two neighbours only, so a piece of n bytes takes
-    n log n steps. A new pair holds the new id and so comes later than its merge; equal
-    pairs leave from left to right, as overlapping ones must.
-    """
-    ids: list[int | None] = list(piece)
-    waiting = [(token, i) for i, pair in enumerate(zip(ids, ids[1:])) if (token := ranks.get(pair)) is not None]
-    if not waiting:
-        return ids
-    heapq.heapify(waiting)
-    end = len(ids)
-    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-    while waiting:
-        token, i = heapq.heappop(waiting)
-        j = after[i]
-        # Either symbol may have gone into another merge since.
-        if ids[i] is None or j == end or ranks.get((ids[i], ids[j])) != token:
-            continue
-        ids[i], ids[j] = token, None
-        after[i] = k = after[j]
-        if k < end:
-            before[k] = i
-            if (later := ranks.get((token, ids[k]))) is not None:
-                heapq.heappush(waiting, (later, i))
-        if (h := before[i]) >= 0 and (later := ranks.get((ids[h], token))) is not None:
-            heapq.heappush(waiting, (later, h))
-    return [t for t in ids if t is not None]
-
-
 def encoder_function(
     spark: SparkSession, vocabulary: Vocabulary, prepend: int | None = None, append: int | None = None
 ):

@@ -38,18 +38,20 @@ def stream_ingest(spark, sf_dir):
 @query("stream_blocks", packs._blocks_sql(129))
 def stream_blocks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # Four files in key order, one a batch: blocks run across batch edges.
+    # Four arrivals in key order, a batch each, of as many files as their range has: blocks run
+    # across batch edges. Rows without a key stand first.
     landed = scratch_path(spark, "blocks-in")
-    edges = docs.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.0)
+    edges = docs.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01)
+    out, checkpoint = scratch_path(spark, "blocks-out"), scratch_path(spark, "blocks-progress")
     bounds = [None, *edges, None]
     for low, high in zip(bounds, bounds[1:]):
         above = F.lit(True) if low is None else F.col("doc_id") > low
         below = F.lit(True) if high is None else F.col("doc_id") <= high
-        docs.filter(above & below).coalesce(1).write.mode("append").parquet(landed)
-    out, checkpoint = scratch_path(spark, "blocks-out"), scratch_path(spark, "blocks-progress")
-    for _ in range(2):
-        stream = jobs.source(spark, landed, docs.schema, files_per_batch=1)
-        jobs.block_texts(stream, "doc_id", pretokens, 129, out, checkpoint)
+        part = docs.filter(F.coalesce(above & below, F.lit(low is None)))
+        part.repartitionByRange("doc_id").write.mode("append").parquet(landed)
+        jobs.block_texts(jobs.source(spark, landed, docs.schema), "doc_id", pretokens, 129, out, checkpoint)
+    # A run that finds nothing new changes nothing.
+    jobs.block_texts(jobs.source(spark, landed, docs.schema), "doc_id", pretokens, 129, out, checkpoint)
     return packs.block_digest(spark.read.parquet(out))
 
 
@@ -87,15 +89,23 @@ def stream_ema(spark, sf_dir):
     points = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run"), F.col("event_id").alias("key"), "value"
     )
+    # Arrivals by a hash, so that every file holds points of the whole range of keys and none
+    # is in order; a last one a whole range later lets all of them be finished.
+    low, high = points.agg(F.min("key"), F.max("key")).first()
+    spread = (high or 0) - (low or 0)
     landed = scratch_path(spark, "series-in")
-    # Three arrivals in key order; together they are the whole table.
-    low, high = points.approxQuantile("key", [1 / 3, 2 / 3], 0.01)
-    for part in (F.col("key") < low, F.col("key").between(low, high), F.col("key") > high):
-        points.filter(part).coalesce(1).write.mode("append").parquet(landed)
-    out = scratch_path(spark, "series-out")
-    stream = jobs.source(spark, landed, points.schema, 1)
-    jobs.follow_series(stream, out, scratch_path(spark, "series-state"), scratch_path(spark, "series-progress"))
-    return spark.read.parquet(out).select("run", "key", "step", F.round("ema", 6).alias("ema"), "best")
+    points.repartition(4, F.xxhash64("key")).write.parquet(landed)
+    out, progress = scratch_path(spark, "series-out"), scratch_path(spark, "series-progress")
+
+    def follow():
+        jobs.follow_series(jobs.source(spark, landed, points.schema, 1), out, progress, disorder=spread)
+
+    follow()
+    last = spark.range(1).select(F.lit(None).cast("bigint").alias("run"), F.lit((high or 0) + spread + 2).alias("key"), F.lit(0.0).alias("value"))
+    last.write.mode("append").parquet(landed)
+    follow()
+    done = spark.read.parquet(out).filter(F.col("key") <= (high or 0))
+    return done.select("run", "key", "step", F.round("ema", 6).alias("ema"), "best")
 
 
 @query(

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomwork.functions.text import strip
-from loomwork.operators import chatforms, runlog, splits
+from loomwork.operators import chatforms, splits
 from loomwork.operators.chunking import fixed_blocks
-from loomwork.operators.running import running, with_ordinal
 from loomwork.session import stored
 from loomwork.sources import storage
 
@@ -22,9 +23,6 @@ from loomwork.sources import storage
 TIME_LIMIT = r"slurmstepd: error: \*\*\* JOB ([0-9]+) ON .* DUE TO TIME LIMIT \*\*\*"
 
 
-_CARRY = "run bigint, seen bigint, total double, best double"
-
-
 def _finish(stream: DataFrame, out: str, checkpoint: str, partition_by: tuple[str, ...] = ()) -> None:
     writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
     if partition_by:
@@ -92,52 +90,84 @@ def prepare_chats(rows: DataFrame, out: str, checkpoint: str, ratio: float) -> N
     _finish(named, out, checkpoint, ("split",))
 
 
-def follow_series(points: DataFrame, out: str, state: str, checkpoint: str, beta: float = 0.9) -> None:
-    """Debiased exponential average and running minimum per run, carried across batches.
+# A key's time: the engine takes times up to the epoch for late from
+# the start. Keys lie between -2^40 and 2^42.
+_ORIGIN = 1 << 40
 
-    ``points`` has (run, key, value); files must arrive in key order. A batch is
-    worked out as a batch job (block-wise, so a hot run is spread over tasks) and
-    joined to what the run carried over: three numbers per run, one snapshot per
-    batch. Both outputs are written under the batch number, so a batch that is
-    repeated after a failure replaces itself.
-    """
 
-    def advance(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = f"{state}/{number - 1}"
-        if storage.exists(spark, before):
-            carried = spark.read.schema(_CARRY).parquet(before)
+class _Series(StatefulProcessor):
+    """A run's sums, and the points that wait until no earlier one can come."""
+
+    def __init__(self, beta: float):
+        self.beta = beta
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "seen bigint, total double, best double")
+        self.waiting = handle.getListState("waiting", "key bigint, value double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for points in rows:
+            points = points.dropna(subset=["key"])
+            if len(points):
+                self.waiting.appendList(list(zip(points["key"].astype(int).tolist(), points["value"].tolist())))
+                self.handle.registerTimer(int(points["key"].min()) + _ORIGIN)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        limit = timerValues.getCurrentWatermarkInMs() - _ORIGIN
+        points = sorted(self.waiting.get())
+        ready = [p for p in points if p[0] <= limit]
+        later = points[len(ready) :]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] + _ORIGIN)
         else:
-            carried = spark.createDataFrame([], _CARRY)
-        steps = stored(with_ordinal(batch, "key", "i", by=["run"]), "series")
-        local = runlog.decayed_sum(steps, "run", "i", "value", beta)
-        local = running(local, "key", {"low": ("min", F.col("value"))}, by=["run"])
-        seen = F.coalesce("seen", F.lit(0)).cast("bigint")
-        total = F.col("__state") + F.pow(F.lit(beta), F.col("i") + 1) * F.coalesce("total", F.lit(0.0))
-        rows = stored(
-            local.join(carried, "run", "left").select(
-                "run",
-                "key",
-                (seen + F.col("i")).alias("step"),
-                total.alias("total"),
-                F.least("low", "best").alias("best"),
-            ),
-            "series-rows",
-        )
-        ema = (1 - beta) * F.col("total") / (1 - F.pow(F.lit(beta), F.col("step") + 1))
-        rows.select("run", "key", "step", ema.alias("ema"), "best").write.mode("overwrite").parquet(
-            f"{out}/batch={number}"
-        )
-        ends = rows.groupBy("run").agg(
-            (F.max("step") + 1).alias("seen"),
-            F.max_by("total", "step").alias("total"),
-            F.min("best").alias("best"),
-        )
-        idle = carried.join(ends.select("run"), "run", "left_anti")
-        ends.unionByName(idle).write.mode("overwrite").parquet(f"{state}/{number}")
-
-    writer = points.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
+            self.waiting.clear()
+        if not ready:
+            return
+        seen, total, best = self.sums.get() if self.sums.exists() else (0, 0.0, None)
+        out = []
+        for at, value in ready:
+            total = self.beta * total + value
+            best = value if best is None else min(best, value)
+            out.append((key[0], at, seen, (1 - self.beta) * total / (1 - self.beta ** (seen + 1)), best))
+            seen += 1
+        self.sums.update((seen, total, best))
+        yield pd.DataFrame(out, columns=["run", "key", "step", "ema", "best"])
+
+    def close(self) -> None:
+        pass
+
+
+def follow_series(points: DataFrame, out: str, checkpoint: str, beta: float = 0.9, disorder: int = 0) -> None:
+    """Debiased exponential average and running minimum per run, carried across batches.
+
+    ``points`` has (run, key, value); keys are whole numbers and may come out of order by
+    up to ``disorder``, within a file or across files. The state of a run is Spark's keyed
+    state: its sums, and the points whose key is not yet ``disorder`` behind the greatest
+    key seen of any run. A timer at a point's key finishes all points up to the
+    watermark, in order of key (equal keys by value). A point that comes later than that is dropped by
+    the engine; points still within the bound wait for the next start of the job. Points
+    without a key have no place and are left out; a null run is a run.
+    """
+    kind = points.schema["run"].dataType.simpleString()
+    timed = points.select("run", "key", "value", F.timestamp_millis(F.col("key").cast("bigint") + _ORIGIN).alias("at"))
+    rows = (
+        timed.filter("key IS NOT NULL")
+        .withWatermark("at", f"{disorder + 1} milliseconds")
+        .groupBy("run")
+        .transformWithStateInPandas(_Series(beta), f"run {kind}, key bigint, step bigint, ema double, best double", "Append", "EventTime")
+    )
+    spark = points.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    # Timers and lists are kept by this store only; the setting is read when the query starts.
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _finish(rows, out, checkpoint)
+    finally:
+        spark.conf.set(name, before)
 
 
 def time_limited_jobs(lines: DataFrame, out: str, checkpoint: str) -> None:
