@@ -30,10 +30,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
-from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomwork.functions.text import adjacent_pairs, byte_text, pretokens
@@ -145,6 +146,71 @@ def merge_piece(piece: bytes, ranks: dict[tuple[int, int], int]) -> list[int]:
     return [t for t in ids if t is not None]
 
 
+# Longer pieces are merged one by one with a heap.
+_LONG_PIECE = 64
+# Ids up to which pairs are looked up in a square table.
+_TABLE_IDS = 1024
+_NO_MERGE = np.iinfo(np.int32).max
+
+
+def merge_pieces(data: np.ndarray, lengths: np.ndarray, ranks: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all pieces one after the other, their number per piece), each piece as ``merge_piece``.
+
+    ``data`` holds the bytes of all pieces. In every pass each piece performs its
+    earliest merge everywhere; pieces without one are left out of the next pass, so a
+    piece of n bytes takes part in n - 1 passes at most.
+    """
+    ids = data.astype(np.int32)
+    starts = np.cumsum(lengths) - lengths
+    piece = np.repeat(np.arange(len(lengths)), lengths)
+    for p in np.flatnonzero(lengths > _LONG_PIECE):
+        low, high = starts[p], starts[p] + lengths[p]
+        merged = merge_piece(data[low:high].tobytes(), ranks)
+        ids[low:high] = -1
+        ids[low : low + len(merged)] = merged
+    size = max(ranks.values(), default=0) + 1
+    table = None
+    if size <= _TABLE_IDS:
+        table = np.full((max(size, BYTE_IDS),) * 2, _NO_MERGE, dtype=np.int32)
+        for pair, token in ranks.items():
+            table[pair] = token
+    keys = np.array([left << 32 | right for left, right in ranks], dtype=np.int64)
+    order = np.argsort(keys)
+    keys, tokens = np.append(keys[order], -1), np.append(np.array(list(ranks.values()), dtype=np.int32)[order], _NO_MERGE)
+
+    def lookup(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if table is not None:
+            return table[left, right]
+        pairs = left.astype(np.int64) << 32 | right
+        found = np.searchsorted(keys[:-1], pairs)
+        return np.where(keys[found] == pairs, tokens[found], _NO_MERGE)
+
+    at = np.flatnonzero((lengths <= _LONG_PIECE)[piece])
+    while len(at):
+        here, own = ids[at], piece[at]
+        token = lookup(here[:-1], here[1:])
+        # Places in ``at`` whose symbol can merge with the next one of the same piece.
+        able = np.flatnonzero((token < _NO_MERGE) & (own[1:] == own[:-1]))
+        if not len(able):
+            break
+        token, of = token[able], own[able]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        counts = np.diff(np.append(first, len(able)))
+        earliest = token == np.repeat(np.minimum.reduceat(token, first), counts)
+        hits, token = able[earliest], token[earliest]
+        # Of overlapping pairs (a run of one symbol) every second one goes, from the left.
+        run = np.concatenate([[True], np.diff(hits) != 1])
+        free = (hits - hits[np.flatnonzero(run)][np.cumsum(run) - 1]) % 2 == 0
+        hits = hits[free]
+        ids[at[hits]] = token[free]
+        ids[at[hits + 1]] = -1
+        active = np.zeros(len(lengths), dtype=bool)
+        active[of[first]] = True
+        at = at[active[own] & (ids[at] >= 0)]
+    kept = ids >= 0
+    return ids[kept], np.bincount(piece[kept], minlength=len(lengths))
+
+
 def pretoken_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """(piece, n): one pass with map-side combining."""
     return (
@@ -286,26 +352,39 @@ def _summed(counts: DataFrame, differences: list[DataFrame]) -> DataFrame:
     return stored(every.groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0"), "pairs")
 
 
+def _pairs(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, pair) of every two neighbouring ids; a pair is one number."""
+    piece = np.repeat(np.arange(len(sizes)), sizes)
+    inside = piece[1:] == piece[:-1]
+    return piece[:-1][inside], (ids[:-1].astype(np.int64) << 32 | ids[1:])[inside]
+
+
 def _recut(before: dict[tuple[int, int], int], after: dict[tuple[int, int], int], lead: frozenset[str]):
     """From (symbols, n) to (symbols or null, pair, n, d, led): the pairs whose count in a pre-token
     changed by d / n, and whether they lead; ``symbols`` stands with pairs that it did not hold before."""
 
     def run(batches):
         for batch in batches:
-            rows: list[tuple] = []
-            for symbols, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = symbols.encode("latin-1")
-                old, new = merge_piece(raw, before), merge_piece(raw, after)
-                if old == new:
-                    continue
-                was, now = Counter(zip(old, old[1:])), Counter(zip(new, new[1:]))
-                for pair in was.keys() | now.keys():
-                    if was[pair] != now[pair]:
-                        name = symbol(pair[0]) + symbol(pair[1])
-                        rows.append((None if was[pair] else symbols, name, n, (now[pair] - was[pair]) * n, name in lead))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["symbols", "pair", "n", "d", "led"])
+            symbols, n = batch.column(0), batch.column(1).to_numpy()
+            raw = np.frombuffer("".join(symbols.to_pylist()).encode("latin-1"), dtype=np.uint8)
+            lengths = pc.utf8_length(symbols).to_numpy()
+            old, new = (_pairs(*merge_pieces(raw, lengths, ranks)) for ranks in (before, after))
+            pairs, code = np.unique(np.concatenate([old[1], new[1]]), return_inverse=True)
+            held, at = np.unique(np.concatenate([old[0], new[0]]) * max(len(pairs), 1) + code, return_inverse=True)
+            was = np.bincount(at[: len(old[0])], minlength=len(held))
+            now = np.bincount(at[len(old[0]) :], minlength=len(held))
+            moved = was != now
+            piece, code = np.divmod(held[moved], max(len(pairs), 1))
+            was, now = was[moved], now[moved]
+            names = [symbol(p >> 32) + symbol(p & 0xFFFFFFFF) for p in pairs.tolist()]
+            columns = [
+                symbols.take(pa.array(piece, mask=was > 0)),
+                pa.array(names, pa.string()).take(pa.array(code)),
+                pa.array(n[piece]),
+                pa.array((now - was) * n[piece]),
+                pa.array([p in lead for p in names], pa.bool_()).take(pa.array(code)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["symbols", "pair", "n", "d", "led"])
 
     return run
 

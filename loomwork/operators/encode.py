@@ -2,9 +2,9 @@
 
 Texts are cut into pieces by the same JVM expression as in training. Merging has no
 built-in: it runs as an Arrow function over the arrays of pieces, next to the scan.
-Each batch's distinct pieces are merged once, each task keeps what it has merged, and
-the ids are laid out with array operations; the merges travel as one broadcast of
-vocabulary size.
+A batch is worked through in slices of bounded size, whatever its rows hold: a
+slice's distinct pieces are merged together and the ids are laid out with array
+operations. The merges travel as one broadcast of vocabulary size.
 """
 
 from __future__ import annotations
@@ -18,10 +18,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.text import pretokens
-from loomwork.operators.bpe import Vocabulary, merge_piece
+from loomwork.operators.bpe import Vocabulary, merge_piece, merge_pieces  # noqa: F401
 
-# Distinct pieces a task keeps merged.
-_KEPT_PIECES = 500_000
+# Pieces, or ids, of a batch that a task works on at a time.
+_SLICE = 1 << 20
+
+
+def _sliced(rows: pa.ListArray) -> Iterator[tuple[pa.ListArray, np.ndarray, np.ndarray]]:
+    """(rows, which are not null, their lengths) with at most ``_SLICE`` elements, one row at least."""
+    valid = rows.is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.where(valid, rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(rows):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + _SLICE, side="right")))
+        yield rows.slice(start, stop - start), valid[start:stop], sizes[start:stop]
+        start = stop
 
 
 def encoder_function(
@@ -32,25 +45,23 @@ def encoder_function(
     head = [] if prepend is None else [prepend]
     tail = [] if append is None else [append]
 
+    def merged(rows: pa.ListArray, valid: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+        pieces = rows.flatten().dictionary_encode()
+        distinct = pieces.dictionary
+        raw = np.frombuffer(b"".join(distinct.cast(pa.binary()).to_pylist()), dtype=np.uint8)
+        ids, n = merge_pieces(raw, pc.binary_length(distinct).to_numpy(), shared.value)
+        places = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        lists = pa.ListArray.from_arrays(places, pa.array(ids, pa.int32())).take(pieces.indices)
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
+        offsets = pa.array(ends.astype(np.int32), mask=np.append(~valid, False))
+        return pa.ListArray.from_arrays(offsets, lists.flatten())
+
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def merge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, list[int]] = {}
+        empty = pa.array([], pa.list_(pa.int32()))
         for rows in batches:
-            sizes = np.where(rows.is_valid().to_numpy(zero_copy_only=False), rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
-            pieces = rows.flatten().dictionary_encode()
-            distinct = []
-            for piece in pieces.dictionary.to_pylist():
-                ids = known.get(piece)
-                if ids is None:
-                    ids = merge_piece(piece.encode("utf-8"), shared.value)
-                    if len(known) < _KEPT_PIECES:
-                        known[piece] = ids
-                distinct.append(ids)
-            lists = pa.array(distinct, pa.list_(pa.int32())).take(pieces.indices)
-            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
-            offsets = pa.array(ends.astype(np.int32), mask=np.append(~rows.is_valid().to_numpy(zero_copy_only=False), False))
-            yield pa.ListArray.from_arrays(offsets, lists.flatten().cast(pa.int32()))
+            yield pa.concat_arrays([empty, *(merged(*part) for part in _sliced(rows))])
 
     def encode(text: Column | str) -> Column:
         ids = merge(pretokens(F.col(text) if isinstance(text, str) else text))
@@ -67,23 +78,24 @@ def decoder_function(spark: SparkSession, vocabulary: Vocabulary):
     names = [name.encode() for name, _ in sorted(vocabulary.specials.items(), key=lambda x: x[1])]
     shared = spark.sparkContext.broadcast([*vocabulary.token_bytes(), *names])
 
+    def texts_of(table: pa.Array, rows: pa.ListArray, valid: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        # The bytes of all tokens one after the other; a row's text is a stretch of them.
+        taken = table.take(rows.flatten())
+        places = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        ends = places[np.concatenate([[0], np.cumsum(sizes)])] if len(taken) else np.zeros(len(rows) + 1, np.int64)
+        data = taken.buffers()[2] or pa.py_buffer(b"")
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), data])
+        try:
+            texts = raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
+        return pc.if_else(pa.array(valid), texts, pa.scalar(None, pa.string()))
+
     @F.arrow_udf(T.StringType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pa.array(shared.value, pa.large_binary())
         for rows in batches:
-            # The bytes of all tokens one after the other; a row's text is a stretch of them.
-            taken = table.take(rows.flatten())
-            valid = rows.is_valid().to_numpy(zero_copy_only=False)
-            sizes = np.where(valid, rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
-            places = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1]
-            ends = places[np.concatenate([[0], np.cumsum(sizes)])] if len(taken) else np.zeros(len(rows) + 1, np.int64)
-            data = taken.buffers()[2] or pa.py_buffer(b"")
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), data])
-            try:
-                texts = raw.cast(pa.large_string()).cast(pa.string())
-            except pa.ArrowInvalid:
-                texts = pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
-            yield pc.if_else(pa.array(valid), texts, pa.scalar(None, pa.string()))
+            yield pa.concat_arrays([pa.array([], pa.string()), *(texts_of(table, *part) for part in _sliced(rows))])
 
     return decode
 
