@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
     DataSourceWriter,
     InputPartition,
@@ -106,8 +107,8 @@ class TextShards(DataSource):
         return _TextShardWriter(self.options)
 
 
-class _TokenWriter(_FileWriter):
-    """Rows (tokens) arrive in stream order; one file per partition."""
+class _TokenWriter(_FileWriter, DataSourceArrowWriter):
+    """Rows (tokens) arrive in stream order, as Arrow batches; one file per partition."""
 
     def write(self, iterator):
         name = f"part-{TaskContext.get().partitionId():06d}.bin"
@@ -118,8 +119,12 @@ class _TokenWriter(_FileWriter):
         system.create_dir(target.rsplit("/", 1)[0], recursive=True)
         count = 0
         with system.open_output_stream(target) as out:
-            for row in iterator:
-                ids = np.asarray(row.tokens, dtype=np.int64)
+            for batch in iterator:
+                rows = batch.column(batch.schema.get_field_index("tokens"))
+                ids = rows.flatten()
+                if rows.null_count or ids.null_count:
+                    raise ValueError("null tokens")
+                ids = ids.to_numpy()
                 if ids.size and (ids.max() > limit or ids.min() < 0):
                     raise ValueError(f"token id does not fit {width.name}")
                 out.write(ids.astype(width).tobytes())
