@@ -12,7 +12,12 @@ from loomwork.session import scratch_path
 from loomwork.streaming import jobs
 
 
-def _landed(df, label, files=4):
+def _n_files(scan, least=4):
+    """As many files as the table's scan has tasks, so that a file stays as small as a task's share."""
+    return max(least, scan.rdd.getNumPartitions())
+
+
+def _landed(df, label, files):
     """The rows as a folder of files for a stream to pick up."""
     path = scratch_path(df.sparkSession, label)
     df.repartition(files).write.parquet(path)
@@ -27,11 +32,12 @@ def _landed(df, label, files=4):
 )
 def stream_ingest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    landed = _landed(docs, "ingest-in")
+    files = _n_files(docs)
+    landed = _landed(docs, "ingest-in", files)
     out, checkpoint = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-progress")
     # Two runs with one checkpoint: the second finds nothing new to do.
     for _ in range(2):
-        jobs.ingest_texts(jobs.source(spark, landed, docs.schema, 2), out, checkpoint)
+        jobs.ingest_texts(jobs.source(spark, landed, docs.schema, -(-files // 2)), out, checkpoint)
     return spark.read.parquet(out).select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -70,9 +76,10 @@ def stream_blocks(spark, sf_dir):
 )
 def stream_chat_split(spark, sf_dir):
     rows = chats.chat_rows(spark, sf_dir)
-    landed = _landed(rows, "chats-in")
+    files = _n_files(table(spark, sf_dir, "conversations"))
+    landed = _landed(rows, "chats-in", files)
     out = scratch_path(spark, "chats-out")
-    jobs.prepare_chats(jobs.source(spark, landed, rows.schema, 2), out, scratch_path(spark, "chats-progress"), 0.2)
+    jobs.prepare_chats(jobs.source(spark, landed, rows.schema, -(-files // 2)), out, scratch_path(spark, "chats-progress"), 0.2)
     return spark.read.parquet(out).select("conv_id", "split", "reject_reason")
 
 
@@ -94,11 +101,12 @@ def stream_ema(spark, sf_dir):
     low, high = points.agg(F.min("key"), F.max("key")).first()
     spread = (high or 0) - (low or 0)
     landed = scratch_path(spark, "series-in")
-    points.repartition(4, F.xxhash64("key")).write.parquet(landed)
+    files = _n_files(points)
+    points.repartition(files, F.xxhash64("key")).write.parquet(landed)
     out, progress = scratch_path(spark, "series-out"), scratch_path(spark, "series-progress")
 
     def follow():
-        jobs.follow_series(jobs.source(spark, landed, points.schema, 1), out, progress, disorder=spread)
+        jobs.follow_series(jobs.source(spark, landed, points.schema, -(-files // 4)), out, progress, disorder=spread)
 
     follow()
     last = spark.range(1).select(F.lit(None).cast("bigint").alias("run"), F.lit((high or 0) + spread + 2).alias("key"), F.lit(0.0).alias("value"))
@@ -123,8 +131,9 @@ def stream_log_events(spark, sf_dir):
         ),
     ).otherwise(F.concat(F.lit("step "), F.col("event_id"), F.lit(" done")))
     landed = scratch_path(spark, "log-in")
-    events.select(line.alias("value")).repartition(4).write.text(landed)
-    lines = spark.readStream.option("maxFilesPerTrigger", 2).text(landed)
+    files = _n_files(events)
+    events.select(line.alias("value")).repartition(files).write.text(landed)
+    lines = spark.readStream.option("maxFilesPerTrigger", -(-files // 2)).text(landed)
     out = scratch_path(spark, "log-out")
     jobs.time_limited_jobs(lines, out, scratch_path(spark, "log-progress"))
     return spark.read.parquet(out).select("job_id")
