@@ -71,7 +71,7 @@ def split_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if len(texts) == 0 or offsets[0] == offsets[-1]:
-        return pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, np.int32)
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     kind = _CLASS[data]
@@ -83,8 +83,9 @@ def split_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     words = _LOWER[data[inside]]
     ends = np.concatenate([[0], np.cumsum(lengths)])
     out = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(words))
-    piece = np.cumsum((kind == 2) | first)[starts]
-    text = np.searchsorted(offsets, starts, side="right") - 1
+    # A slice has under 2^31 bytes.
+    piece = np.cumsum((kind == 2) | first, dtype=np.int32)[starts]
+    text = (np.searchsorted(offsets, starts, side="right") - 1).astype(np.int32)
     return out, piece, text
 
 
@@ -124,74 +125,84 @@ def _window_blocks(common: list[str], hot: set[tuple[str, str, str]], buckets: i
     after it: one entry for each kind, a count following where it is not one.
     """
 
+    def blocks(part, texts, shared, codes, hot_words, place):
+        words, piece, text = split_pieces(texts)
+        if not len(words):
+            return None
+        coded = words.dictionary_encode()
+        words = coded.dictionary
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        langs = part.column(0).dictionary_encode()
+        lang = langs.indices.to_numpy(zero_copy_only=False)[text]
+        lang_names = langs.dictionary.to_pylist()
+        size = len(words) + 1
+        w = [code, *(_lead(code, piece, k) for k in (1, 2, 3))]
+        del piece, text, coded
+        pair = (lang.astype(np.int64) * size + w[0]) * size + w[1] + 1
+        rest = (w[2].astype(np.int64) + 1) * size + w[3] + 1
+        hashes = _hashes(words.to_pylist())
+        bucket = _mixed(_hashes(lang_names)[lang], hashes[w[0]], hashes[w[1]])
+        is_hot = np.zeros(len(code), dtype=bool)
+        if hot:
+            at = pc.index_in(hot_words, words).to_pylist()
+            lang_at = {n: i for i, n in enumerate(lang_names)}
+            found = [(lang_at.get(n), at[place[a]], at[place[b]]) for n, a, b in hot]
+            is_hot = np.isin(pair, [(n * size + a) * size + b + 1 for n, a, b in found if None not in (n, a, b)])
+            bucket = np.where(is_hot, _mixed(bucket, hashes[w[2]], hashes[w[3]]), bucket)
+        bucket = (bucket % np.uint64(buckets)).astype(np.int32)
+
+        order = np.lexsort((rest, pair, bucket))
+        p, r = pair[order], rest[order]
+        new_pair = np.concatenate([[True], p[1:] != p[:-1]])
+        new = new_pair | np.concatenate([[True], r[1:] != r[:-1]])
+        at = np.flatnonzero(new)
+        kept, counts = order[at], np.diff(np.append(at, len(order)))
+        pair_at = np.flatnonzero(new_pair[at])
+        del p, r, new, new_pair, order, pair, rest
+        spelled = _written(words, shared, codes).cast(pa.string())
+
+        def column(k, rows):
+            c = w[k][rows]
+            return spelled.take(pa.array(np.maximum(c, 0), mask=c < 0))
+
+        def two(a, b):  # the second word is null where the first is
+            return pc.if_else(pc.is_null(b), pc.fill_null(a, ""), pc.binary_join_element_wise(a, b, " "))
+
+        tail = two(column(2, kept), column(3, kept))
+        times = pa.array(counts)
+        tail = pc.if_else(pc.equal(times, 1), tail, pc.binary_join_element_wise(tail, times.cast(pa.string()), _TIMES))
+        ends = pa.array(np.append(pair_at, len(kept)), pa.int32())
+        tails = pc.binary_join(pa.ListArray.from_arrays(ends, tail), _NEXT)
+        first = kept[pair_at]
+        heads = two(column(0, first), column(1, first))
+        n = pa.array(np.add.reduceat(counts, pair_at))
+        # A block is a run of pairs of one bucket, language and kind.
+        key = (bucket[first].astype(np.int64) * len(lang_names) + lang[first]) * 2 + is_hot[first]
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = pa.array(np.append(cuts, len(first)), pa.int32())
+        first = first[cuts]
+        columns = [
+            pa.array(bucket[first]),
+            langs.dictionary.take(pa.array(lang[first])),
+            pa.array(is_hot[first]),
+            *(pa.ListArray.from_arrays(ends, c) for c in (heads, n, tails)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "lang", "hot", "pair", "n", "tails"])
+
     def run(batches):
         shared = pa.array(common, pa.large_string())
         codes = pa.array([chr(_FIRST_CODE + i) for i in range(len(common))], pa.large_string())
         hot_words = pa.array(sorted({w for _, *pair in hot for w in pair}), pa.large_string())
         place = {w: i for i, w in enumerate(hot_words.to_pylist())}
         for part, texts in text_slices(batches, "__text", SLICE):
-            words, piece, text = split_pieces(texts)
-            if not len(words):
-                continue
-            coded = words.dictionary_encode()
-            words = coded.dictionary
-            code = coded.indices.to_numpy(zero_copy_only=False)
-            langs = part.column(0).dictionary_encode()
-            lang = langs.indices.to_numpy(zero_copy_only=False)[text]
-            lang_names = langs.dictionary.to_pylist()
-            size = len(words) + 1
-            w = [code, *(_lead(code, piece, k) for k in (1, 2, 3))]
-            del piece, text, coded
-            pair = (lang.astype(np.int64) * size + w[0]) * size + w[1] + 1
-            rest = (w[2].astype(np.int64) + 1) * size + w[3] + 1
-            hashes = _hashes(words.to_pylist())
-            bucket = _mixed(_hashes(lang_names)[lang], hashes[w[0]], hashes[w[1]])
-            is_hot = np.zeros(len(code), dtype=bool)
-            if hot:
-                at = pc.index_in(hot_words, words).to_pylist()
-                lang_at = {n: i for i, n in enumerate(lang_names)}
-                found = [(lang_at.get(n), at[place[a]], at[place[b]]) for n, a, b in hot]
-                is_hot = np.isin(pair, [(n * size + a) * size + b + 1 for n, a, b in found if None not in (n, a, b)])
-                bucket = np.where(is_hot, _mixed(bucket, hashes[w[2]], hashes[w[3]]), bucket)
-            bucket = (bucket % np.uint64(buckets)).astype(np.int32)
-
-            order = np.lexsort((rest, pair, bucket))
-            p, r = pair[order], rest[order]
-            new_pair = np.concatenate([[True], p[1:] != p[:-1]])
-            new = new_pair | np.concatenate([[True], r[1:] != r[:-1]])
-            at = np.flatnonzero(new)
-            kept, counts = order[at], np.diff(np.append(at, len(order)))
-            pair_at = np.flatnonzero(new_pair[at])
-            del p, r, new, new_pair, order, pair, rest
-            spelled = _written(words, shared, codes).cast(pa.string())
-
-            def column(k, rows):
-                c = w[k][rows]
-                return spelled.take(pa.array(np.maximum(c, 0), mask=c < 0))
-
-            def two(a, b):  # the second word is null where the first is
-                return pc.if_else(pc.is_null(b), pc.fill_null(a, ""), pc.binary_join_element_wise(a, b, " "))
-
-            tail = two(column(2, kept), column(3, kept))
-            times = pa.array(counts)
-            tail = pc.if_else(pc.equal(times, 1), tail, pc.binary_join_element_wise(tail, times.cast(pa.string()), _TIMES))
-            ends = pa.array(np.append(pair_at, len(kept)), pa.int32())
-            tails = pc.binary_join(pa.ListArray.from_arrays(ends, tail), _NEXT)
-            first = kept[pair_at]
-            heads = two(column(0, first), column(1, first))
-            n = pa.array(np.add.reduceat(counts, pair_at))
-            # A block is a run of pairs of one bucket, language and kind.
-            key = (bucket[first].astype(np.int64) * len(lang_names) + lang[first]) * 2 + is_hot[first]
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ends = pa.array(np.append(cuts, len(first)), pa.int32())
-            first = first[cuts]
-            columns = [
-                pa.array(bucket[first]),
-                langs.dictionary.take(pa.array(lang[first])),
-                pa.array(is_hot[first]),
-                *(pa.ListArray.from_arrays(ends, c) for c in (heads, n, tails)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "lang", "hot", "pair", "n", "tails"])
+            # A function of its own: nothing but the blocks is left when the next slice begins.
+            made = blocks(part, texts, shared, codes, hot_words, place)
+            del part, texts
+            # The allocator would keep a slice's memory beside the executor's heap.
+            pa.default_memory_pool().release_unused()
+            if made is not None:
+                yield made
+            del made
 
     return run
 
