@@ -22,17 +22,27 @@ STRIDES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 214748378
 def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, nats, n_bytes, bpb) from (by, target, loss) and (token_id, n_bytes).
 
-    Targets below zero are ignored, as are tokens of zero bytes.
+    Targets below zero are ignored, as are tokens of zero bytes. Losses are summed per
+    target first, so what meets the byte lengths is as small as the vocabulary.
     """
-    scored = losses.filter(F.col("target") >= 0).withColumnRenamed("target", "token_id")
+    # Not filtered before the sums: Spark would work out the target's expression twice per row.
+    totals = losses.groupBy(*by, F.col("target").alias("token_id")).agg(
+        F.sum("loss").alias("loss"), F.count(F.lit(1)).alias("__n")
+    )
     # No hint: a stored vocabulary is broadcast by its file size, a large one is not.
-    joined = scored.join(token_bytes, "token_id", "left")
+    joined = totals.join(token_bytes, "token_id", "left")
+    scored = F.coalesce(F.col("token_id") >= 0, F.lit(False))
     missing = F.raise_error(F.concat(F.lit("no byte length for token "), F.col("token_id").cast("string")))
-    joined = joined.withColumn("n_bytes", F.when(F.col("n_bytes").isNull(), missing.cast("bigint")).otherwise(F.col("n_bytes")))
+    known = F.when(F.col("n_bytes").isNull(), missing.cast("bigint")).otherwise(F.col("n_bytes"))
+    joined = joined.withColumn("n_bytes", F.when(scored, known).otherwise(F.lit(0)))
     sums = joined.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("n_bytes") > 0, F.col("loss"))), F.lit(0.0)).alias("nats"),
-        F.coalesce(F.sum("n_bytes"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        F.coalesce(F.sum(F.col("n_bytes") * F.col("__n")), F.lit(0)).cast("bigint").alias("n_bytes"),
+        F.count_if(scored).alias("__scored"),
     )
+    if by:
+        sums = sums.filter("__scored > 0")
+    sums = sums.drop("__scored")
     bpb = F.when(F.col("n_bytes") == 0, F.lit(float("inf"))).otherwise(
         F.col("nats") / (F.lit(math.log(2)) * F.nullif(F.col("n_bytes"), F.lit(0)))
     )

@@ -29,8 +29,10 @@ _LOSS_SQL = f"""
 def _losses(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     token_id = (hash60("piece") % _VOCAB).cast("int").alias("token_id")
-    tokens = docs.select("doc_id", F.posexplode(pretokens(F.col("text"))).alias("pos", "piece"))
-    keyed = tokens.select("doc_id", "pos", token_id)
+    # The split is of the document: worked out before its tokens are exploded.
+    placed = docs.withColumn("split", splits.hash_split("doc_id", ratio=0.1))
+    tokens = placed.select("doc_id", "split", F.posexplode(pretokens(F.col("text"))).alias("pos", "piece"))
+    keyed = tokens.select("doc_id", "split", "pos", token_id)
     # Distinct pieces are found first, so each is hashed once for the byte table.
     distinct = bpe.pretoken_counts(docs).select("piece", token_id)
     token_bytes = distinct.groupBy("token_id").agg(F.min(F.octet_length("piece")).alias("n_bytes")).select(
@@ -39,6 +41,7 @@ def _losses(spark, sf_dir):
     skip = hash60(F.lit("skip"), "doc_id", "pos") % 20 == 0
     losses = keyed.select(
         "doc_id",
+        "split",
         F.when(skip, -1).otherwise(F.col("token_id")).alias("target"),
         (unit_hash(F.lit("loss"), "doc_id", "pos") * 4).alias("loss"),
     )
@@ -57,8 +60,7 @@ def _losses(spark, sf_dir):
 )
 def bits_per_byte(spark, sf_dir):
     losses, token_bytes = _losses(spark, sf_dir)
-    split = losses.withColumn("split", splits.hash_split("doc_id", ratio=0.1))
-    return evals.bits_per_byte(split, token_bytes, ["split"]).select(
+    return evals.bits_per_byte(losses, token_bytes, ["split"]).select(
         "split", F.round("nats", 3).alias("nats"), "n_bytes", F.round("bpb", 6).alias("bpb")
     )
 
