@@ -46,6 +46,8 @@ ROUNDS = 3
 #: Not a word: words hold no white space.
 END = "\n"
 _BATCH = 1 << 15
+# Rows of a run that are added one after the other.
+_SHORT_RUN = 8
 #: Rows of a weight table: hashed ones, then one per class for the feature without history.
 ROWS = (1 << ROW_BITS) + CLASSES
 _START = np.uint32(1)
@@ -125,6 +127,29 @@ def _softmax(weights: np.ndarray, rows: list) -> np.ndarray:
     return z
 
 
+def _run_sums(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``p`` from each of ``first`` up to the next one, as ``np.add.reduceat``
+    to the last bit.
+
+    That spends more on a run's call than on its numbers, so short runs are added
+    together: all second rows, all third rows and so on, and the first ones to these.
+    """
+    size = np.diff(np.append(first, len(p)))
+    out = np.take(p, first, axis=0)
+    short = np.flatnonzero((size > 1) & (size <= _SHORT_RUN))
+    rest = np.take(p, first[short] + 1, axis=0)
+    more = np.flatnonzero(size[short] > 2)
+    for k in range(2, _SHORT_RUN):
+        rest[more] += np.take(p, first[short[more]] + k, axis=0)
+        more = more[size[short[more]] > k + 1]
+    out[short] += rest
+    long = size > _SHORT_RUN
+    if long.any():
+        ends = np.cumsum(size[long])
+        out[long] = np.add.reduceat(p[np.repeat(long, size)], ends - size[long], axis=0)
+    return out
+
+
 def _step(weights, energy, rows, target, rate: float) -> None:
     """One AdaGrad step over a batch of tokens, feature by feature, on the rows it uses."""
     p = _softmax(weights, rows)
@@ -137,7 +162,7 @@ def _step(weights, energy, rows, target, rate: float) -> None:
             order = np.argsort(r.astype(np.uint16), kind="stable")
             ranked = r[order]
             first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            used, g = ranked[first], np.add.reduceat(np.take(p, order, axis=0), first, axis=0)
+            used, g = ranked[first], _run_sums(np.take(p, order, axis=0), first)
         energy[used] += np.einsum("ij,ij->i", g, g)
         weights[used] -= rate * g / np.sqrt(energy[used] + 1.0)[:, None]
 
